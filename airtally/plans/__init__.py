@@ -8,6 +8,8 @@ from airtally.plans import registry
 
 _MODULES = (
     "queries_household",
+    "queries_matching",
+    "queries_ingest",
 )
 
 

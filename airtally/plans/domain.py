@@ -184,16 +184,16 @@ def api_usage(spark, sf_dir) -> DataFrame:
 
 
 def asn_ranges(spark, sf_dir) -> DataFrame:
-    """Address ranges of 16,384 addresses each, half of them data centres."""
+    """Address ranges of 1,024 addresses each, half of them data centres."""
     s = table(spark, sf_dir, "supplier")
-    lo = F.lit(167772160) + F.col("s_suppkey") * 16384
+    lo = F.lit(167772160) + F.col("s_suppkey") * 1024
     asn = (
         F.when(F.col("s_suppkey") % 4 == 0, F.lit(16509))
         .when(F.col("s_suppkey") % 4 == 1, F.lit(24940))
         .otherwise(F.lit(64512) + F.col("s_suppkey"))
     )
     return s.select(
-        lo.cast("bigint").alias("lo"), (lo + 16383).cast("bigint").alias("hi"),
+        lo.cast("bigint").alias("lo"), (lo + 1023).cast("bigint").alias("hi"),
         asn.cast("bigint").alias("asn"),
     )
 
@@ -286,7 +286,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code,
                epoch_us(ts) // 1000 AS at_ms FROM events"""),
     "asn_ranges": ((), """
-        SELECT 167772160 + s_suppkey * 16384 AS lo, 167772160 + s_suppkey * 16384 + 16383 AS hi,
+        SELECT 167772160 + s_suppkey * 1024 AS lo, 167772160 + s_suppkey * 1024 + 1023 AS hi,
                CASE s_suppkey % 4 WHEN 0 THEN 16509 WHEN 1 THEN 24940 ELSE 64512 + s_suppkey END AS asn
         FROM supplier"""),
     "privacy_requests": ((), f"""
