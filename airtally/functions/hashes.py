@@ -95,6 +95,20 @@ def pieces(lane_columns: list[Column], width: int) -> Column:
     return F.array(*keys)
 
 
+def first_shared_piece(left: list[Column], right: list[Column], width: int) -> Column:
+    """Position of the first piece that two hashes share, null when there is none."""
+    per_lane = LANE_BITS // width
+    mask = (1 << width) - 1
+    apart = [x.bitwiseXOR(y) for x, y in zip(left, right)]
+    found = None
+    for position in range(per_lane * len(left)):
+        shift = LANE_BITS - width * (position % per_lane + 1)
+        piece = F.shiftrightunsigned(apart[position // per_lane], shift)
+        same = piece.bitwiseAND(F.lit(mask)) == 0
+        found = F.when(same, position) if found is None else found.when(same, position)
+    return found
+
+
 def sign_fingerprint(values: Column | str) -> Column:
     """Hex hash whose bit i says whether value i exceeds value i+1.
 

@@ -26,15 +26,16 @@ def delivery_stats(activations: DataFrame, as_of: Column, days: int = 7,
 
 
 def delivery_kpis(delivery: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """CPM, CPC and return from impressions, clicks, revenue and spend."""
+    """CPM, CPC and return. Money comes in whole cents, so that sums are exact in any
+    order; the rates are in the same unit."""
     sums = delivery.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("impressions", "clicks", "conversions", "spend", "revenue")]
     )
     return sums.withColumns(
         {
-            "cpm": ratio_or_zero(F.col("spend"), F.col("impressions")) * 1000,
-            "cpc": ratio_or_zero(F.col("spend"), F.col("clicks")),
-            "roi": ratio_or_zero(F.col("revenue"), F.col("spend")),
+            "cpm": ratio_or_zero(F.col("spend").cast("double"), F.col("impressions")) * 1000,
+            "cpc": ratio_or_zero(F.col("spend").cast("double"), F.col("clicks")),
+            "roi": ratio_or_zero(F.col("revenue").cast("double"), F.col("spend")),
         }
     )
 

@@ -10,6 +10,10 @@ _MODULES = (
     "queries_household",
     "queries_matching",
     "queries_ingest",
+    "queries_segments",
+    "queries_reports",
+    "queries_privacy",
+    "queries_streaming",
 )
 
 

@@ -1,0 +1,87 @@
+"""Sessions by the literal rule, as state per device with event-time timers."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from airtally.operators.sessions import GAP_SECONDS, MIN_SECONDS
+from airtally.streaming.jobs import SESSION_WATERMARK, event_time
+
+OUTPUT = "device_id string, content_id string, session_start bigint, session_end bigint, duration_sec bigint"
+
+
+class LastMatch(StatefulProcessor):
+    """Holds one open session per device: content, start, last event.
+
+    A match replaces the session, an event without a match lengthens it, and a
+    pause above the gap ends it. Events of one batch are taken in time order.
+    """
+
+    def __init__(self, gap: int, minimum: int):
+        self.gap = gap
+        self.minimum = minimum
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "content_id string, start bigint, last bigint")
+
+    def _close(self, key, session) -> list[tuple]:
+        content, first, last = session
+        length = last - first
+        return [(key[0], content, first, last, length)] if length >= self.minimum else []
+
+    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(
+                rows, columns=["device_id", "content_id", "session_start", "session_end", "duration_sec"]
+            )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["timestamp_utc", "event_id", "content_id"]
+        batch = pd.concat([part[columns] for part in rows]).sort_values(columns[:2])
+        session = tuple(self.open.get()) if self.open.exists() else None
+        done: list[tuple] = []
+        for at, content in zip(batch["timestamp_utc"], batch["content_id"]):
+            at = int(at)
+            if session is not None and at - session[2] > self.gap:
+                done += self._close(key, session)
+                session = None
+            if isinstance(content, str):
+                session = (content, at, at)
+            elif session is not None:
+                session = (session[0], session[1], max(session[2], at))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if session is None:
+            self.open.clear()
+        else:
+            self.open.update(session)
+            self.handle.registerTimer((session[2] + self.gap) * 1000 + 1)
+        yield from self._frame(done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = self._close(key, tuple(self.open.get())) if self.open.exists() else []
+        self.open.clear()
+        yield from self._frame(done)
+
+    def close(self) -> None:
+        pass
+
+
+def last_match_sessions(events: DataFrame, key: str = "device_id", gap: int = GAP_SECONDS,
+                        minimum: int = MIN_SECONDS, watermark: str = SESSION_WATERMARK) -> DataFrame:
+    """Stream form of the batch operator of the same name; needs the RocksDB store."""
+    rows = events.select(F.col(key).alias("device_id"), "timestamp_utc", "event_id", "content_id")
+    return (
+        event_time(rows, "timestamp_utc", watermark)
+        .groupBy("device_id")
+        .transformWithStateInPandas(
+            statefulProcessor=LastMatch(gap, minimum), outputStructType=OUTPUT,
+            outputMode="Append", timeMode="EventTime",
+        )
+    )
