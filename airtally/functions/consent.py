@@ -50,18 +50,17 @@ def decode_consent(text: Column | str) -> Column:
     return F.when(decodable, F.try_to_binary(padded, F.lit("base64")))
 
 
-def _byte(data: Column, index: int) -> Column:
-    return F.conv(F.hex(F.substring(data, index + 1, 1)), 16, 10).cast("bigint")
-
-
 def consent_purposes(data: Column | str) -> Column:
-    """Names of the purposes whose bit is set; null when there are no bytes."""
+    """Names of the purposes whose bit is set; null when there are no bytes.
+
+    The purpose bytes are read once as a number, missing ones as zero.
+    """
     d = _c(data)
-    named = []
-    for i, name in enumerate(PURPOSES):
-        at = PURPOSE_BYTE + i // 8
-        is_set = F.getbit(_byte(d, at), F.lit(7 - i % 8)) == 1
-        named.append(F.when((F.length(d) > at) & is_set, F.lit(name)))
+    digits = F.rpad(F.hex(F.substring(d, PURPOSE_BYTE + 1, 2)), 4, "0")
+    bits = F.conv(digits, 16, 10).cast("bigint")
+    named = [
+        F.when(F.getbit(bits, F.lit(15 - i)) == 1, F.lit(name)) for i, name in enumerate(PURPOSES)
+    ]
     return F.when(F.length(d) > 0, F.array_compact(F.array(*named)))
 
 

@@ -46,8 +46,7 @@ def band_levels(pcm: bytes) -> list[float]:
     return [*levels.tolist(), 0.0]
 
 
-@F.pandas_udf("array<double>")
-def band_levels_udf(pcm: pd.Series) -> pd.Series:
+def _levels(pcm: pd.Series) -> pd.Series:
     return pcm.map(lambda b: None if b is None else band_levels(b))
 
 
@@ -56,7 +55,7 @@ def fingerprint_windows(windows: DataFrame) -> DataFrame:
     Python on Arrow batches, the signs and hex digits are columns again. Audio
     shorter than a frame has the hash of all zeros."""
     measured = windows.filter(F.col("pcm").isNotNull()).withColumn(
-        "levels", band_levels_udf("pcm")
+        "levels", F.pandas_udf(_levels, "array<double>")("pcm")
     )
     empty = F.lit("0" * 64)
     value = F.when(F.size("levels") == 0, empty).otherwise(sign_fingerprint("levels"))

@@ -103,6 +103,13 @@ def best_match(pairs: DataFrame) -> DataFrame:
     )
 
 
+def ranked_matches(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Matches of each query numbered from the nearest on, at most `limit` of them."""
+    line = W.partitionBy("query_hash").orderBy("distance", "fingerprint_hash")
+    ranked = pairs.withColumn("rank", F.row_number().over(line))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
 def exact_pairs(queries: DataFrame, references: DataFrame, query_column: str = "fingerprint_hash"):
     """Equal hashes, at distance 0: the lookup of last resort."""
     q = queries.select(F.lower(query_column).alias("query_hash")).distinct()

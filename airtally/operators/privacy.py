@@ -15,10 +15,11 @@ REQUEST_TYPES = ("opt_out", "erasure", "portability")
 def consent_records(events: DataFrame, version: str = "1.0") -> DataFrame:
     """Consent events as records: purposes read from the consent string, the address
     cut to its subnet. A string that does not decode leaves no purposes."""
-    data = cs.decode_consent("tcf_string")
+    data = F.col("_data")
     known = [c for c in ("event_id",) if c in events.columns]
     ip = F.col("ip_address") if "ip_address" in events.columns else F.lit(None).cast("string")
-    return events.select(
+    decoded = events.withColumn("_data", cs.decode_consent("tcf_string"))
+    return decoded.select(
         "device_id", *known,
         F.coalesce("opted_in", F.lit(True)).alias("opted_in"),
         "consent_time",

@@ -92,6 +92,16 @@ def lsh_best_match(spark, sf):
     return found.select("query_hash", "fingerprint_hash", "distance", "content_id", "network")
 
 
+@query("lsh_ranked_matches", "WITH" + """ signs AS (SELECT vec_id, sha256('v' || label) AS h FROM embeddings), x AS (SELECT 1)""" + """
+SELECT h AS query_hash, h AS fingerprint_hash, 0 AS distance, CAST(1 AS INT) AS rank FROM (SELECT DISTINCT h FROM signs)""")
+def lsh_ranked_matches(spark, sf):
+    """Matches in order of distance; these hashes have none but themselves."""
+    e = d.table(spark, sf, "embeddings").select(
+        F.sha2(F.concat(F.lit("v"), F.col("label")), 256).alias("fingerprint_hash")
+    )
+    return m.ranked_matches(m.match_pairs(e, e, 8), 3)
+
+
 @query("exact_lookup", _QR + " SELECT q.h AS query_hash, r.h AS fingerprint_hash, 0 AS distance FROM q JOIN r ON q.h = r.h")
 def exact_lookup(spark, sf):
     return m.exact_pairs(d.fingerprints(spark, sf), d.reference_fingerprints(spark, sf))

@@ -41,8 +41,9 @@ SELECT event_id, CASE WHEN data IS NOT NULL THEN array_to_string(list_filter(lis
     CASE WHEN octet_length(data) > 12 + i // 8 AND get_bit(data::BIT, CAST(96 + i AS INT)) = 1 THEN ({_NAMES})[i + 1] END), lambda x: x IS NOT NULL), ',') END AS purposes,
   coalesce(octet_length(data) >= 20, false) AS valid FROM b""")
 def tcf_purposes(spark, sf):
-    purposes = cs.consent_purposes(cs.decode_consent("tcf_string"))
-    return tcf_events(spark, sf).select(
+    purposes = cs.consent_purposes("data")
+    decoded = tcf_events(spark, sf).withColumn("data", cs.decode_consent("tcf_string"))
+    return decoded.select(
         "event_id",
         F.when(purposes.isNotNull(), F.concat_ws(",", purposes)).alias("purposes"),
         cs.is_valid_consent("tcf_string").alias("valid"),
@@ -355,7 +356,8 @@ def clip_windows(spark, sf):
     p = d.table(spark, sf, "part")
     length = (F.lit(3000) + F.col("p_partkey") % 20 * 1000).cast("int")
     starts = audio.clip_starts(length)
-    return p.select(F.col("p_partkey").alias("k"), F.explode(starts).cast("bigint").alias("start_ms"))
+    exploded = p.select(F.col("p_partkey").alias("k"), F.explode(starts).alias("start_ms"))
+    return exploded.withColumn("start_ms", F.col("start_ms").cast("bigint"))
 
 
 @query("spectral_peaks", """WITH cells AS (SELECT vec_id // 100 AS clip_id, vec_id % 100 AS t, f, embedding[CAST(f + 1 AS INT)]::DOUBLE AS amplitude FROM embeddings, range(64) r(f)),
