@@ -92,14 +92,22 @@ def lsh_best_match(spark, sf):
     return found.select("query_hash", "fingerprint_hash", "distance", "content_id", "network")
 
 
-@query("lsh_ranked_matches", "WITH" + """ signs AS (SELECT vec_id, sha256('v' || label) AS h FROM embeddings), x AS (SELECT 1)""" + """
-SELECT h AS query_hash, h AS fingerprint_hash, 0 AS distance, CAST(1 AS INT) AS rank FROM (SELECT DISTINCT h FROM signs)""")
+@query("lsh_ranked_matches", d.views("fingerprints", "content") + """, q AS (SELECT DISTINCT fingerprint_hash AS h FROM fingerprints),
+r AS (SELECT substr(sha256('alt-' || k), 1, CAST(v * 3 AS INT)) || substr(sha256('ref-' || k), CAST(v * 3 + 1 AS INT)) AS h FROM content, range(3) t(v))"""
+       + pairs_sql(65) + """
+SELECT *, CAST(row_number() OVER (PARTITION BY query_hash ORDER BY distance, fingerprint_hash) AS INT) AS rank FROM pairs
+QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY distance, fingerprint_hash) <= 2""")
 def lsh_ranked_matches(spark, sf):
-    """Matches in order of distance; these hashes have none but themselves."""
-    e = d.table(spark, sf, "embeddings").select(
-        F.sha2(F.concat(F.lit("v"), F.col("label")), 256).alias("fingerprint_hash")
+    """Three variants of each reference; the two nearest ones per query, in order."""
+    hash_of = lambda tag: F.sha2(F.concat(F.lit(tag), F.col("k")), 256)
+    variants = d.content(spark, sf).select("k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("v"))
+    cut = F.col("v") * 3
+    references = variants.select(
+        F.concat(
+            hash_of("alt-").substr(F.lit(1), cut), hash_of("ref-").substr(cut + 1, F.lit(64))
+        ).alias("fingerprint_hash")
     )
-    return m.ranked_matches(m.match_pairs(e, e, 8), 3)
+    return m.ranked_matches(m.match_pairs(d.fingerprints(spark, sf), references), 2)
 
 
 @query("exact_lookup", _QR + " SELECT q.h AS query_hash, r.h AS fingerprint_hash, 0 AS distance FROM q JOIN r ON q.h = r.h")
