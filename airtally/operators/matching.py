@@ -13,6 +13,9 @@ DEFAULT_TOLERANCE = 65
 # 50,000 references are at most about 1.6 million band rows, some 150 MB as a
 # broadcast table. Above that the bands are shuffled.
 BROADCAST_REFERENCES = 50_000
+# A piece of up to this many bits is shared by a dozen references or more.
+NARROW_BITS = 12
+REFERENCES_PER_LIST = 4096
 
 
 def band_table(references: DataFrame, band_bytes: int = 1) -> DataFrame:
@@ -38,15 +41,54 @@ def piece_width(tolerance: int, band_bytes: int, min_shared_bands: int, bits: in
     return 8 * band_bytes
 
 
-def _pieces(frame: DataFrame, hash_column: str, prefix: str, width: int, bits: int) -> DataFrame:
-    names = [f"{prefix}{i}" for i in range(bits // hashes.LANE_BITS)]
-    unique = frame.filter(F.length(hash_column) == bits // 4).select(
-        F.lower(hash_column).alias("h")
-    ).distinct()
-    wide = unique.select(*[c.alias(n) for c, n in zip(hashes.lanes("h", bits), names)])
-    return wide.select(
-        F.explode(hashes.pieces([F.col(n) for n in names], width)).alias("piece"), *names
+def _unique_lanes(frame: DataFrame, hash_column: str, prefix: str, bits: int) -> DataFrame:
+    """Distinct well-formed hashes as 64-bit lanes, which are half the size of hex."""
+    well_formed = F.col(hash_column).rlike(f"^[0-9a-fA-F]{{{bits // 4}}}$")
+    lanes = [c.alias(f"{prefix}{i}") for i, c in enumerate(hashes.lanes(hash_column, bits))]
+    return frame.filter(well_formed).select(*lanes).distinct()
+
+
+def _pieces(lanes: DataFrame, width: int) -> DataFrame:
+    columns = [F.col(c) for c in lanes.columns]
+    return lanes.select(F.explode(hashes.pieces(columns, width)).alias("piece"), *columns)
+
+
+def _spread(frame: DataFrame) -> DataFrame:
+    """Many partitions for a stage whose work is in computing, not in bytes: sized by
+    bytes, as AQE does, a few million hashes would be left to a few tasks."""
+    spark = frame.sparkSession
+    wanted = max(
+        4 * spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+    return frame.repartition(wanted, *frame.columns)
+
+
+def _blocked(q: DataFrame, r: DataFrame, rows_per_slice: int, references_per_list: int):
+    """Queries next to the references they share a piece with, by a shuffle.
+
+    The references of a piece are cut into lists of bounded length, the queries of a
+    hot piece into slices; each pair of slice and list is a block with its own key.
+    A piece that holds a third of all hashes on both sides becomes many blocks.
+    """
+    r_lanes, q_lanes = r.columns[1:], q.columns[1:]
+    lists = skew.hot_keys(r, ["piece"], references_per_list)
+    slices = skew.hot_keys(q, ["piece"], rows_per_slice)
+    listed = (
+        skew.with_slices(r, lists, ["piece"], "_lists")
+        .withColumn("_list", skew.slice_of(r_lanes, "_lists"))
+        .groupBy("piece", "_list").agg(F.collect_list(F.struct(*r_lanes)).alias("found"))
+    )
+    listed = skew.with_slices(listed, slices, ["piece"], "_slices").withColumn(
+        "_slice", skew.all_slices("_slices")
+    )
+    asked = skew.with_slices(q, lists, ["piece"], "_lists")
+    asked = skew.with_slices(asked, slices, ["piece"], "_slices").withColumn(
+        "_slice", skew.slice_of(q_lanes, "_slices")
     )
+    asked = asked.withColumn("_list", skew.all_slices("_lists"))
+    met = asked.join(listed.drop("_slices"), ["piece", "_list", "_slice"])
+    return met.select(*q_lanes, F.inline("found"))
 
 
 def match_pairs(
@@ -59,30 +101,32 @@ def match_pairs(
     query_column: str = "fingerprint_hash",
     broadcast_references: int = BROADCAST_REFERENCES,
     rows_per_slice: int = skew.ROWS_PER_SLICE,
+    references_per_list: int = REFERENCES_PER_LIST,
 ) -> DataFrame:
     """(query_hash, fingerprint_hash, distance) of all pairs within the tolerance
     that share at least `min_shared_bands` bands.
 
-    Equal hashes are looked up once. The distance is a condition of the join, so
-    candidates beyond the tolerance never leave it. A small reference table is
-    broadcast and the queries stay where they are; otherwise both sides are
-    shuffled on the piece, with the rows of a hot piece cut into a grid.
+    Equal hashes are looked up once. Candidates beyond the tolerance are dropped
+    where they are found. A small reference table is broadcast and the queries stay
+    where they are; narrow pieces, which many references share, then come as one list
+    per piece. Otherwise both sides are shuffled in blocks.
     """
     lanes = bits // hashes.LANE_BITS
     width = piece_width(tolerance, band_bytes, min_shared_bands, bits)
-    q = _pieces(queries, query_column, "q", width, bits)
-    r = _pieces(references, "fingerprint_hash", "r", width, bits)
     q_lanes = [F.col(f"q{i}") for i in range(lanes)]
     r_lanes = [F.col(f"r{i}") for i in range(lanes)]
+    unique = _unique_lanes(queries, query_column, "q", bits)
+    r = _pieces(_unique_lanes(references, "fingerprint_hash", "r", bits), width)
     distance = hashes.lane_distance(q_lanes, r_lanes)
     if skew.is_small(references, broadcast_references):
-        near = q.join(F.broadcast(r), "piece")
+        q = _pieces(_spread(unique), width)
+        if width <= NARROW_BITS:
+            lists = r.groupBy("piece").agg(F.collect_list(F.struct(*r_lanes)).alias("found"))
+            near = q.join(F.broadcast(lists), "piece").select(*q_lanes, F.inline("found"))
+        else:
+            near = q.join(F.broadcast(r), "piece")
     else:
-        q, r, keys = skew.salted_grid(
-            q, r, ["piece"], [f"q{i}" for i in range(lanes)], [f"r{i}" for i in range(lanes)],
-            rows_per_slice,
-        )
-        near = q.join(r, keys)
+        near = _blocked(_pieces(unique, width), r, rows_per_slice, references_per_list)
     near = near.filter(distance <= tolerance)
     pairs = near.groupBy(*q_lanes, *r_lanes).agg(F.count(F.lit(1)).alias("shared_bands"))
     if min_shared_bands > 1:

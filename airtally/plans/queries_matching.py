@@ -80,7 +80,7 @@ def lsh_pairs_shuffled(spark, sf):
     """The way taken when the references are too many to broadcast."""
     return m.match_pairs(
         d.fingerprints(spark, sf), d.reference_fingerprints(spark, sf),
-        broadcast_references=0, rows_per_slice=20_000,
+        broadcast_references=0, rows_per_slice=20_000, references_per_list=64,
     )
 
 

@@ -32,11 +32,22 @@ def hot_keys(
     )
 
 
-def _numbered(frame, hot, keys, name) -> DataFrame:
+def with_slices(frame: DataFrame, hot: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Adds the number of slices of each row's key, 1 for keys that are not hot."""
     marked = frame.join(F.broadcast(hot.withColumnRenamed("slices", name)), list(keys), "left")
     return marked.withColumn(name, F.coalesce(name, F.lit(1)))
 
 
+def slice_of(spread: Sequence[str], slices: str) -> Column:
+    """Slice of a row by a hash of the columns that tell rows of one key apart. A hash,
+    not a random number, so that a rerun task makes the same slices."""
+    return F.pmod(F.xxhash64(*spread), F.col(slices)).cast("int")
+
+
+def all_slices(slices: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(slices) - 1))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -47,54 +58,16 @@ def salted_join(
 ) -> DataFrame:
     """Join a large left side to a right side with few rows per key.
 
-    The rows of a hot key are cut into slices by a hash of the `spread` columns,
-    which tell the rows of one key apart; the right rows of that key are repeated
-    once per slice. A hash, not a random number, so that a rerun task makes the
-    same slices.
+    The rows of a hot key are cut into slices, and the right rows of that key are
+    repeated once per slice.
     """
     hot = hot_keys(left, keys, rows_per_slice)
-    l = _numbered(left, hot, keys, "_slices").withColumn(
-        "_slice", F.pmod(F.xxhash64(*spread), F.col("_slices")).cast("int")
-    )
-    r = _numbered(right, hot, keys, "_slices").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
-    )
+    l = with_slices(left, hot, keys, "_slices").withColumn("_slice", slice_of(spread, "_slices"))
+    r = with_slices(right, hot, keys, "_slices").withColumn("_slice", all_slices("_slices"))
     joined = l.drop("_slices").join(r.drop("_slices"), [*keys, "_slice"], how)
     return joined.drop("_slice")
 
 
-def salted_grid(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    left_spread: Sequence[str],
-    right_spread: Sequence[str],
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides ready to be joined on keys that may be hot on either side.
-
-    A key with `a` slices on the left and `b` on the right becomes a grid of
-    a x b cells, each with one slice of both; every pair meets in one cell.
-    """
-    hot_left = hot_keys(left, keys, rows_per_slice)
-    hot_right = hot_keys(right, keys, rows_per_slice)
-
-    def both(frame):
-        return _numbered(_numbered(frame, hot_left, keys, "_a"), hot_right, keys, "_b")
-
-    l = (
-        both(left)
-        .withColumn("_left", F.pmod(F.xxhash64(*left_spread), F.col("_a")).cast("int"))
-        .withColumn("_right", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    )
-    r = (
-        both(right)
-        .withColumn("_right", F.pmod(F.xxhash64(*right_spread), F.col("_b")).cast("int"))
-        .withColumn("_left", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)))
-    )
-    return l.drop("_a", "_b"), r.drop("_a", "_b"), [*keys, "_left", "_right"]
-
-
 def with_halo(frame: DataFrame, time: str, width: int, reach: int) -> DataFrame:
     """Cut each key's time line into buckets of `width`.
 

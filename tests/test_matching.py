@@ -51,7 +51,7 @@ def test_pairs_equal_brute_force(spark, data, tolerance):
 @pytest.mark.parametrize("tolerance", [8, 65])
 def test_shuffled_pairs_with_hot_pieces(spark, data, tolerance):
     q, r = hash_frame(spark, data[0]), hash_frame(spark, data[1])
-    got = m.match_pairs(q, r, tolerance, broadcast_references=0, rows_per_slice=5)
+    got = m.match_pairs(q, r, tolerance, broadcast_references=0, rows_per_slice=5, references_per_list=3)
     assert rows(got) == brute(*data, tolerance)
 
 
