@@ -25,7 +25,7 @@ def hot_keys(
     never has more than 100,000 rows and can be broadcast.
     """
     counts = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    total = frame.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    total = counts.agg(F.sum("rows").alias("rows")).scalar()
     slice_rows = F.greatest(F.lit(float(rows_per_slice)), total / F.lit(MAX_HOT_KEYS))
     return counts.filter(F.col("rows") > slice_rows).select(
         *keys, F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices")
