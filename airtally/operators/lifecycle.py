@@ -146,6 +146,7 @@ def compact(spark: SparkSession, path: str, partition: str, cluster: Sequence[st
     if not plan:
         return {}
     targets = {r[partition]: r["wanted"] for r in plan}
+    folders.check_names(spark, path, partition, targets)
     table = spark.read.parquet(path)
     rows = table.filter(F.col(partition).cast("string").isin(list(targets)))
     ranks = [F.pmod(F.xxhash64(c), F.lit(1 << 16)) for c in cluster]

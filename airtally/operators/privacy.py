@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,49 +104,53 @@ def subject_report(devices: DataFrame, consents: DataFrame, viewership: DataFram
     )
 
 
-def erase_from_table(spark: SparkSession, path: str, devices: DataFrame, partition: str,
-                     key: str = "device_id") -> int:
+def erase_from_table(spark: SparkSession, path: str, devices: DataFrame,
+                     partitions: str | Sequence[str], key: str = "device_id") -> int:
     """Remove devices from a partitioned table; gives the number of rows removed.
 
-    Only partitions that hold such a device are rewritten. The new files replace
-    the old ones when the job commits, and a partition left without rows is
-    dropped. Running it again finds nothing and changes nothing.
+    Only days (values of the first partition column) that hold such a device are
+    rewritten. The new files replace the old ones when the job commits, and a folder
+    left without rows is dropped. Running it again finds nothing and changes nothing.
     """
+    columns = [partitions] if isinstance(partitions, str) else list(partitions)
+    day = columns[0]
     gone = devices.select(key).distinct()
     table = spark.read.parquet(path)
+    texts = [F.col(c).cast("string").alias(c) for c in columns]
     hit = (
-        table.join(gone, key, "left_semi").groupBy(partition)
+        table.join(gone, key, "left_semi").groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("removed"))
     )
-    total = table.groupBy(partition).agg(F.count(F.lit(1)).alias("rows"))
-    # One row per partition folder, as many as the table has days.
-    plan = hit.join(total, partition).withColumn(partition, F.col(partition).cast("string")).collect()
+    total = table.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
+    # One row per folder with a hit; folders are metadata, not data.
+    plan = hit.join(total, columns).select(*texts, "removed", "rows").collect()
     if not plan:
         return 0
-    rewrite = [r[partition] for r in plan if r["removed"] < r["rows"]]
-    if rewrite:
-        kept = table.filter(F.col(partition).cast("string").isin(rewrite))
+    days = sorted({r[day] for r in plan})
+    folders.check_names(spark, path, day, days)
+    if any(r["removed"] < r["rows"] for r in plan):
+        kept = table.filter(F.col(day).cast("string").isin(days))
         (
             kept.join(gone, key, "left_anti")
-            .hint("rebalance", partition)
+            .hint("rebalance", *columns)
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition).parquet(path)
+            .partitionBy(*columns).parquet(path)
         )
-    folders.drop_partitions(
-        spark, path, partition, [r[partition] for r in plan if r["removed"] == r["rows"]]
-    )
+    emptied = [tuple(r[c] for c in columns) for r in plan if r["removed"] == r["rows"]]
+    folders.drop_leaves(spark, path, columns, emptied)
     return sum(r["removed"] for r in plan)
 
 
-def erase_devices(spark: SparkSession, requests: DataFrame, tables: dict[str, str],
-                  audit_path: str, now: Column) -> dict[str, int]:
-    """Erase the devices of the requests from every table (path to partition column),
+def erase_devices(spark: SparkSession, requests: DataFrame,
+                  tables: dict[str, str | Sequence[str]], audit_path: str,
+                  now: Column) -> dict[str, int]:
+    """Erase the devices of the requests from every table (path to partition columns),
     with audit entries before and after. A failure is audited and raised."""
     files.append_audit(files.audit_rows(requests, "data_deletion_initiated", now), audit_path)
     removed: dict[str, int] = {}
     try:
-        for path, partition in tables.items():
-            removed[path] = erase_from_table(spark, path, requests, partition)
+        for path, partitions in tables.items():
+            removed[path] = erase_from_table(spark, path, requests, partitions)
     except Exception:
         files.append_audit(files.audit_rows(requests, "data_deletion_failed", now), audit_path)
         raise

@@ -208,8 +208,9 @@ def privacy_requests(spark, sf_dir) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "opt_out")
         .when(F.col("o_orderstatus") == "O", "erasure")
         .otherwise("portability").alias("request_type"),
-        F.when(F.col("o_orderkey") % 5 == 0, "completed").otherwise("pending").alias("status"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "completed").otherwise("pending").alias("status"),
         F.col("o_orderdate").cast("timestamp").alias("requested_at"),
+        (F.col("o_totalprice") > 490000).alias("escalated"),
     )
 
 
@@ -293,8 +294,8 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT o_orderkey AS id, sha256('device-' || o_custkey) AS device_id,
                {_sql_pick(JURISDICTION_ORDER, 'o_custkey % 3')} AS jurisdiction,
                CASE o_orderstatus WHEN 'F' THEN 'opt_out' WHEN 'O' THEN 'erasure' ELSE 'portability' END AS request_type,
-               CASE WHEN o_orderkey % 5 = 0 THEN 'completed' ELSE 'pending' END AS status,
-               o_orderdate AS requested_at FROM orders"""),
+               CASE WHEN o_orderpriority = '5-LOW' THEN 'completed' ELSE 'pending' END AS status,
+               o_orderdate AS requested_at, o_totalprice > 490000 AS escalated FROM orders"""),
     "campaigns": ((), """
         SELECT c_custkey AS campaign_id, lower(c_mktsegment) AS segment_id,
                CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'paused' END AS status,

@@ -135,7 +135,7 @@ def consent_opt_in_filter(spark, sf):
 
 @query("consent_jurisdiction_filter", _LATEST + """, located AS (SELECT event_id, device_id,
   (['US', 'EU', 'CA'])[CAST(user_id % 3 AS INT) + 1] AS jurisdiction FROM fingerprints),
-answered AS (SELECT * FROM latest WHERE consent_time % 2 = 0)
+answered AS (SELECT * FROM latest WHERE (consent_time // 3600) % 24 >= 12)
 SELECT l.event_id, l.jurisdiction FROM located l LEFT JOIN answered s USING (device_id)
 WHERE CASE WHEN l.jurisdiction IN ('EU', 'CA') THEN coalesce(s.opted_in, false) ELSE coalesce(s.opted_in, true) END""")
 def consent_jurisdiction_filter(spark, sf):
@@ -143,7 +143,7 @@ def consent_jurisdiction_filter(spark, sf):
     events = d.fingerprints(spark, sf).withColumn(
         "jurisdiction", d._pick(d.JURISDICTION_ORDER, F.col("user_id") % 3)
     )
-    answered = consents(spark, sf).filter(F.col("consent_time") % 2 == 0)
+    answered = consents(spark, sf).filter(times.utc_hour("consent_time") >= 12)
     kept = ing.consent_filter(events, answered, "jurisdiction")
     return kept.select("event_id", "jurisdiction")
 

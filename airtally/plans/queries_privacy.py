@@ -93,12 +93,12 @@ def accepted_requests(spark, sf):
     return out.select("id", "device_id", "request_type", "status")
 
 
-# Devices of customers whose latest request is an open one on an even order.
-_GONE = """, gone AS (SELECT DISTINCT device_id FROM privacy_requests WHERE request_type IN ('opt_out', 'erasure') AND id % 64 = 0)"""
+# Devices with an escalated request to be left out or erased.
+_GONE = """, gone AS (SELECT DISTINCT device_id FROM privacy_requests WHERE request_type IN ('opt_out', 'erasure') AND escalated)"""
 
 
 def leaving(spark, sf):
-    return d.privacy_requests(spark, sf).filter(F.col("id") % 64 == 0)
+    return d.privacy_requests(spark, sf).filter("escalated")
 
 
 @query("opt_out_segment_removal", d.views("viewership_enriched", "privacy_requests") + qs._members_cte() + _GONE + """
@@ -231,8 +231,7 @@ def audit_trail(spark, sf):
     path = scratch_path(spark, "audit")
     r = d.privacy_requests(spark, sf)
     entries = files.audit_rows(r, "request", F.col("requested_at"), request_id=F.col("id"))
-    recent = entries.filter(F.col("timestamp") >= F.lit("2001-01-01").cast("timestamp"))
-    files.append_audit(recent, path)
+    files.append_audit(entries, path)
     logs = files.read_audit(spark, path, as_of=F.lit(NOW).cast("timestamp"), days=90)
     return logs.groupBy("device_id_hash").agg(F.count(F.lit(1)).alias("entries"))
 
@@ -272,12 +271,12 @@ def subject_export_csv(spark, sf):
 
 
 @query("mark_sent", d.views("fingerprints") + """
-SELECT event_id, event_id % 9 = 0 OR event_id % 4 = 0 AS transmitted FROM fingerprints WHERE timestamp_utc >= 1706659200 - 20 * 86400""")
+SELECT event_id, event_type IN ('click', 'view') AS transmitted FROM fingerprints WHERE timestamp_utc >= 1706659200 - 20 * 86400""")
 def mark_sent(spark, sf):
     f = d.fingerprints(spark, sf)
-    queue = f.select("event_id", "timestamp_utc", (F.col("event_id") % 9 == 0).alias("transmitted"))
+    queue = f.select("event_id", "timestamp_utc", (F.col("event_type") == "click").alias("transmitted"))
     recent = lifecycle.purge_older(queue, "timestamp_utc", F.lit(1706659200), 20)
-    sent = f.filter(F.col("event_id") % 4 == 0)
+    sent = f.filter(F.col("event_type") == "view")
     return lifecycle.mark_sent(recent, sent).select("event_id", "transmitted")
 
 
@@ -327,7 +326,9 @@ def manifest_source(spark, sf):
         F.concat(F.lit("c-"), "p_partkey").alias("content_id"), F.col("p_name").alias("title"),
         F.concat(F.lit("w"), "p_partkey").alias("wav"),
     )
-    p.groupBy("p_brand").agg(F.collect_list(item).alias("items")).select("items").repartition(8).write.json(path)
+    # Fifty items per document, however many there are in all.
+    block = F.floor(F.col("p_partkey") / 50)
+    p.groupBy(block).agg(F.collect_list(item).alias("items")).select("items").write.json(path)
     # One document per line here; the reader takes any layout.
     items = spark.read.schema("items array<struct<content_id:string,title:string,wav:string>>").json(path)
     return items.select(F.inline("items"))

@@ -361,11 +361,11 @@ def queue_newest_per_device(spark, sf):
 
 
 @query("queue_oldest_unsent", d.views("fingerprints") + """
-SELECT event_id, device_id, timestamp_utc FROM fingerprints WHERE event_id % 4 <> 0
+SELECT event_id, device_id, timestamp_utc FROM fingerprints WHERE event_type <> 'click'
 QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY timestamp_utc, event_id) <= 20""")
 def queue_oldest_unsent(spark, sf):
     f = d.fingerprints(spark, sf).select(
-        "event_id", "device_id", "timestamp_utc", (F.col("event_id") % 4 == 0).alias("transmitted")
+        "event_id", "device_id", "timestamp_utc", (F.col("event_type") == "click").alias("transmitted")
     )
     unsent = f.filter(~F.col("transmitted")).drop("transmitted")
     return sg.keep_first(unsent, ["device_id"], [F.col("timestamp_utc"), F.col("event_id")], 20)

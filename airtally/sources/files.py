@@ -113,6 +113,7 @@ def append_audit(entries: DataFrame, path: str) -> None:
         entries.withColumns(
             dict(zip(("year", "month", "day"), times.date_parts("timestamp")))
         )
+        .hint("rebalance", "year", "month", "day")
         .write.mode("append").partitionBy("year", "month", "day").json(path)
     )
 

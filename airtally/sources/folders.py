@@ -28,6 +28,31 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     return sorted(unquote(n[len(head):]) for n in names if n.startswith(head))
 
 
+def check_names(spark: SparkSession, path: str, column: str, values: Iterable[str]) -> None:
+    """Raise when a value read from the table is not the name of its folder, as with
+    `01` read as a number: such a folder could be neither replaced nor dropped."""
+    strange = sorted(set(values) - set(partition_values(spark, path, column)))
+    if strange:
+        raise ValueError(f"{column} values {strange} are not folder names of {path}")
+
+
+def drop_leaves(spark: SparkSession, path: str, columns: list[str], leaves: Iterable[tuple]) -> None:
+    """Delete leaf folders of a table with several partition columns."""
+    by_first: dict[str, list[tuple]] = {}
+    for leaf in leaves:
+        by_first.setdefault(leaf[0], []).append(leaf[1:])
+    if len(columns) == 1:
+        drop_partitions(spark, path, columns[0], by_first)
+        return
+    where, fs = _fs(spark, path)
+    head = f"{columns[0]}="
+    for status in fs.listStatus(where):
+        name = status.getPath().getName()
+        rest = by_first.get(unquote(name[len(head):])) if name.startswith(head) else None
+        if rest:
+            drop_leaves(spark, status.getPath().toString(), columns[1:], rest)
+
+
 def drop_partitions(spark: SparkSession, path: str, column: str, values: Iterable[str]) -> list[str]:
     """Delete the folders of whole partitions; rows are not read."""
     wanted = set(values)

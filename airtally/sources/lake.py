@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airtally.sources import folders
+
 # By day only: three levels of folders would give very many small files. Rows are
 # clustered by network and genre inside a day instead, so that Parquet statistics
 # still skip most row groups for a filter on those.
@@ -86,3 +88,33 @@ def latest_rows(changes: DataFrame, keys: list[str], order: list[Column]) -> Dat
     others = [c for c in changes.columns if c not in keys and c != "batch_id"]
     last = F.max_by(F.struct(*others), F.struct(*order)).alias("_last")
     return changes.groupBy(*keys).agg(last).select(*keys, "_last.*")
+
+
+def write_snapshot(spark: SparkSession, changes: str, snapshots: str, keys: list[str],
+                   order: list[Column]) -> int | None:
+    """Store the state after the last batch, so that readers need not go through all
+    batches again. Gives the number of that batch."""
+    batches = [int(b) for b in folders.partition_values(spark, changes, "batch_id")]
+    if not batches:
+        return None
+    state = read_state(spark, changes, snapshots, keys, order)
+    last = max(batches)
+    state.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+        f"{snapshots}/upto={last}"
+    )
+    return last
+
+
+def read_state(spark: SparkSession, changes: str, snapshots: str, keys: list[str],
+               order: list[Column]) -> DataFrame:
+    """Newest finished snapshot with the batches after it."""
+    done = [
+        int(n) for n in folders.partition_values(spark, snapshots, "upto")
+        if folders.exists(spark, f"{snapshots}/upto={n}/_SUCCESS")
+    ]
+    table = spark.read.parquet(changes)
+    if not done:
+        return latest_rows(table, keys, order)
+    newer = table.filter(F.col("batch_id").cast("bigint") > max(done)).drop("batch_id")
+    base = spark.read.parquet(f"{snapshots}/upto={max(done)}")
+    return latest_rows(base.unionByName(newer), keys, order)

@@ -123,6 +123,39 @@ def test_change_tables_store_a_batch_once(spark, tmp_path):
     assert rows(lake.latest_rows(spark.read.parquet(path), ["k"], [F.col("at")])) == [("a", 2, 20), ("b", 1, 10)]
 
 
+def test_snapshots_carry_the_state_on(spark, tmp_path):
+    changes, snapshots = str(tmp_path / "changes"), str(tmp_path / "snapshots")
+    order = [F.col("at")]
+    schema = "k string, v int, at int"
+    for batch, data in enumerate(([("a", 1, 1), ("b", 1, 1)], [("a", 2, 2)], [("c", 3, 3), ("b", 0, 0)])):
+        lake.append_changes(spark.createDataFrame(data, schema), changes, batch)
+        if batch == 1:
+            assert lake.write_snapshot(spark, changes, snapshots, ["k"], order) == 1
+    want = [("a", 2, 2), ("b", 1, 1), ("c", 3, 3)]
+    assert rows(lake.read_state(spark, changes, snapshots, ["k"], order)) == want
+    assert rows(lake.latest_rows(spark.read.parquet(changes), ["k"], order)) == want
+    assert lake.write_snapshot(spark, changes, snapshots, ["k"], order) == 2
+    assert rows(lake.read_state(spark, changes, snapshots, ["k"], order)) == want
+
+
+def test_erasure_in_the_fine_layout(spark, tmp_path):
+    path = str(tmp_path / "fine")
+    data = [("d1", "2024-01-01", "A#1", "x", 1), ("d2", "2024-01-01", "A#1", "y", 1), ("d1", "2024-01-01", "B", "x", 1), ("d2", "2024-01-02", "B", "x", 1)]
+    frame = spark.createDataFrame(data, "device_id string, watch_date string, network string, genre string, duration_minutes int")
+    lake.write_viewership(frame, path, partitions=lake.FINE_PARTITIONS)
+    gone = spark.createDataFrame([("d1",)], "device_id string")
+    assert privacy.erase_from_table(spark, path, gone, lake.FINE_PARTITIONS) == 2
+    left = spark.read.parquet(path).select("device_id", "network", "genre")
+    assert rows(left) == [("d2", "A#1", "y"), ("d2", "B", "x")]
+
+
+def test_partition_values_must_be_folder_names(spark, tmp_path):
+    path = str(tmp_path / "months")
+    spark.createDataFrame([("d1", "01"), ("d2", "01")], "device_id string, month string").write.partitionBy("month").parquet(path)
+    with pytest.raises(ValueError, match="folder names"):
+        privacy.erase_from_table(spark, path, spark.createDataFrame([("d1",)], "device_id string"), "month")
+
+
 def test_member_sets_replace_only_what_is_refreshed(spark, tmp_path):
     path = str(tmp_path / "members")
     first = spark.createDataFrame([("a", "d1"), ("b", "d1"), ("c", "d1")], "segment_id string, device_id string")
