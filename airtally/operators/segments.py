@@ -150,8 +150,16 @@ def literal_condition(segment: Segment, as_of: Column) -> Column:
 
 
 def population(viewership: DataFrame, segment: Segment, as_of: Column) -> DataFrame:
-    """Distinct members of one segment."""
+    """Distinct members of one segment.
+
+    A rule with hours per week asks, beside its condition, for devices that reach
+    them within the lookback.
+    """
     rows = viewership.filter(segment_condition(validate(segment), as_of))
+    for hours in {r.min_hours_week for r in segment.rules if r.min_hours_week}:
+        since = F.date_sub(as_of, segment.lookback_days)
+        busy = engaged(viewership.filter(F.col("viewing_date") >= since), hours)
+        rows = rows.join(busy.select("device_id"), "device_id", "left_semi")
     return rows.select("household_id", "device_id").distinct().withColumn(
         "segment_id", F.lit(segment.segment_id)
     )
@@ -159,11 +167,14 @@ def population(viewership: DataFrame, segment: Segment, as_of: Column) -> DataFr
 
 def populations(viewership: DataFrame, segments: Sequence[Segment], as_of: Column) -> DataFrame:
     """Distinct (segment_id, household_id, device_id) of many segments in one scan.
+    Definitions with hours per week need `population`.
 
     Rows outside the longest lookback are dropped before anything else, which
     prunes partitions of a table laid out by date.
     """
     checked = [validate(s) for s in segments]
+    if any(r.min_hours_week for s in checked for r in s.rules):
+        raise ValueError("definitions with hours per week are evaluated one by one")
     longest = max(s.lookback_days for s in checked)
     recent = viewership.filter(F.col("viewing_date") >= F.date_sub(as_of, longest))
     tags = [F.when(segment_condition(s, as_of), F.lit(s.segment_id)) for s in checked]

@@ -224,16 +224,20 @@ def payout_report_files(spark, sf):
     )
 
 
-@query("audit_trail", _REQ + """
-SELECT sha256(device_id) AS device_id_hash, count(*) AS entries FROM privacy_requests WHERE requested_at >= TIMESTAMP '2001-05-03' GROUP BY 1""")
+@query("audit_trail", d.views("consent_events") + """
+SELECT sha256(device_id) AS device_id_hash, jurisdiction, count(*) AS entries, count(DISTINCT event_id) AS events
+FROM consent_events WHERE consent_time >= epoch_us(TIMESTAMP '2024-01-24') // 1000000 GROUP BY 1, 2""")
 def audit_trail(spark, sf):
-    """Audit entries of all requests, read back for the last 90 days."""
+    """Audit entries of all consent changes, read back for the last seven days."""
     path = scratch_path(spark, "audit")
-    r = d.privacy_requests(spark, sf)
-    entries = files.audit_rows(r, "request", F.col("requested_at"), request_id=F.col("id"))
+    at = F.timestamp_seconds("consent_time")
+    entries = files.audit_rows(d.consent_events(spark, sf), "consent", at, event_id=F.col("event_id"))
     files.append_audit(entries, path)
-    logs = files.read_audit(spark, path, as_of=F.lit(NOW).cast("timestamp"), days=90)
-    return logs.groupBy("device_id_hash").agg(F.count(F.lit(1)).alias("entries"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    logs = files.read_audit(spark, path, as_of=now, days=7)
+    return logs.groupBy("device_id_hash", "jurisdiction").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_distinct(F.col("metadata")["event_id"]).alias("events")
+    )
 
 
 _SUBJECT = d.views("viewership_enriched", "privacy_requests", "consent_events") + qs._members_cte() + """, latest AS (SELECT * FROM consent_events

@@ -60,6 +60,14 @@ def test_rules_and_logic(spark, views):
     assert ids(sg.population(views, seg([between], extended=True), as_of())) == ["d2"]
 
 
+def test_hours_per_week(spark, views):
+    area = {"type": "dma", "value": ["501", "502"], "min_hours_week": 2}
+    assert ids(sg.population(views, seg([area]), as_of())) == ["d1", "d2"]
+    assert ids(sg.population(views, seg([{**area, "min_hours_week": 4.5}]), as_of())) == ["d2"]
+    with pytest.raises(ValueError):
+        sg.populations(views, [seg([area])], as_of())
+
+
 def test_lookback_binds_to_all_rules_or_only_the_last(spark, views):
     s = seg([{"type": "watched_genre", "value": "sports"}, {"type": "watched_network", "value": "AMC"}], "OR")
     assert ids(sg.population(views, s, as_of())) == ["d1", "d2"]

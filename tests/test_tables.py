@@ -218,6 +218,13 @@ def test_reports_exports_and_manifests(spark, tmp_path):
     assert (seeded.content_id, seeded.genre, seeded.episode) == ("c1:1500", "unknown", None)
 
 
+def test_dimensions(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "dims/segments"))
+    got = files.read_dimension(spark, str(tmp_path / "dims"), "segments", F.col("id") > 7)
+    assert sorted(r.id for r in got.collect()) == [8, 9]
+    assert "GreaterThan(id,7)" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hash_lines(spark, tmp_path):
     (tmp_path / "h.txt").write_text(f"0 {'A' * 64}\n1500   {'b' * 64}\nbad line\n\n7 short\n")
     assert rows(files.read_hash_lines(spark, str(tmp_path / "h.txt"))) == [(0, "a" * 64), (1500, "b" * 64)]
