@@ -35,9 +35,12 @@ def confidence_tier(col: Column | str) -> Column:
     return F.when(c > 0.95, "exact").when(c >= 0.85, "fuzzy").otherwise("none")
 
 
-def percent_int(part: Column, total: Column) -> Column:
-    """Whole percent, truncated, with a denominator of one at least."""
-    return (part / F.greatest(total, F.lit(1.0)) * 100).cast("int")
+def percent_int(part: Column, total: Column, least: int = 1) -> Column:
+    """Whole percent, truncated, with a denominator of `least` at least.
+
+    Both numbers are whole, so the result does not hang on the order of a sum.
+    """
+    return (part * 100 / F.greatest(total, F.lit(least))).cast("int")
 
 
 def expected_impressions(devices: Column | str) -> Column:

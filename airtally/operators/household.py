@@ -10,6 +10,8 @@ from airtally.functions.scoring import percent_int
 from airtally.functions.times import daypart
 
 BRAND_TYPE = "array<struct<brand:string,score:int>>"
+# Shares of hours have a denominator of one hour at least.
+MINUTES_FLOOR = 60
 BRAND_NOTE = "brand affinity needs a brand catalog"
 
 
@@ -25,9 +27,10 @@ def genre_hours(viewership: DataFrame) -> DataFrame:
         viewership.filter(F.col("genre").isNotNull())
         .groupBy("household_id", "genre")
         .agg(
-            (F.sum("duration_minutes") / 60).alias("watch_hours"),
+            F.sum("duration_minutes").alias("watch_minutes"),
             F.count(F.lit(1)).alias("view_count"),
         )
+        .withColumn("watch_hours", F.col("watch_minutes") / 60)
     )
 
 
@@ -47,16 +50,16 @@ def genre_affinity(viewership: DataFrame) -> DataFrame:
     """
     mine = W.partitionBy("household_id")
     hours = genre_hours(viewership)
-    total = F.sum("watch_hours").over(mine)
-    return hours.withColumn("total_hours", total).withColumn(
-        "score", percent_int(F.col("watch_hours"), F.col("total_hours"))
+    total = F.sum("watch_minutes").over(mine)
+    return hours.withColumn("total_minutes", total).withColumn(
+        "score", percent_int(F.col("watch_minutes"), F.col("total_minutes"), MINUTES_FLOOR)
     )
 
 
 def daypart_share(viewership: DataFrame) -> DataFrame:
     mine = W.partitionBy("household_id")
     counts = daypart_counts(viewership)
-    total = F.sum("view_count").over(mine).cast("double")
+    total = F.sum("view_count").over(mine)
     return counts.withColumn("percentage", percent_int(F.col("view_count"), total))
 
 
@@ -81,7 +84,7 @@ def brand_affinity(viewership: DataFrame, brands: DataFrame | None = None) -> Da
         .join(brands.select("content_id", "brand").distinct(), "content_id")
         .groupBy("household_id", "brand").agg(F.sum("n").alias("n"))
     )
-    total = F.sum("n").over(W.partitionBy("household_id")).cast("double")
+    total = F.sum("n").over(W.partitionBy("household_id"))
     scored = seen.withColumn("score", percent_int(F.col("n"), total))
     return scored.groupBy("household_id").agg(
         F.sort_array(F.collect_list(F.struct("brand", "score"))).alias("brand_affinity_signals"),
@@ -105,22 +108,25 @@ def profiles(viewership: DataFrame) -> DataFrame:
         )
         .agg(
             F.grouping("daypart").alias("by_genre"),
-            (F.sum("duration_minutes") / 60).alias("watch_hours"),
+            F.sum("duration_minutes").alias("watch_minutes"),
             F.count(F.lit(1)).alias("view_count"),
         )
         .filter(F.coalesce("genre", "daypart").isNotNull())
         .repartition("household_id")
     )
     is_genre = F.col("by_genre") == 1
-    size = F.when(is_genre, F.col("watch_hours")).otherwise(F.col("view_count").cast("double"))
+    size = F.when(is_genre, F.col("watch_minutes")).otherwise(F.col("view_count"))
+    share = F.when(is_genre, percent_int(F.col("size"), F.col("total"), MINUTES_FLOOR)).otherwise(
+        percent_int(F.col("size"), F.col("total"))
+    )
     total = F.sum("size").over(W.partitionBy("household_id", "by_genre"))
-    scored = cells.withColumn("size", size).withColumn("share", percent_int(F.col("size"), total))
+    scored = cells.withColumn("size", size).withColumn("total", total).withColumn("share", share)
     genre_score = F.struct("genre", F.col("share").alias("score"))
     daypart_part = F.struct("daypart", F.col("share").alias("percentage"))
     return (
         scored.groupBy("household_id")
         .agg(
-            F.sum(F.when(is_genre, F.col("watch_hours"))).alias("total_hours_watched"),
+            (F.sum(F.when(is_genre, F.col("watch_minutes"))) / 60).alias("total_hours_watched"),
             F.sort_array(F.collect_list(F.when(is_genre, genre_score)))
             .alias("genre_affinity_scores"),
             F.sort_array(F.collect_list(F.when(~is_genre, daypart_part)))

@@ -11,18 +11,18 @@ from airtally.plans.registry import query
 AS_OF = "2024-01-31"
 
 _GENRE = """, genre_hours AS (
-  SELECT household_id, genre, sum(duration_minutes) / 60.0 AS watch_hours, count(*) AS view_count
+  SELECT household_id, genre, CAST(sum(duration_minutes) AS BIGINT) AS minutes, sum(duration_minutes) / 60.0 AS watch_hours, count(*) AS view_count
   FROM viewership WHERE genre IS NOT NULL GROUP BY ALL),
 genre_scored AS (
   SELECT *, sum(watch_hours) OVER (PARTITION BY household_id) AS total_hours,
-         CAST(trunc(CAST(watch_hours AS DOUBLE) / greatest(CAST(sum(watch_hours) OVER (PARTITION BY household_id) AS DOUBLE), 1.0) * 100) AS INT) AS score
+         CAST(minutes * 100 // greatest(sum(minutes) OVER (PARTITION BY household_id), 60) AS INT) AS score
   FROM genre_hours)"""
 _DAYPART = """, daypart_counts AS (
   SELECT household_id, CASE WHEN watch_hour BETWEEN 6 AND 11 THEN 'morning' WHEN watch_hour BETWEEN 12 AND 17 THEN 'afternoon'
          WHEN watch_hour BETWEEN 18 AND 22 THEN 'primetime' ELSE 'latenight' END AS daypart, count(*) AS view_count
   FROM viewership GROUP BY ALL),
 daypart_scored AS (
-  SELECT *, CAST(trunc(CAST(view_count AS DOUBLE) / greatest(CAST(sum(view_count) OVER (PARTITION BY household_id) AS DOUBLE), 1.0) * 100) AS INT) AS percentage
+  SELECT *, CAST(view_count * 100 // greatest(sum(view_count) OVER (PARTITION BY household_id), 1) AS INT) AS percentage
   FROM daypart_counts)"""
 
 
@@ -86,7 +86,7 @@ def distinct_households(spark, sf):
 @query("brand_affinity", d.views("viewership") + """, seen AS (
   SELECT household_id, network AS brand, count(*) AS n FROM viewership GROUP BY ALL)
 SELECT household_id, brand,
-       CAST(trunc(CAST(n AS DOUBLE) / greatest(CAST(sum(n) OVER (PARTITION BY household_id) AS DOUBLE), 1.0) * 100) AS INT) AS score
+       CAST(n * 100 // greatest(sum(n) OVER (PARTITION BY household_id), 1) AS INT) AS score
 FROM seen""")
 def brand_affinity(spark, sf):
     brands = d.content(spark, sf).select("content_id", F.col("network").alias("brand"))

@@ -388,7 +388,7 @@ def households_recent_scan(spark, sf):
     """The nightly job's scan: the last week of the lake, rolled up."""
     path = lake_copy(spark, sf, "nightly")
     recent = hh.recent(lake.read_viewership(spark, path), F.lit("2024-01-31").cast("date"), 7)
-    return hh.genre_hours(recent).drop("watch_hours")
+    return hh.genre_hours(recent).drop("watch_hours", "watch_minutes")
 
 
 @query("partition_listing", d.views("viewership") + "SELECT DISTINCT watch_date FROM viewership")

@@ -112,14 +112,14 @@ def report_totals(spark, sf):
     return _round(_round(out, "spend_usd"), "frequency", "avg_cpm", digits=6)
 
 
-_CAMPAIGNS = d.views("campaigns") + """, spent AS (SELECT o_custkey AS campaign_id, sum(o_totalprice) / 1000 AS spend, count(*) * 5000 AS impressions FROM orders GROUP BY 1),
+_CAMPAIGNS = d.views("campaigns") + """, spent AS (SELECT o_custkey AS campaign_id, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS DOUBLE) / 1000 AS spend, count(*) * 5000 AS impressions FROM orders GROUP BY 1),
 c AS (SELECT campaign_id, segment_id, status, budget_usd, coalesce(spend, 0.0) AS spend_to_date_usd, coalesce(impressions, 0) AS impressions_delivered
   FROM campaigns LEFT JOIN spent USING (campaign_id))"""
 
 
 def running_campaigns(spark, sf):
     spent = d.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("campaign_id")).agg(
-        (F.sum("o_totalprice") / 1000).alias("spend_to_date_usd"),
+        (F.sum(F.floor("o_totalprice")) / 1000).alias("spend_to_date_usd"),
         (F.count(F.lit(1)) * 5000).alias("impressions_delivered"),
     )
     joined = d.campaigns(spark, sf).join(spent, "campaign_id", "left")
@@ -132,11 +132,11 @@ def running_campaigns(spark, sf):
 
 
 @query("campaign_ecpm", _CAMPAIGNS + """
-SELECT campaign_id, round(CASE WHEN impressions_delivered = 0 THEN 0.0 ELSE spend_to_date_usd / impressions_delivered * 1000 END, 4) AS ecpm,
-  round(CASE WHEN budget_usd = 0 THEN 0.0 ELSE spend_to_date_usd / budget_usd * 100 END, 4) AS budget_used_percent FROM c""")
+SELECT campaign_id, round(CASE WHEN impressions_delivered = 0 THEN 0.0 ELSE spend_to_date_usd / impressions_delivered * 1000 END, 8) AS ecpm,
+  round(CASE WHEN budget_usd = 0 THEN 0.0 ELSE spend_to_date_usd / budget_usd * 100 END, 8) AS budget_used_percent FROM c""")
 def campaign_ecpm(spark, sf):
     out = rp.campaign_rates(running_campaigns(spark, sf))
-    return _round(out.select("campaign_id", "ecpm", "budget_used_percent"), "ecpm", "budget_used_percent")
+    return _round(out.select("campaign_id", "ecpm", "budget_used_percent"), "ecpm", "budget_used_percent", digits=8)
 
 
 @query("campaign_segment_names", d.views("campaigns") + """, s AS (SELECT segment_id, 'Segment ' || segment_id AS name FROM (SELECT DISTINCT segment_id FROM campaigns))

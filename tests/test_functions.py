@@ -190,7 +190,7 @@ def test_reach_model(spark):
 
 
 def test_shares_and_confidence(spark):
-    got = one(spark, scoring.percent_int(lit(0.5), lit(0.5)), scoring.percent_int(lit(2.0), lit(3.0)),
+    got = one(spark, scoring.percent_int(lit(30), lit(30), 60), scoring.percent_int(lit(2), lit(3)),
               scoring.match_confidence(lit(None).cast("double")), scoring.match_confidence(lit(1.5)),
               scoring.reach_percent(lit(1_000_000)), scoring.reach_percent(lit(60_000_000)),
               scoring.confidence_tier(lit(0.96)), scoring.confidence_tier(lit(0.9)), scoring.confidence_tier(lit(0.5)))
