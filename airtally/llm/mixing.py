@@ -64,11 +64,14 @@ def apportion(shares: Sequence[float], seats: int, most: Sequence[int]) -> list[
             middle = (low + high) / 2
             if middle in (low, high):
                 break
-            tried = np.minimum(limit, np.floor(share / (2 * middle) + 0.5).astype(np.int64))
+            tried = np.minimum(limit, np.floor(share / (2 * middle) + 0.5)).astype(np.int64)
             if tried.sum() > seats:
                 low = middle
             else:
                 high, given = middle, tried
+            if given.sum() == seats:
+                break
+        given = np.maximum(given - 1, 0)  # the last seats go by exact order, ties included
     waiting = [(-share[i] / (2 * int(given[i]) + 1), i) for i in range(len(share)) if given[i] < limit[i]]
     heapq.heapify(waiting)
     for _ in range(seats - int(given.sum())):
