@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airtally.llm import bpe, exact_dedup, language, mixing
+from airtally.llm import bpe, exact_dedup, language, licenses, mixing, quality, topk
 from airtally.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,6 +28,40 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_quality")
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, weights = quality.fit(docs)
+    return quality.assess(docs, model, weights)
+
+
+@query("op2_topk", """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), q AS (
+        SELECT vec_id AS query_id, unnest(e) AS x, generate_subscripts(e, 1) AS i, len(e) AS n
+        FROM v WHERE vec_id % 50 = 0
+    ), c AS (
+        SELECT vec_id, unnest(e) AS y, generate_subscripts(e, 1) AS i, len(e) AS n FROM v
+    ), s AS (
+        SELECT query_id, vec_id, CAST(sum(x * y) AS BIGINT) AS score
+        FROM q JOIN c USING (i, n) WHERE query_id <> vec_id GROUP BY query_id, vec_id
+    ), r AS (
+        SELECT query_id,
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM s
+    )
+    SELECT * FROM r WHERE rank <= 5
+""")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 @query("op3_exact_dedup", """
     SELECT doc_id,
            max(doc_id) OVER same AS keep_id,
@@ -41,10 +75,15 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_licenses")
+def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarize(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 @query("op6_bpe")
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
-    return bpe.decode(encoded, VOCABULARY).select(
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, VOCABULARY, PATTERN, round_trip=True).select(
         "doc_id", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
