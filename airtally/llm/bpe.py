@@ -26,7 +26,9 @@ from airtally.llm.tables import documents_of
 
 NONE = 1 << 30
 LONG_PIECE = 65
-CACHED_PIECES = 700_000
+CACHED_PIECES = 250_000
+CHUNK_CHARS = 1_000_000
+BATCH_ROWS = 1000
 MAX_VOCABULARY = 2_000_000
 
 
@@ -196,7 +198,7 @@ class Merger:
         start = 0
         while start < len(texts):
             stop, size = start, 0
-            while stop < len(texts) and (stop == start or size < 4_000_000):
+            while stop < len(texts) and (stop == start or size < CHUNK_CHARS):
                 size += len(texts[stop])
                 stop += 1
             pieces = [self.split(text) for text in texts[start:stop]]
@@ -232,8 +234,9 @@ def shared_ranks(spark: SparkSession, vocabulary: str):
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), one row per row of `docs`.
+           text_col: str = "text", round_trip: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), one row per row of `docs`; with
+    `round_trip` also decoded (binary), the bytes that the ids decode to, found in the same pass.
 
     No text and empty text have no tokens. Whole texts are encoded; strings of special tokens are
     ordinary text. Repeated rows give repeated rows, an empty table gives none, and other columns
@@ -244,14 +247,21 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = Merger(ranks.value, pattern)
-        for batch in batches:
-            ids = merger.encode(batch.column(1).to_pylist())
-            counts = pa.array([len(each) // 4 for each in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        decoder = Decoder(ranks.value) if round_trip else None
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                ids = merger.encode(batch.column(1).to_pylist())
+                columns = [batch.column(0), pa.array([len(each) // 4 for each in ids], pa.int64()),
+                           pa.array(ids, pa.binary())]
+                if decoder:
+                    columns.append(pa.array(map(decoder.decode, ids), pa.binary(), size=len(ids)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    schema = f"doc_id {kind}, n_tokens long, ids binary" + (", decoded binary" if round_trip else "")
+    names = ["doc_id", "n_tokens", "ids", "decoded"][:4 if round_trip else 3]
+    return source.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
