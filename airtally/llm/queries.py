@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airtally.llm import bpe, exact_dedup, language, licenses, mixing, quality, topk
+from airtally.llm import bpe, exact_dedup, language, licenses, mixing, packing, quality, topk
 from airtally.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -98,6 +98,11 @@ def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op9_packing")
+def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
+
+
 @query("op10_mixing")
 def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
