@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airtally.llm import bpe, exact_dedup, language, licenses, mixing, packing, quality, topk
+from airtally.llm import bpe, exact_dedup, jaccard, language, licenses, mixing, packing, quality, topk
 from airtally.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -90,6 +90,11 @@ def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_jaccard")
+def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op8_language")
 def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
