@@ -471,7 +471,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     width: int = 5, threshold: tuple[int, int] = (80, 100), **options) -> DataFrame:
     """The rows of `docs` that stay when of each component only the document with the smallest id does,
-    with their own columns; repeated rows of that id with the same component all stay."""
+    with their own columns. Rows without id stay, and so do all rows of an id that stays."""
     found = near_duplicates(docs, id_col, text_col, width, threshold, **options)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_gone")).distinct()

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airtally.llm import bpe, exact_dedup, jaccard, language, licenses, mixing, packing, quality, topk
+from airtally.llm import (
+    bpe, exact_dedup, jaccard, language, licenses, mixing, packing, quality, substrings, topk,
+)
 from airtally.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -80,6 +82,11 @@ def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarize(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+@query("op5_repeats")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op6_bpe")
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
