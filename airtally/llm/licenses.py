@@ -164,6 +164,8 @@ def signature_rules() -> list[Rule]:
 
 def _rule_array(rules: list[Rule]) -> Column:
     """Rules as one literal; a match is a place, not a stretch, so that matches may overlap."""
+    kind = ("array<struct<priority:int,rule:int,label:string,keyword:string,confidence:double,"
+            "pattern:string>>")
     return F.array(*[
         F.struct(
             F.lit(rule.priority).alias("priority"), F.lit(number).alias("rule"),
@@ -172,7 +174,7 @@ def _rule_array(rules: list[Rule]) -> Column:
             F.lit(f"(?<= )(?=({rule.pattern}) )").alias("pattern"),
         )
         for number, rule in enumerate(rules)
-    ])
+    ]).cast(kind)
 
 
 def _blanks(text: Column) -> Column:
@@ -253,7 +255,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(gated, words).alias("words"),
     )
     line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(r.keyword for r in rules)])
+    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(r.keyword for r in rules)]).cast("array<string>")
     lines = lines.select(
         "doc_id", "n_words", F.when(F.size("words") > 0, line).alias("line"),
         F.array_intersect(keywords, F.col("words")).alias("keywords"))
