@@ -253,9 +253,10 @@ def repeated_windows(first: np.ndarray, place: np.ndarray, data: list[bytes], le
 
 def _bucket_marks(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        if not rows.num_rows:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         place, first = (rows.column(c).to_numpy() for c in ("place", "first"))
         low, high = repeated_windows(first, place, rows.column("bytes").to_pylist(), length)
         hit = high >= 0
@@ -331,6 +332,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     at = max(at, stop)
                 kept = b"".join([*kept, raw[at:]])
                 rows.append((key, n, len(raw) - len(kept), runs, kept))
+            if not rows:
+                continue
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])],
                 ["key", "n", "removed", "runs", "rest"])

@@ -27,7 +27,7 @@ def test_top_k(spark):
     rnd = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rnd.normal(size=6)]) for i in range(700)]
     rows += [(i, rows[0][1]) for i in range(700, 760)]  # ties
-    rows += [(800, None), (801, []), (802, [1.0, None, 0, 0, 0, 0]), (803, [float("nan")] * 6),
+    rows += [(800, None), (801, []), (802, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (803, [float("nan")] * 6),
              (804, [float("inf")] * 6), (805, [0.0] * 6), (806, [1.0, 2.0]), (810, [3.0, -1.0]), (None, [1.0] * 6),
              (850, [1e7] * 6), (900, [-1e-9] * 6)]
     frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows],
