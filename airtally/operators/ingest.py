@@ -45,8 +45,9 @@ def with_asn(events: DataFrame, ranges: DataFrame, ip: str = "ip_address",
              broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
     """Adds the `asn` of an address, null for unknown or invalid ones.
 
-    Ranges are cut at /16 borders, which turns the range join into an equal join
-    on the block with the range test as a further condition. Ranges do not overlap.
+    Ranges are cut at /16 borders, which turns the range join into an equal join on the
+    block, one row of ranges per block. Of ranges that overlap the narrowest one counts
+    (then the smallest number), so each event stays one row.
     """
     cut = ranges.select(
         F.explode(
@@ -57,20 +58,15 @@ def with_asn(events: DataFrame, ranges: DataFrame, ip: str = "ip_address",
     numbered = events.withColumn("_ip", identity.ip_number(ip)).withColumn(
         "_block", F.shiftright("_ip", 16)
     )
-    if skew.is_small(ranges, broadcast_ranges):
-        inside = F.col("_ip").between(F.col("_range.lo"), F.col("_range.hi"))
-        joined = numbered.alias("e").join(
-            F.broadcast(cut.alias("c")),
-            (F.col("e._block") == F.col("c._block")) & inside, "left",
-        )
-        return joined.select(
-            *[F.col(f"e.`{c}`") for c in events.columns], F.col("_range.asn").alias("asn")
-        )
-    # One row per block with its ranges, so that an event finds a single row.
     blocks = cut.groupBy("_block").agg(F.collect_list("_range").alias("_ranges"))
-    joined = skew.salted_join(numbered, blocks, ["_block"], spread, "left")
-    hit = F.filter("_ranges", lambda r: F.col("_ip").between(r["lo"], r["hi"]))
-    return joined.select(*events.columns, F.get(hit, F.lit(0))["asn"].alias("asn"))
+    if skew.is_small(ranges, broadcast_ranges):
+        joined = numbered.join(F.broadcast(blocks), "_block", "left")
+    else:
+        joined = skew.salted_join(numbered, blocks, ["_block"], spread, "left")
+    hits = F.filter("_ranges", lambda r: F.col("_ip").between(r["lo"], r["hi"]))
+    narrowest = F.array_min(F.transform(
+        hits, lambda r: F.struct((r["hi"] - r["lo"]).alias("width"), r["asn"].alias("asn"))))
+    return joined.select(*events.columns, narrowest["asn"].alias("asn"))
 
 
 def is_datacenter(asn: Column | str) -> Column:
@@ -121,37 +117,59 @@ def ingest_totals(validated: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def latest_consents(consents: DataFrame, order: tuple[str, ...] = ("consent_time",)) -> DataFrame:
-    """Last choice per device. The aggregate combines on the map side, so a device
-    with very many records does not reach a single task in full."""
+    """Last choice per device; of choices at the same time a refusal counts. The aggregate
+    combines on the map side, so a device with very many records does not reach a
+    single task in full."""
     others = [c for c in consents.columns if c != "device_id"]
-    last = F.max_by(F.struct(*others), F.struct(*order)).alias("last")
+    refusal = [(~F.col("opted_in")).alias("_refused")] if "opted_in" in others else []
+    last = F.max_by(F.struct(*others), F.struct(*order, *refusal)).alias("last")
     return consents.groupBy("device_id").agg(last).select("device_id", "last.*")
 
 
-def consent_filter(events: DataFrame, consents: DataFrame, mode: str = "jurisdiction") -> DataFrame:
+def _agreed(events: DataFrame, consents: DataFrame, default_jurisdiction: str | None) -> DataFrame:
+    """Adds `_agreed`: an opt-in in the EU and CA, no opt-out elsewhere."""
+    named = "jurisdiction" in events.columns
+    if not named and default_jurisdiction is None:
+        raise ValueError("events without a jurisdiction need default_jurisdiction")
+    recorded = "jurisdiction" in consents.columns
+    choice = consents.select(
+        "device_id", F.col("opted_in").alias("_opted_in"),
+        (F.col("jurisdiction") if recorded else F.lit(None).cast("string")).alias("_recorded"))
+    joined = events.join(choice, "device_id", "left")
+    place = F.coalesce(
+        F.col("jurisdiction") if named else F.lit(None), F.col("_recorded"), F.lit(default_jurisdiction))
+    allowed = F.when(place.isin("EU", "CA"), F.col("_opted_in")).otherwise(
+        F.coalesce("_opted_in", F.lit(True)))
+    return joined.withColumn("_agreed", F.coalesce(allowed, F.lit(False)))
+
+
+def with_consent_reason(validated: DataFrame, consents: DataFrame,
+                        default_jurisdiction: str | None = None) -> DataFrame:
+    """Rejects accepted events without consent, with the reason `no_consent`."""
+    marked = _agreed(validated, consents, default_jurisdiction)
+    reason = F.coalesce("reject_reason", F.when(~F.col("_agreed"), "no_consent"))
+    others = [c for c in validated.columns if c != "reject_reason"]
+    return marked.select(*others, reason.alias("reject_reason"))
+
+
+def consent_filter(events: DataFrame, consents: DataFrame, mode: str = "jurisdiction",
+                   default_jurisdiction: str | None = None) -> DataFrame:
     """Events that may be used.
 
     `opt_out` drops devices that opted out, `opt_in` keeps only devices that opted
     in, `jurisdiction` asks for an opt-in in the EU and CA and for no opt-out
-    elsewhere. `consents` has one row per device.
+    elsewhere. The place is the event's `jurisdiction`, else the one in the device's
+    record, else `default_jurisdiction`; events without the column need that default, so
+    that a device without a record is judged too. `consents` has one row per device.
     """
-    refused = consents.filter(~F.col("opted_in")).select("device_id")
-    agreed = consents.filter(F.col("opted_in")).select("device_id")
     if mode == "opt_out":
+        refused = consents.filter(~F.col("opted_in")).select("device_id")
         return events.join(refused, "device_id", "left_anti")
     if mode == "opt_in":
+        agreed = consents.filter(F.col("opted_in")).select("device_id")
         return events.join(agreed, "device_id", "left_semi")
     if mode == "jurisdiction":
-        allowed = F.when(F.col("jurisdiction").isin("EU", "CA"), F.col("opted_in")).otherwise(
-            F.coalesce("opted_in", F.lit(True))
-        )
-        needs = "jurisdiction" in events.columns
-        if not needs:
-            blocked = consents.filter(~F.coalesce(allowed, F.lit(False))).select("device_id")
-            return events.join(blocked, "device_id", "left_anti")
-        choice = consents.select("device_id", "opted_in")
-        joined = events.join(choice, "device_id", "left")
-        return joined.filter(F.coalesce(allowed, F.lit(False))).select(*events.columns)
+        return _agreed(events, consents, default_jurisdiction).filter("_agreed").select(*events.columns)
     raise ValueError(f"unknown consent mode {mode!r}")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from airtally.functions import hashes, scoring
 from airtally.plans import skew
+from airtally.session import saved
 
 DEFAULT_TOLERANCE = 65
 # 50,000 references are at most about 1.6 million band rows, some 150 MB as a
@@ -16,6 +17,9 @@ BROADCAST_REFERENCES = 50_000
 # A piece of up to this many bits is shared by a dozen references or more.
 NARROW_BITS = 12
 REFERENCES_PER_LIST = 4096
+# Tolerances tried before the asked one. At each of them the widest rule that loses
+# nothing has pieces far wider than a band, so it meets few unrelated references.
+STEPS = (0, 8, 15)
 
 
 def band_table(references: DataFrame, band_bytes: int = 1) -> DataFrame:
@@ -106,10 +110,30 @@ def match_pairs(
     """(query_hash, fingerprint_hash, distance) of all pairs within the tolerance
     that share at least `min_shared_bands` bands.
 
-    Equal hashes are looked up once. Candidates beyond the tolerance are dropped
-    where they are found. A small reference table is broadcast and the queries stay
-    where they are; narrow pieces, which many references share, then come as one list
-    per piece. Otherwise both sides are shuffled in blocks.
+    Equal hashes are looked up once.
+    """
+    near, q_lanes, r_lanes = _near(
+        queries, references, tolerance, band_bytes, min_shared_bands, bits, query_column,
+        broadcast_references, rows_per_slice, references_per_list)
+    pairs = near.groupBy(*q_lanes, *r_lanes).agg(F.count(F.lit(1)).alias("shared_bands"))
+    if min_shared_bands > 1:
+        pairs = pairs.filter(F.col("shared_bands") >= min_shared_bands)
+    return pairs.select(
+        hashes.lanes_to_hex(q_lanes).alias("query_hash"),
+        hashes.lanes_to_hex(r_lanes).alias("fingerprint_hash"),
+        hashes.lane_distance(q_lanes, r_lanes).cast("int").alias("distance"),
+    )
+
+
+def _near(queries: DataFrame, references: DataFrame, tolerance: int, band_bytes: int,
+          min_shared_bands: int, bits: int, query_column: str, broadcast_references: int,
+          rows_per_slice: int, references_per_list: int) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Lanes of pairs within the tolerance, once per piece that they share.
+
+    Candidates beyond the tolerance are dropped where they are found. A small reference
+    table is broadcast and the queries stay where they are; narrow pieces, which many
+    references share, then come as one list per piece. Otherwise both sides are shuffled
+    in blocks.
     """
     lanes = bits // hashes.LANE_BITS
     width = piece_width(tolerance, band_bytes, min_shared_bands, bits)
@@ -127,15 +151,7 @@ def match_pairs(
             near = q.join(F.broadcast(r), "piece")
     else:
         near = _blocked(_pieces(unique, width), r, rows_per_slice, references_per_list)
-    near = near.filter(distance <= tolerance)
-    pairs = near.groupBy(*q_lanes, *r_lanes).agg(F.count(F.lit(1)).alias("shared_bands"))
-    if min_shared_bands > 1:
-        pairs = pairs.filter(F.col("shared_bands") >= min_shared_bands)
-    return pairs.select(
-        hashes.lanes_to_hex(q_lanes).alias("query_hash"),
-        hashes.lanes_to_hex(r_lanes).alias("fingerprint_hash"),
-        distance.cast("int").alias("distance"),
-    )
+    return near.filter(distance <= tolerance), q_lanes, r_lanes
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
@@ -147,6 +163,52 @@ def best_match(pairs: DataFrame) -> DataFrame:
     )
 
 
+def nearest(queries: DataFrame, references: DataFrame, tolerance: int = DEFAULT_TOLERANCE,
+            query_column: str = "fingerprint_hash", bits: int = hashes.HASH_BITS,
+            broadcast_references: int = BROADCAST_REFERENCES,
+            rows_per_slice: int = skew.ROWS_PER_SLICE,
+            references_per_list: int = REFERENCES_PER_LIST) -> DataFrame:
+    """Nearest reference per query hash, as `best_match` of all pairs gives it.
+
+    The tolerance rises in steps, each over the hashes that are left. A step that loses
+    nothing finds the nearest reference if there is one within its tolerance, so only
+    hashes without any near reference reach the wide rule. What a step finds and leaves
+    is written; the minimum is taken in the join's own aggregate.
+    """
+    left = saved(_well_formed(queries, query_column, bits).distinct(), "lookup-left")
+    found: list[DataFrame] = []
+    steps = [s for s in STEPS if s < tolerance and (s == 0 or s < bits // 8)] + [tolerance]
+    for step in steps:
+        if step == 0:
+            best = exact_pairs(left, references, "query_hash")
+        else:
+            near, q, r = _near(left, references, step, 1, 1, bits, "query_hash",
+                               broadcast_references, rows_per_slice, references_per_list)
+            pair = F.struct(
+                hashes.lane_distance(q, r).cast("int").alias("distance"),
+                hashes.lanes_to_hex(r).alias("fingerprint_hash"))
+            best = near.groupBy(*q).agg(F.min(pair).alias("best")).select(
+                hashes.lanes_to_hex(q).alias("query_hash"), "best.fingerprint_hash", "best.distance")
+        best = best.select("query_hash", "distance", "fingerprint_hash")
+        if step == tolerance:
+            found.append(best)
+            break
+        best = saved(best, "lookup-found")
+        found.append(best)
+        left = saved(left.join(best, "query_hash", "left_anti"), "lookup-left")
+        if left.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _well_formed(frame: DataFrame, hash_column: str, bits: int) -> DataFrame:
+    good = F.col(hash_column).rlike(f"^[0-9a-fA-F]{{{bits // 4}}}$")
+    return frame.filter(good).select(F.lower(hash_column).alias("query_hash"))
+
+
 def ranked_matches(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """Matches of each query numbered from the nearest on, at most `limit` of them."""
     line = W.partitionBy("query_hash").orderBy("distance", "fingerprint_hash")
@@ -157,26 +219,30 @@ def ranked_matches(pairs: DataFrame, limit: int | None = None) -> DataFrame:
 def exact_pairs(queries: DataFrame, references: DataFrame, query_column: str = "fingerprint_hash"):
     """Equal hashes, at distance 0: the lookup of last resort."""
     q = queries.select(F.lower(query_column).alias("query_hash")).distinct()
-    r = references.select(
-        F.lower("fingerprint_hash").alias("query_hash"),
-        F.lower("fingerprint_hash").alias("fingerprint_hash"),
-    )
+    r = references.select(F.lower("fingerprint_hash").alias("query_hash")).distinct().withColumn(
+        "fingerprint_hash", F.col("query_hash"))
     return q.join(r, "query_hash").select("query_hash", "fingerprint_hash", F.lit(0).alias("distance"))
 
 
 def latest_references(references: DataFrame, version: str) -> DataFrame:
-    """One row per hash, the last written one."""
+    """One row per hash, the last written one; of equal versions the largest row."""
     others = [c for c in references.columns if c != "fingerprint_hash"]
-    last = F.max_by(F.struct(*others), F.col(version)).alias("last")
+    last = F.max_by(F.struct(*others), F.struct(version, *others)).alias("last")
     return references.groupBy("fingerprint_hash").agg(last).select("fingerprint_hash", "last.*")
 
 
 def lookup(
     queries: DataFrame, references: DataFrame, tolerance: int = DEFAULT_TOLERANCE, **options
 ) -> DataFrame:
-    """Best match of every query hash with the content it stands for."""
-    best = best_match(match_pairs(queries, references, tolerance, **options))
-    meta = references.withColumn("fingerprint_hash", F.lower("fingerprint_hash"))
+    """Best match of every query hash with the content it stands for. A hash that is
+    stored more than once, in either case, stands for the smallest of its rows."""
+    if {"band_bytes", "min_shared_bands"} & set(options):
+        best = best_match(match_pairs(queries, references, tolerance, **options))
+    else:
+        best = nearest(queries, references, tolerance, **options)
+    others = [c for c in references.columns if c != "fingerprint_hash"]
+    meta = references.groupBy(F.lower("fingerprint_hash").alias("fingerprint_hash")).agg(
+        F.min(F.struct(*others)).alias("row")).select("fingerprint_hash", "row.*")
     return best.join(meta, "fingerprint_hash")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,8 +257,10 @@ def top_networks(viewership: DataFrame, n: int = 10) -> DataFrame:
     return counted.orderBy(F.col("views").desc(), "network").limit(n)
 
 
-def newest(frame: DataFrame, ts: str, n: int = 1) -> DataFrame:
-    return frame.orderBy(F.col(ts).desc()).limit(n)
+def newest(frame: DataFrame, ts: str, n: int = 1, ties: Sequence[str] = ()) -> DataFrame:
+    """Newest rows; equal times go by `ties`, and without them by all other columns."""
+    others = list(ties) or [c for c in frame.columns if c != ts]
+    return frame.orderBy(F.col(ts).desc(), *others).limit(n)
 
 
 def run_sql(spark, statement: str, one_row: bool = False) -> DataFrame:

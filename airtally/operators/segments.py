@@ -112,10 +112,21 @@ def definition_problem() -> Column:
     )
 
 
+def _is_number(value: object) -> bool:
+    try:
+        float(str(value))
+    except ValueError:
+        return False
+    return True
+
+
 def rule_condition(rule: Rule) -> Column:
-    """A rule as a condition on a viewership row. Texts compare without case."""
+    """A rule as a condition on a viewership row. Texts compare without case; bounds that
+    are all numbers compare as numbers, as market codes do."""
     target = F.col(EXTENDED_COLUMNS[rule.type])
-    if EXTENDED_COLUMNS[rule.type] == "household_income":
+    bounded = rule.op in ("gte", "lte", "between") and all(_is_number(v) for v in rule.values)
+    if EXTENDED_COLUMNS[rule.type] == "household_income" or bounded:
+        target = target.try_cast("double")
         numbers = [float(v) for v in rule.values]
         if rule.op == "between":
             return target.between(numbers[0], numbers[1])
@@ -150,38 +161,56 @@ def literal_condition(segment: Segment, as_of: Column) -> Column:
 
 
 def population(viewership: DataFrame, segment: Segment, as_of: Column) -> DataFrame:
-    """Distinct members of one segment.
-
-    A rule with hours per week asks, beside its condition, for devices that reach
-    them within the lookback.
-    """
-    rows = viewership.filter(segment_condition(validate(segment), as_of))
-    for hours in {r.min_hours_week for r in segment.rules if r.min_hours_week}:
-        since = F.date_sub(as_of, segment.lookback_days)
-        busy = engaged(viewership.filter(F.col("viewing_date") >= since), hours)
-        rows = rows.join(busy.select("device_id"), "device_id", "left_semi")
-    return rows.select("household_id", "device_id").distinct().withColumn(
-        "segment_id", F.lit(segment.segment_id)
-    )
+    """Distinct members of one segment."""
+    return populations(viewership, [segment], as_of).select("household_id", "device_id", "segment_id")
 
 
 def populations(viewership: DataFrame, segments: Sequence[Segment], as_of: Column) -> DataFrame:
-    """Distinct (segment_id, household_id, device_id) of many segments in one scan.
-    Definitions with hours per week need `population`.
+    """Distinct (segment_id, household_id, device_id) of many segments.
 
     Rows outside the longest lookback are dropped before anything else, which
-    prunes partitions of a table laid out by date.
+    prunes partitions of a table laid out by date. Definitions without hours per week ask
+    for one row that satisfies them, all in one scan. In a definition with hours a rule
+    with hours is true for a device whose viewing of what the rule speaks of reaches them
+    in some week of the lookback, any other rule for a device with one such row; AND and
+    OR then combine what is true of the device. All those definitions share one aggregate.
     """
     checked = [validate(s) for s in segments]
-    if any(r.min_hours_week for s in checked for r in s.rules):
-        raise ValueError("definitions with hours per week are evaluated one by one")
     longest = max(s.lookback_days for s in checked)
     recent = viewership.filter(F.col("viewing_date") >= F.date_sub(as_of, longest))
-    tags = [F.when(segment_condition(s, as_of), F.lit(s.segment_id)) for s in checked]
-    return recent.select(
-        F.explode(F.array_compact(F.array(*tags))).alias("segment_id"),
-        "household_id", "device_id",
-    ).distinct()
+    by_row = [s for s in checked if not any(r.min_hours_week for r in s.rules)]
+    by_device = [s for s in checked if s not in by_row]
+    parts = []
+    if by_row:
+        tags = [F.when(segment_condition(s, as_of), F.lit(s.segment_id)) for s in by_row]
+        parts.append(recent.select(
+            F.explode(F.array_compact(F.array(*tags))).alias("segment_id"), "household_id", "device_id",
+        ).distinct())
+    if by_device:
+        parts.append(_members_by_hours(recent, by_device, as_of))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _members_by_hours(recent: DataFrame, segments: Sequence[Segment], as_of: Column) -> DataFrame:
+    weekly, truths, tags = [], [], []
+    for i, segment in enumerate(segments):
+        names = []
+        inside = F.col("viewing_date") >= F.date_sub(as_of, segment.lookback_days)
+        for j, rule in enumerate(segment.rules):
+            name = f"_{i}_{j}"
+            applies = rule_condition(rule) & inside
+            minutes = F.sum(F.when(applies, F.col("duration_minutes")).otherwise(0))
+            true = minutes >= 60 * rule.min_hours_week if rule.min_hours_week else F.max(applies)
+            weekly.append(F.coalesce(true, F.lit(False)).alias(name))
+            truths.append(F.max(name).alias(name))
+            names.append(F.col(name))
+        joiner = (lambda a, b: a & b) if segment.logic == "AND" else (lambda a, b: a | b)
+        tags.append(F.when(reduce(joiner, names), F.lit(segment.segment_id)))
+    week = F.date_trunc("week", "viewing_date").alias("_week")
+    devices = recent.groupBy("household_id", "device_id", week).agg(*weekly).groupBy(
+        "household_id", "device_id").agg(*truths)
+    return devices.select(
+        F.explode(F.array_compact(F.array(*tags))).alias("segment_id"), "household_id", "device_id")
 
 
 def engaged(viewership: DataFrame, min_hours: float) -> DataFrame:
@@ -417,10 +446,12 @@ def soft_delete(segments: DataFrame, ids: Iterable[str], at: Column) -> DataFram
 
 def active_page(segments: DataFrame, limit: int = 100, offset: int = 0,
                 status: str = "active") -> DataFrame:
-    page = max(0, min(limit, 100))
+    """A page of at most 100 segments, oldest first; a larger page is refused."""
+    if not 0 <= limit <= 100:
+        raise ValueError("a page has at most 100 rows")
     return (
         segments.filter(F.col("status") == status)
-        .orderBy("created_at", "id").offset(offset).limit(page)
+        .orderBy("created_at", "id").offset(offset).limit(limit)
     )
 
 

@@ -148,6 +148,15 @@ def consent_jurisdiction_filter(spark, sf):
     return kept.select("event_id", "jurisdiction")
 
 
+@query("consent_default_place_filter", _LATEST + """, answered AS (SELECT device_id, opted_in FROM latest WHERE (consent_time // 3600) % 24 >= 12)
+SELECT f.event_id FROM fingerprints f LEFT JOIN answered s USING (device_id) WHERE coalesce(s.opted_in, false)""")
+def consent_default_place_filter(spark, sf):
+    """Events that name no place, taken to be from the EU: no record means no consent."""
+    answered = consents(spark, sf).filter(times.utc_hour("consent_time") >= 12).select("device_id", "opted_in")
+    kept = ing.consent_filter(d.fingerprints(spark, sf), answered, "jurisdiction", "EU")
+    return kept.select("event_id")
+
+
 _REPEATED = d.views("fingerprints") + """, e AS (
   SELECT event_id, manufacturer AS device_id, 'h' || (k % 5) AS fingerprint_hash, timestamp_utc FROM fingerprints)"""
 

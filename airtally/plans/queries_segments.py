@@ -126,6 +126,35 @@ def segment_engaged_devices(spark, sf):
     return sg.engaged(d.viewership_enriched(spark, sf), 1.5)
 
 
+HOURS_SEGMENTS = (
+    sg.Segment("seg_hours_and", "Hours of economy and any promo", (
+        sg.Rule("watched_genre", ("economy",), "eq", 0.5), sg.Rule("watched_genre", ("promo",), "eq")),
+        "AND", 60),
+    sg.Segment("seg_hours_or", "Hours of areas or night owls", (
+        sg.Rule("dma", ("99", "400"), "between", 1.0), sg.Rule("daypart", ("latenight",), "eq")), "OR", 25),
+    sg.Segment("seg_plain", "Just promo", (sg.Rule("watched_genre", ("promo",), "eq"),), "AND", 5),
+)
+
+
+@query("segment_hours_rules", d.views("viewership_enriched") + f""", weekly AS (
+  SELECT household_id, device_id, date_trunc('week', viewing_date) AS week,
+    coalesce(sum(duration_minutes) FILTER (genre = 'economy' AND viewing_date >= DATE '{AS_OF}' - INTERVAL 60 DAY), 0) >= 30 AS economy,
+    bool_or(genre = 'promo' AND viewing_date >= DATE '{AS_OF}' - INTERVAL 60 DAY) AS promo,
+    coalesce(sum(duration_minutes) FILTER (CAST(dma_code AS INT) BETWEEN 99 AND 400 AND viewing_date >= DATE '{AS_OF}' - INTERVAL 25 DAY), 0) >= 60 AS area,
+    bool_or(daypart = 'latenight' AND viewing_date >= DATE '{AS_OF}' - INTERVAL 25 DAY) AS night
+  FROM viewership_enriched WHERE viewing_date <= DATE '{AS_OF}' GROUP BY 1, 2, 3),
+truths AS (SELECT household_id, device_id, bool_or(economy) AS economy, bool_or(promo) AS promo, bool_or(area) AS area, bool_or(night) AS night
+  FROM weekly GROUP BY 1, 2)
+SELECT 'seg_hours_and' AS segment_id, household_id, device_id FROM truths WHERE economy AND promo
+UNION ALL SELECT 'seg_hours_or', household_id, device_id FROM truths WHERE area OR night
+UNION ALL SELECT DISTINCT 'seg_plain', household_id, device_id FROM viewership_enriched
+  WHERE genre = 'promo' AND viewing_date BETWEEN DATE '{AS_OF}' - INTERVAL 5 DAY AND DATE '{AS_OF}'""")
+def segment_hours_rules(spark, sf):
+    """Rules with hours per week, with AND and with OR, beside one without."""
+    views = d.viewership_enriched(spark, sf).filter(F.col("viewing_date") <= as_of())
+    return sg.populations(views, HOURS_SEGMENTS, as_of()).select("segment_id", "household_id", "device_id")
+
+
 @query("device_segment_index", _M + """
 SELECT device_id, string_agg(segment_id, ',' ORDER BY segment_id) AS segment_ids
 FROM (SELECT DISTINCT device_id, segment_id FROM members) GROUP BY 1""")

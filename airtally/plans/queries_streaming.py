@@ -12,8 +12,8 @@ from airtally.plans import queries_matching as qm
 from airtally.plans import queries_segments as qs
 from airtally.plans.registry import query
 from airtally.session import scratch_path
-from airtally.sources import lake
-from airtally.streaming import jobs, last_match
+from airtally.sources import lake, streams
+from airtally.streaming import jobs
 
 
 def event_stream(spark, sf):
@@ -88,11 +88,22 @@ def stream_hopping(spark, sf):
     return drain(spark, flat, "hopping")
 
 
-@query("stream_dedup", d.views("fingerprints") + "SELECT DISTINCT device_id, fingerprint_hash FROM fingerprints")
+@query("stream_dedup", qi._dedup_sql(60))
 def stream_dedup(spark, sf):
-    """All rows come in one batch, before the watermark can move: one row per pair."""
-    out = jobs.without_repeats(fingerprint_stream(spark, sf))
-    return drain(spark, out.select("device_id", "fingerprint_hash"), "dedup")
+    """The events of few senders in order of time, an eighth of the span per batch."""
+    e = qi.repeated_events(spark, sf)
+    part = scratch_path(spark, "repeats-in")
+    ends = e.agg(F.min("timestamp_utc").alias("a"), F.max("timestamp_utc").alias("b")).first()
+    eighth = (ends["b"] - ends["a"]) // 8 + 1
+    schema = e.schema
+    for n in range(8):
+        inside = F.col("timestamp_utc") - ends["a"]
+        e.filter((inside >= n * eighth) & (inside < (n + 1) * eighth)).coalesce(1).write.mode(
+            "append").parquet(part)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(part)
+    out, known = scratch_path(spark, "repeats-out"), scratch_path(spark, "repeats-known")
+    drain_batches(spark, stream, jobs.repeats_sink(out, known), "repeats")
+    return spark.read.schema(schema).parquet(out).select(*e.columns)
 
 
 @query("stream_last_match", d.views("fingerprints") + """, ordered AS (SELECT manufacturer AS device_id, timestamp_utc AS t, event_id,
@@ -103,18 +114,13 @@ numbered AS (SELECT *, sum(starts) OVER (PARTITION BY device_id ORDER BY t, even
 runs AS (SELECT device_id, sid, max(t) AS session_end, max(struct_pack(t := t, e := event_id, c := content_id)) FILTER (content_id IS NOT NULL) AS m
   FROM numbered GROUP BY 1, 2)
 SELECT device_id, m.c AS content_id, m.t AS session_start, session_end, session_end - m.t AS duration_sec
-FROM runs WHERE m IS NOT NULL AND session_end - m.t >= 1 AND session_end + 1800 < (SELECT max(t) FROM ordered) - 600""")
+FROM runs WHERE m IS NOT NULL AND session_end - m.t >= 1 AND session_end + 1800 <= (SELECT max(t) FROM ordered) - 600""")
 def stream_last_match(spark, sf):
     f = fingerprint_stream(spark, sf).withColumn(
         "content_id",
         F.when(F.col("event_type") != "error", F.concat(F.lit("c-"), F.col("k").cast("string"))),
     )
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    jobs.use_rocksdb(spark)
-    try:
-        return drain(spark, last_match.last_match_sessions(f, "manufacturer", 1800), "last-match")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return drain(spark, jobs.last_match_sessions(f, "manufacturer", gap=1800), "last-match")
 
 
 @query("stream_match", qm._MATCHED + """
@@ -127,7 +133,7 @@ def stream_match(spark, sf):
     matched = spark.read.parquet(good).select(
         "device_id", "content_id", "watch_start_utc", F.lit(True).alias("matched")
     )
-    unmatched = spark.read.parquet(bad).select(
+    unmatched = spark.read.schema("device_id string, timestamp_utc bigint").parquet(bad).select(
         "device_id", F.lit(None).cast("string").alias("content_id"),
         F.col("timestamp_utc").alias("watch_start_utc"), F.lit(False).alias("matched"),
     )
@@ -240,3 +246,55 @@ def stream_late_matches(spark, sf):
     )
     out = drain(spark, jobs.late_matches(f, refs), "late")
     return out.select("device_id", "content_id", "distance")
+
+
+_REQUESTS = d.views("fingerprints") + """, base AS (
+  SELECT *, event_id // 3 AS request, timestamp_utc + (event_id % 7) * 60 AS received_at FROM fingerprints),
+sent AS (SELECT *, max(received_at) OVER (PARTITION BY request) AS sent_at, count(*) OVER (PARTITION BY request) AS size FROM base),
+checked AS (SELECT event_id, request, CASE WHEN event_id % 11 = 0 THEN 'invalid_device_id'
+    WHEN event_id % 13 = 0 THEN 'invalid_fingerprint_hash'
+    WHEN sent_at - timestamp_utc NOT BETWEEN 0 AND 300 THEN 'timestamp_out_of_range'
+    WHEN NOT coalesce(opted_in, false) THEN 'no_consent' END AS reason
+  FROM sent LEFT JOIN (SELECT device_id, opted_in FROM consent_state) USING (device_id)
+  WHERE request % 17 <> 0 AND request % 19 <> 0)"""
+
+
+@query("stream_ingest_requests", _REQUESTS.replace(", base AS", """, consent_state AS (
+  SELECT device_id, bool_and(user_id % 5 <> 0) AS opted_in FROM fingerprints WHERE user_id % 3 <> 0 GROUP BY 1), base AS""") + """
+SELECT event_id, coalesce(reason, 'accepted') AS outcome FROM checked
+UNION ALL SELECT request, 'not_decoded' FROM sent WHERE request % 17 = 0 GROUP BY 1
+UNION ALL SELECT request, 'batch_size' FROM sent WHERE request % 17 <> 0 AND request % 19 = 0 GROUP BY 1""")
+def stream_ingest_requests(spark, sf):
+    """Events in requests of three as JSON texts, some cut off, some with an empty batch, drained
+    into accepted, rejected and broken ones."""
+    f = d.fingerprints(spark, sf)
+    consents = f.filter("user_id % 3 <> 0").groupBy("device_id").agg(
+        F.bool_and(F.col("user_id") % 5 != 0).alias("opted_in"))
+    event = F.struct(
+        "event_id",
+        F.when(F.col("event_id") % 11 == 0, "short").otherwise(F.col("device_id")).alias("device_id"),
+        F.when(F.col("event_id") % 13 == 0, "zz").otherwise(F.col("fingerprint_hash")).alias("fingerprint_hash"),
+        "timestamp_utc", "manufacturer", "model", "ip_address")
+    number = F.floor(F.col("event_id") / 3).cast("bigint").alias("request")
+    requests = f.groupBy(number).agg(
+        F.max(F.col("timestamp_utc") + F.col("event_id") % 7 * 60).alias("received_at"),
+        F.collect_list(event).alias("batch"))
+    text = F.to_json(F.struct(
+        F.col("request").cast("string").alias("api_key"), "received_at",
+        F.when(F.col("request") % 19 != 0, F.col("batch")).otherwise(F.slice("batch", 1, 0)).alias("batch")))
+    broken = F.concat(F.lit("{"), F.col("request"))
+    source = scratch_path(spark, "requests")
+    requests.select(F.when(F.col("request") % 17 == 0, broken).otherwise(text).alias("value")).repartition(
+        4).write.text(source)
+    values = streams.raw_values(spark, "ingest.requests", source, maxFilesPerTrigger=1)
+    good, bad, odd = (scratch_path(spark, n) for n in ("accepted", "rejected", "broken"))
+    drain_batches(spark, values, jobs.ingest_sink(good, bad, odd, consents=lambda: consents), "requests")
+    accepted = spark.read.schema("event_id bigint").parquet(good).withColumn("outcome", F.lit("accepted"))
+    rejected = spark.read.schema("event_id bigint, reject_reason string").parquet(bad).withColumnRenamed(
+        "reject_reason", "outcome")
+    named = F.coalesce(
+        F.get_json_object("value", "$.api_key"), F.regexp_extract("value", "[0-9]+", 0)).cast("bigint")
+    left = spark.read.schema("value string, reason string").parquet(odd).select(
+        named.alias("event_id"), F.col("reason").alias("outcome"))
+    columns = ["event_id", "outcome"]
+    return accepted.select(*columns).unionByName(rejected.select(*columns)).unionByName(left.select(*columns))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 # Streams, one text per topic.
 FINGERPRINT_EVENT = (
-    "device_id string, fingerprint_hash string, timestamp_utc bigint, manufacturer string, "
-    "model string, ip_address string, ingested_at bigint"
+    "event_id bigint, device_id string, fingerprint_hash string, timestamp_utc bigint, "
+    "manufacturer string, model string, ip_address string, ingested_at bigint"
 )
 UNMATCHED_EVENT = (
     "device_id string, fingerprint_hash string, timestamp_utc bigint, manufacturer string, "
@@ -20,12 +20,18 @@ REFERENCE_EVENT = (
     "fingerprint_hash string, content_id string, title string, network string, genre string, "
     "episode string, airdate string, confidence double"
 )
-CONSENT_EVENT = "device_id string, opted_in boolean, timestamp bigint, jurisdiction string"
+# The time is ISO text; `streams.consents_from` makes it `consent_time` in seconds.
+CONSENT_EVENT = (
+    "device_id string, opted_in boolean, timestamp string, jurisdiction string, tcf_string string"
+)
 BILLING_EVENT = "advertiser_id bigint, event_type string, amount_cents bigint"
 SEGMENT_EVENT = "segment_id string, device_id string, event_type string"
 
 # Requests and tables.
-INGEST_BATCH = f"api_key string, batch array<struct<{FINGERPRINT_EVENT.replace(' ', ':').replace(',:', ',')}>>"
+INGEST_BATCH = (
+    "api_key string, received_at bigint, "
+    f"batch array<struct<{FINGERPRINT_EVENT.replace(', ', ',').replace(' ', ':')}>>"
+)
 MANIFEST = (
     "items array<struct<content_id:string,title:string,network:string,genre:string,"
     "episode:string,airdate:string,wav:string,confidence:double>>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC because every date and hour in the data model is UTC. Shuffle partition
 # counts and memory belong to the cluster's own configuration; AQE sizes the
@@ -57,3 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path inside the shared folder."""
     return f"{shared_dir(spark)}/airtally/{name}-{uuid.uuid4().hex}"
+
+
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read again, so that later steps
+    neither repeat its work nor lose it with an executor."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airtally import schemas
@@ -17,6 +17,7 @@ TOPICS = {
     "consent.events": schemas.CONSENT_EVENT,
     "segmentation.updates": schemas.SEGMENT_EVENT,
     "billing.events": schemas.BILLING_EVENT,
+    "ingest.requests": schemas.INGEST_BATCH,
 }
 REQUIRED_REFERENCE = ("fingerprint_hash", "content_id", "title", "network")
 
@@ -57,28 +58,51 @@ def decode_lenient(values: DataFrame, schema: str) -> tuple[DataFrame, DataFrame
     return good, parsed.filter(broken).select("value")
 
 
+def instant(text: str) -> Column:
+    """Time of an RFC 3339 text with any number of digits of a second, null for others."""
+    whole = F.regexp_replace(text, r"(\.[0-9]{1,6})[0-9]*", "$1")
+    shape = F.col(text).rlike(
+        r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9:]{8}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
+    return F.when(shape, whole.try_cast("timestamp"))
+
+
+def complete_references(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reference messages with the four required fields, and the others."""
+    present = F.lit(True)
+    for name in REQUIRED_REFERENCE:
+        present = present & F.col(name).isNotNull()
+    return decoded.filter(present), decoded.filter(~present)
+
+
 def references_from(decoded: DataFrame) -> DataFrame:
     """Reference items: four fields are required, two have defaults, and a date that
-    cannot be read is null."""
-    present = None
-    for name in REQUIRED_REFERENCE:
-        there = F.col(name).isNotNull()
-        present = there if present is None else present & there
-    return decoded.filter(present).select(
+    cannot be read is null. `complete_references` has what is missing here."""
+    return complete_references(decoded)[0].select(
         "fingerprint_hash", "content_id", "title", "network",
         scoring.or_unknown("genre").alias("genre"),
         "episode",
-        F.try_to_timestamp("airdate", F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")).alias("airdate"),
+        instant("airdate").alias("airdate"),
         F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
     )
 
 
+def consents_from(decoded: DataFrame) -> DataFrame:
+    """Consent messages as consent records, their time in whole seconds."""
+    return decoded.select(
+        "device_id", "opted_in", F.unix_timestamp(instant("timestamp")).alias("consent_time"),
+        "jurisdiction", "tcf_string",
+    )
+
+
 def open_topic(spark: SparkSession, topic: str, path: str | None = None,
-               servers: str | None = None, strict: bool = False, **options) -> DataFrame:
+               servers: str | None = None, strict: bool = False,
+               **options) -> tuple[DataFrame, DataFrame | None]:
+    """The decoded messages, and a stream of the texts that did not decode (none if a
+    broken message fails the job)."""
     values = raw_values(spark, topic, path, servers, **options)
     if strict:
-        return decode_strict(values, TOPICS[topic])
-    return decode_lenient(values, TOPICS[topic])[0]
+        return decode_strict(values, TOPICS[topic]), None
+    return decode_lenient(values, TOPICS[topic])
 
 
 def keyed_messages(frame: DataFrame, key: str = "device_id") -> DataFrame:

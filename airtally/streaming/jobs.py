@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from airtally import schemas
 from airtally.functions import hashes
 from airtally.operators import enrich, ingest, matching, segments, sessions
 from airtally.session import ROCKSDB_STATE_STORE
-from airtally.sources import folders, lake
+from airtally.sources import folders, lake, streams
 
 CHECKPOINT_SECONDS = 60
 SESSION_WATERMARK = "10 minutes"
@@ -85,15 +86,88 @@ def rates(events: DataFrame, seconds: str, size: str = "5 minutes",
     )
 
 
-def without_repeats(events: DataFrame, seconds: str = "timestamp_utc",
-                    watermark: str = "60 seconds") -> DataFrame:
-    """First event of a device and hash; later ones are dropped until the watermark
-    has passed the first."""
-    return event_time(events, seconds, watermark).dropDuplicatesWithinWatermark(
-        ["device_id", "fingerprint_hash"]
+def last_match_sessions(events: DataFrame, key: str = "device_id", seconds: str = "timestamp_utc",
+                        gap: int = sessions.GAP_SECONDS, minimum: int = sessions.MIN_SECONDS,
+                        watermark: str = SESSION_WATERMARK) -> DataFrame:
+    """Stream form of the batch operator of the same name: a pause above the gap ends a
+    run of events, and the session is the run from its last match on. The state of a key
+    is one row per open run."""
+    window = F.session_window("event_time", f"{gap} seconds")
+    last = F.max(F.when(
+        F.col("content_id").isNotNull(), F.struct(seconds, "event_id", "content_id"))).alias("_last")
+    runs = event_time(events, seconds, watermark).groupBy(F.col(key).alias("device_id"), window).agg(
+        last, F.max(seconds).alias("session_end"))
+    start = F.col(f"_last.{seconds}")
+    return runs.filter(F.col("_last").isNotNull() & (F.col("session_end") - start >= minimum)).select(
+        "device_id", F.col("_last.content_id").alias("content_id"), start.alias("session_start"),
+        "session_end", (F.col("session_end") - start).alias("duration_sec"),
     )
 
 
+def repeats_sink(path: str, known_path: str, seconds: int = ingest.REPEAT_SECONDS,
+                 order: str = "event_id", horizon: int = 3600):
+    """Batch function that writes the events that are no repeats, by the batch operator.
+
+    What it knows of earlier batches are the times of each device and hash in the last
+    `horizon` seconds of events: a table per batch that holds all of them, so one such
+    table is read however long the stream runs. An event may come late by up to `horizon`
+    less `seconds` and is still held against what was sent before it. A batch that is
+    run again finds the same table.
+    """
+    keys = ["device_id", "fingerprint_hash", "timestamp_utc"]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        columns = batch.columns
+        known = batch.select(*keys).limit(0)
+        done = [int(n) for n in folders.partition_values(spark, known_path, "batch_id")]
+        before = [n for n in done if n < batch_id]
+        if before:
+            known = spark.read.schema(known.schema).parquet(f"{known_path}/batch_id={max(before)}")
+        marked = batch.withColumn("_known", F.lit(False)).unionByName(
+            known.withColumn("_known", F.lit(True)), allowMissingColumns=True)
+        # What is known comes first among events of one second.
+        marked = marked.withColumn("_order", F.struct(~F.col("_known"), F.col(order)))
+        kept = ingest.drop_repeats(marked, seconds, "_order")
+        write_batch(kept.filter(~F.col("_known")).select(*columns), path, batch_id)
+        seen = known.unionByName(batch.select(*keys)).distinct()
+        newest = seen.agg(F.max("timestamp_utc").alias("_newest"))
+        recent = seen.join(F.broadcast(newest)).filter(
+            F.col("timestamp_utc") >= F.col("_newest") - horizon)
+        write_batch(recent.select(*keys), known_path, batch_id)
+
+    return run
+
+
+def ingest_sink(accepted_path: str, rejected_path: str, broken_path: str,
+                ranges: Callable[[], DataFrame] | None = None,
+                consents: Callable[[], DataFrame] | None = None,
+                default_jurisdiction: str = "EU", tolerance: int = ingest.TOLERANCE_SECONDS):
+    """Batch function from raw request texts to three tables.
+
+    Texts that do not decode and requests whose batch is empty or too large are broken,
+    with a reason; every event of the others is accepted, or rejected with a reason. An
+    event that names no place counts as one of `default_jurisdiction`.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        good, broken = streams.decode_lenient(batch.select("value"), schemas.INGEST_BATCH)
+        fits = ingest.batch_size_ok("batch")
+        refused = good.filter(~fits).select(F.to_json(F.struct("*")).alias("value"))
+        write_batch(
+            broken.withColumn("reason", F.lit("not_decoded")).unionByName(
+                refused.withColumn("reason", F.lit("batch_size"))), broken_path, batch_id)
+        events = ingest.flatten_batches(good.filter(fits))
+        checked = ingest.validate(
+            events, F.col("received_at"), ranges() if ranges else None, tolerance=tolerance)
+        if consents is not None:
+            checked = ingest.with_consent_reason(checked, consents(), default_jurisdiction)
+        write_batch(ingest.accepted(checked), accepted_path, batch_id)
+        write_batch(checked.filter(F.col("reject_reason").isNotNull()), rejected_path, batch_id)
+
+    return run
+
+
 def content_counts(viewership: DataFrame) -> DataFrame:
     """Running number of views per content, for an update or complete sink."""
     return viewership.groupBy("content_id").agg(F.count(F.lit(1)).alias("views"))
@@ -106,15 +180,18 @@ def write_batch(frame: DataFrame, path: str, batch_id: int) -> None:
 
 def match_sink(references: Callable[[], DataFrame], matched_path: str, unmatched_path: str,
                consents: Callable[[], DataFrame] | None = None,
-               tolerance: int = matching.DEFAULT_TOLERANCE, **options):
-    """Batch function that matches fingerprints and writes both outcomes.
+               tolerance: int = matching.DEFAULT_TOLERANCE, default_jurisdiction: str = "EU",
+               **options):
+    """Batch function that matches fingerprints and writes both outcomes. Events of the
+    topic name no place; without one in the device's record `default_jurisdiction` holds.
 
     References and consents are read anew for each batch, so changes to them take
     effect without a restart. The matched batch is used twice and kept meanwhile.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        allowed = batch if consents is None else ingest.consent_filter(batch, consents())
+        allowed = batch if consents is None else ingest.consent_filter(
+            batch, consents(), default_jurisdiction=default_jurisdiction)
         both = matching.match_events(allowed, references(), tolerance, **options).persist()
         try:
             write_batch(matching.viewership_events(both), matched_path, batch_id)
@@ -161,22 +238,25 @@ def entry_sink(definitions: Sequence[segments.Segment], as_of: Callable[[], Colu
             "segment_id", "device_id"
         ).distinct()
         if folders.exists(spark, known_path):
-            before = spark.read.parquet(known_path).filter(F.col("batch_id") < batch_id)
+            before = spark.read.schema("segment_id string, device_id string, batch_id int").parquet(
+                known_path).filter(F.col("batch_id") < batch_id)
             found = found.join(
                 before.select("segment_id", "device_id"), ["segment_id", "device_id"], "left_anti"
             )
         events = found.withColumn("event_type", F.lit("segment_entry"))
         lake.append_changes(events, entries_path, batch_id)
-        lake.append_changes(
-            spark.read.parquet(entries_path).filter(F.col("batch_id") == batch_id)
-            .select("segment_id", "device_id"), known_path, batch_id,
-        )
+        # A batch without members leaves no file to learn the columns from.
+        own = f"{entries_path}/batch_id={batch_id}"
+        if folders.exists(spark, own):
+            written = spark.read.schema("segment_id string, device_id string").parquet(own)
+            lake.append_changes(written, known_path, batch_id)
 
     return run
 
 
 def late_matches(unmatched: DataFrame, references: DataFrame, hours: int = 24,
-                 tolerance: int = 31, watermark: str = SESSION_WATERMARK) -> DataFrame:
+                 tolerance: int = matching.DEFAULT_TOLERANCE,
+                 watermark: str = SESSION_WATERMARK) -> DataFrame:
     """Stream-stream join of unmatched events with references that arrive up to
     `hours` later.
 
@@ -187,17 +267,19 @@ def late_matches(unmatched: DataFrame, references: DataFrame, hours: int = 24,
     names = [f"{i}" for i in range(4)]
     width = matching.piece_width(tolerance, 1, 1, hashes.HASH_BITS)
 
-    def cut(stream: DataFrame, prefix: str, time: str) -> DataFrame:
+    def cut(stream: DataFrame, prefix: str, time: str, own: str) -> DataFrame:
+        """Only well-formed hashes, and only the columns that the result needs."""
         lanes = [c.alias(prefix + n) for c, n in zip(hashes.lanes("fingerprint_hash"), names)]
-        wide = stream.withColumn(f"{prefix}_time", F.timestamp_seconds(time)).withWatermark(
+        good = stream.filter(hashes.is_hash("fingerprint_hash"))
+        wide = good.withColumn(f"{prefix}_time", F.timestamp_seconds(time)).withWatermark(
             f"{prefix}_time", watermark
-        ).select("*", *lanes)
+        ).select(own, "fingerprint_hash", f"{prefix}_time", *lanes)
         return wide.withColumn(
             f"{prefix}_piece", F.explode(hashes.pieces([F.col(prefix + n) for n in names], width))
         )
 
-    f = cut(unmatched, "f", "timestamp_utc").withColumnRenamed("fingerprint_hash", "query_hash")
-    r = cut(references, "r", "created_at")
+    f = cut(unmatched, "f", "timestamp_utc", "device_id").withColumnRenamed("fingerprint_hash", "query_hash")
+    r = cut(references, "r", "created_at", "content_id")
     mine, theirs = [F.col("f" + n) for n in names], [F.col("r" + n) for n in names]
     distance = hashes.lane_distance(mine, theirs)
     later = F.expr(f"r_time BETWEEN f_time AND f_time + INTERVAL {hours} HOURS")

@@ -64,8 +64,7 @@ def test_hours_per_week(spark, views):
     area = {"type": "dma", "value": ["501", "502"], "min_hours_week": 2}
     assert ids(sg.population(views, seg([area]), as_of())) == ["d1", "d2"]
     assert ids(sg.population(views, seg([{**area, "min_hours_week": 4.5}]), as_of())) == ["d2"]
-    with pytest.raises(ValueError):
-        sg.populations(views, [seg([area])], as_of())
+    assert ids(sg.populations(views, [seg([area])], as_of())) == ["d1", "d2"]
 
 
 def test_lookback_binds_to_all_rules_or_only_the_last(spark, views):

@@ -1,13 +1,14 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from airtally.operators import ingest, sessions
 from airtally.operators import segments as sg
 from airtally.session import scratch_path
 from airtally.sources import lake, streams
-from airtally.streaming import jobs, last_match
+from airtally.streaming import jobs
 from tests.conftest import rows
 
 EVENT = "event_id bigint, device_id string, content_id string, timestamp_utc bigint"
@@ -53,26 +54,49 @@ def test_session_windows_equal_batch(spark, tmp_path):
 
 def test_last_match_equals_batch(spark, tmp_path):
     data = events(5) + FLUSH
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    jobs.use_rocksdb(spark)
-    try:
-        out = drain(spark, last_match.last_match_sessions(source(spark, tmp_path, data, EVENT)))
-        batch = sessions.last_match_sessions(spark.createDataFrame(data, EVENT))
-        columns = ["device_id", "content_id", "session_start", "session_end"]
-        assert rows(out.select(*columns)) == rows(batch.select(*columns)) != []
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-
-
-def test_repeats_within_the_watermark(spark, tmp_path):
-    # State is let go at the end of the batch after the one that moved the watermark.
-    data = [(1, "d", "h", 0), (2, "d", "h", 30), (4, "d", "g", 400), (5, "d", "g", 400),
-            (6, "d", "g", 401), (7, "d", "g", 402), (3, "d", "h", 500)]
+    out = drain(spark, jobs.last_match_sessions(source(spark, tmp_path, data, EVENT)))
+    batch = sessions.last_match_sessions(spark.createDataFrame(data, EVENT))
+    columns = ["device_id", "content_id", "session_start", "session_end"]
+    assert rows(out.select(*columns)) == rows(batch.select(*columns)) != []
+
+
+@pytest.mark.parametrize("files", [1, 4, 11])
+def test_repeats_do_not_depend_on_the_batches(spark, tmp_path, files):
+    rng = random.Random(9)
+    data = sorted(((i, rng.choice("ab"), rng.choice("gh"), rng.randrange(20_000)) for i in range(400)),
+                  key=lambda e: (e[3], e[0]))
+    data += [(900, "a", "g", 100_000), (901, "a", "g", 186_400), (902, "a", "g", 186_430)]
     schema = "event_id bigint, device_id string, fingerprint_hash string, timestamp_utc bigint"
-    out = drain(spark, jobs.without_repeats(source(spark, tmp_path, data, schema, 4)))
+    out, known = scratch_path(spark, "out"), scratch_path(spark, "known")
+    stream = source(spark, tmp_path, data, schema, files)
+    sink = jobs.repeats_sink(out, known)
+    jobs.start(stream.writeStream.foreachBatch(sink), scratch_path(spark, "cp"), once=True).awaitTermination()
     batch = ingest.drop_repeats(spark.createDataFrame(data, schema))
-    columns = ["device_id", "fingerprint_hash"]
-    assert rows(out.select(*columns)) == rows(batch.select(*columns)) == [("d", "g"), ("d", "h"), ("d", "h")]
+    got = rows(spark.read.schema(schema).parquet(out).select(*batch.columns))
+    assert got == rows(batch)
+    # A batch that is run again changes nothing.
+    sink(spark.createDataFrame(data[:-(-len(data) // files)], schema), 0)
+    assert rows(spark.read.schema(schema).parquet(out).select(*batch.columns)) == got
+
+
+def test_ingest_from_texts(spark):
+    good, bad, odd = (scratch_path(spark, n) for n in ("good", "bad", "odd"))
+    consents = spark.createDataFrame([("a" * 64, True), ("b" * 64, False)], "device_id string, opted_in boolean")
+    one = {"event_id": 1, "device_id": "a" * 64, "fingerprint_hash": "0" * 64, "timestamp_utc": 100}
+    texts = [
+        json.dumps({"api_key": "k", "received_at": 150, "batch": [one, {**one, "event_id": 2, "device_id": "x"}]}),
+        json.dumps({"received_at": 150, "batch": [{**one, "event_id": 3, "device_id": "b" * 64},
+                                                  {**one, "event_id": 4, "device_id": "c" * 64}]}),
+        json.dumps({"received_at": 1500, "batch": [{**one, "event_id": 5}]}),
+        json.dumps({"received_at": 150, "batch": []}), "{ broken", json.dumps({"received_at": 150}),
+    ]
+    jobs.ingest_sink(good, bad, odd, consents=lambda: consents)(
+        spark.createDataFrame([(t,) for t in texts], "value string"), 0)
+    assert rows(spark.read.parquet(good).select("event_id")) == [(1,)]
+    assert rows(spark.read.parquet(bad).select("event_id", "reject_reason")) == [
+        (2, "invalid_device_id"), (3, "no_consent"), (4, "no_consent"), (5, "timestamp_out_of_range")]
+    assert rows(spark.read.parquet(odd).select("reason")) == [
+        ("batch_size",), ("batch_size",), ("not_decoded",)]
 
 
 RAW = "device_id string, fingerprint_hash string, timestamp_utc bigint, manufacturer string, model string, ip_address string"
@@ -85,7 +109,7 @@ def test_match_job_fans_out_and_obeys_consent(spark, tmp_path):
     references = spark.createDataFrame([(ref, "c", "t", "n", "g", 1.0)], REF)
     consents = spark.createDataFrame([("d0", False)], "device_id string, opted_in boolean").withColumn("jurisdiction", F.lit("US"))
     good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
-    sink = jobs.match_sink(lambda: references, good, bad, lambda: consents)
+    sink = jobs.match_sink(lambda: references, good, bad, lambda: consents, default_jurisdiction="US")
     stream = source(spark, tmp_path, data, RAW)
     jobs.start(stream.writeStream.foreachBatch(sink), scratch_path(spark, "cp"), once=True).awaitTermination()
     kept = [e for e in data if e[0] != "d0"]
@@ -122,10 +146,12 @@ def test_references_and_bands_are_upserted(spark, tmp_path):
 def test_poison_messages_do_not_stop_a_stream(spark, tmp_path):
     folder = tmp_path / "topic"
     folder.mkdir()
-    good = {"device_id": "d", "opted_in": True, "timestamp": 1, "jurisdiction": "US"}
+    good = {"device_id": "d", "opted_in": True, "timestamp": "2024-01-01T00:00:01.123456Z", "jurisdiction": "US"}
     (folder / "a.json").write_text(json.dumps(good) + "\nnonsense\n" + json.dumps({**good, "device_id": "e"}))
-    stream = streams.open_topic(spark, "consent.events", str(folder))
+    stream, broken = streams.open_topic(spark, "consent.events", str(folder))
     assert sorted(r.device_id for r in drain(spark, stream).collect()) == ["d", "e"]
+    assert rows(drain(spark, broken)) == [("nonsense",)]
+    assert {r.consent_time for r in drain(spark, streams.consents_from(stream)).collect()} == {1704067201}
     query = streams.write_topic(stream, "consent.events", scratch_path(spark, "cp"), scratch_path(spark, "topic"))
     query.trigger(availableNow=True).start().awaitTermination()
 
@@ -142,6 +168,15 @@ def test_late_matches(spark, tmp_path):
     assert rows(out.select("device_id", "content_id", "distance")) == [("d1", "c", 2)]
 
 
+def test_late_matches_of_malformed_hashes(spark, tmp_path):
+    f = source(spark, tmp_path, [("d", "not hex", 1000), ("e", "f" * 63, 1000)],
+               "device_id string, fingerprint_hash string, timestamp_utc bigint", 1)
+    other = tmp_path / "r"
+    other.mkdir()
+    r = source(spark, other, [("neither", "c", 2000)], "fingerprint_hash string, content_id string, created_at bigint", 1)
+    assert drain(spark, jobs.late_matches(f, r)).count() == 0
+
+
 def test_hopping_and_rates(spark, tmp_path):
     data = [(i, "a", "x", i * 10) for i in range(60)] + [(100, "a", "x", 50_000)]
     counts = drain(spark, jobs.rates(source(spark, tmp_path, data, EVENT), "timestamp_utc"))
