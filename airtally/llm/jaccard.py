@@ -449,8 +449,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     totals = weights.filter(F.col("tokens") <= task_tokens).agg(F.sum("tokens").alias("n")).first()["n"] or 0
     bins = max(1, -(-totals // task_tokens)) * 2
     wanted = members.join(weights, "component").withColumnRenamed("least", "doc_id")
-    # The texts of documents that have candidates: the only time that texts are moved.
-    texts = source.join(wanted, "doc_id")
+    # The texts of documents that have candidates; the only time that all texts are moved.
+    texts = saved(source.join(wanted, "doc_id"), "texts-with-candidates")
     small = texts.filter(F.col("tokens") <= task_tokens).withColumn(
         "bin", F.pmod(F.xxhash64("component"), F.lit(bins)).cast("int"))
     parts = components(_link_small(small, width, threshold)).select(
