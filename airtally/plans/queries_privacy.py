@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airtally.functions import codec
 from airtally.functions import consent as cs
-from airtally.operators import audio, ingest, lifecycle, privacy
+from airtally.operators import audio, enrich, ingest, lifecycle, privacy, segments
 from airtally.operators import household as hh
 from airtally.plans import domain as d
 from airtally.plans import queries_reports as qr
@@ -93,6 +93,14 @@ def accepted_requests(spark, sf):
     return out.select("id", "device_id", "request_type", "status")
 
 
+CHAIN_SEGMENTS = (
+    segments.Segment("chain_news", "Economy or promo", (
+        segments.Rule("watched_genre", ("economy", "promo")),), "AND", 10),
+    segments.Segment("chain_income", "Income in primetime", (
+        segments.Rule("household_income", ("40000",), "gte"), segments.Rule("daypart", ("primetime",), "eq")),
+        "AND", 20),
+)
+
 # Devices with an escalated request to be left out or erased.
 _GONE = """, gone AS (SELECT DISTINCT device_id FROM privacy_requests WHERE request_type IN ('opt_out', 'erasure') AND escalated)"""
 
@@ -115,6 +123,17 @@ def lake_copy(spark, sf, name):
     return path
 
 
+_LAKES: dict[tuple[str, str], str] = {}
+
+
+def read_only_lake(spark, sf):
+    """One lake per session and scale, for queries that change nothing in it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LAKES:
+        _LAKES[key] = lake_copy(spark, sf, "lake")
+    return _LAKES[key]
+
+
 @query("erasure_effect", d.views("viewership", "privacy_requests") + _GONE + """
 SELECT watch_date, count(*) AS rows, count(DISTINCT device_id) AS devices FROM viewership
 WHERE device_id NOT IN (SELECT device_id FROM gone) GROUP BY 1""")
@@ -128,6 +147,64 @@ def erasure_effect(spark, sf):
     )
 
 
+@query("erasure_audit", d.views("viewership", "privacy_requests") + """, asked AS (
+  SELECT device_id, count(*) AS requests FROM privacy_requests WHERE request_type IN ('opt_out', 'erasure') AND escalated GROUP BY 1)
+SELECT action, count(*) AS entries, count(DISTINCT device_id_hash) AS devices
+FROM (SELECT action, sha256(device_id) AS device_id_hash, unnest(range(requests)) AS n FROM asked,
+  (VALUES ('data_deletion_initiated'), ('data_deletion_completed')) t(action)) GROUP BY 1""")
+def erasure_audit(spark, sf):
+    """The entries that an erasure leaves, read back from the audit log."""
+    path, audit = lake_copy(spark, sf, "erasure"), scratch_path(spark, "audit")
+    requests = leaving(spark, sf).filter(F.col("request_type").isin("opt_out", "erasure"))
+    privacy.erase_devices(spark, requests, {path: "watch_date"}, audit, F.lit(NOW).cast("timestamp"))
+    return spark.read.json(audit).groupBy("action").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_distinct("device_id_hash").alias("devices"))
+
+
+@query("retention_audit", d.views("viewership") + """
+SELECT '2024-01-31' AS execution_time, count(*) FILTER (watch_date < '2024-01-11' AND watch_date >= '2024-01-06') AS viewership_deleted_count,
+  count(*) FILTER (watch_date < '2024-01-06') AS aggregates_archived_count, 'success' AS status FROM viewership""")
+def retention_audit(spark, sf):
+    """Two policies on one lake, the older part archived first, and the entry they leave."""
+    path, archive = lake_copy(spark, sf, "retention"), scratch_path(spark, "archived")
+    audit = scratch_path(spark, "deletions")
+    older = lifecycle.Policy(path, "watch_date", 25, "archive", archive)
+    lifecycle.apply_policies(
+        spark, [older, lifecycle.Policy(path, "watch_date", 20)], "2024-01-31", audit)
+    return spark.read.parquet(audit)
+
+
+@query("nightly_chain", d.views("viewership_enriched") + """, lake AS (
+  SELECT *, CASE WHEN event_id % 2 = 0 THEN event_id % 90 * 1000 ELSE NULL END AS income FROM viewership_enriched),
+found AS (SELECT 'chain_news' AS segment_id, device_id FROM lake WHERE genre IN ('economy', 'promo') AND viewing_date >= DATE '2024-01-21'
+  UNION ALL SELECT 'chain_income', device_id FROM lake WHERE income >= 40000 AND daypart = 'primetime' AND viewing_date >= DATE '2024-01-11')
+SELECT 'segment' AS kind, segment_id AS name, count(DISTINCT device_id) AS value FROM found GROUP BY 2
+UNION ALL SELECT 'households', 'all', count(DISTINCT household_id) FROM lake""")
+def nightly_chain(spark, sf):
+    """The nightly run as one chain: a lake in an older and a newer layout, household aggregates that
+    replace yesterday's, segments from the lake's own columns, member sets, and their sizes."""
+    views = d.viewership_enriched(spark, sf).drop("daypart", "viewing_date", "household_income")
+    path, table, sets = (scratch_path(spark, n) for n in ("chain", "aggregates", "members"))
+    income = F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 90 * 1000)
+    half = F.col("watch_date") < "2024-01-16"
+    lake.write_viewership(views.filter(half), path + "/a")
+    # The newer layout has one more column.
+    lake.write_viewership(views.filter(~half).withColumn("app_version", F.lit("2")), path + "/b")
+    both = lake.read_viewership(spark, path + "/a").unionByName(
+        lake.read_viewership(spark, path + "/b"), allowMissingColumns=True)
+    for _ in range(2):
+        lake.write_aggregates(hh.genre_hours(both), table)
+    rows = enrich.for_segments(both.withColumn("household_income", income.cast("bigint")))
+    found = segments.populations(rows, CHAIN_SEGMENTS, F.lit("2024-01-31").cast("date"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    files.write_members(found, sets, now, [s.segment_id for s in CHAIN_SEGMENTS])
+    sizes = segments.sizes(files.read_members(spark, sets, now)).select(
+        F.lit("segment").alias("kind"), F.col("segment_id").alias("name"), F.col("device_count").alias("value"))
+    households = spark.read.parquet(table).agg(F.count_distinct("household_id").alias("value"))
+    return sizes.unionByName(households.select(
+        F.lit("households").alias("kind"), F.lit("all").alias("name"), "value"))
+
+
 @query("retention_effect", d.views("viewership") + """
 SELECT watch_date, count(*) AS rows FROM viewership WHERE watch_date >= '2024-01-11' GROUP BY 1""")
 def retention_effect(spark, sf):
@@ -170,7 +247,7 @@ def compaction_effect(spark, sf):
 @query("lake_scan_7d", d.views("viewership") + """
 SELECT network, count(*) AS views FROM viewership WHERE watch_date >= '2024-01-24' GROUP BY 1""")
 def lake_scan_7d(spark, sf):
-    path = lake_copy(spark, sf, "lake")
+    path = read_only_lake(spark, sf)
     rows = lake.read_viewership(spark, path, since="2024-01-24", columns=["network"])
     return rows.groupBy("network").agg(F.count(F.lit(1)).alias("views"))
 
@@ -333,9 +410,7 @@ def manifest_source(spark, sf):
     # Fifty items per document, however many there are in all.
     block = F.floor(F.col("p_partkey") / 50)
     p.groupBy(block).agg(F.collect_list(item).alias("items")).select("items").write.json(path)
-    # One document per line here; the reader takes any layout.
-    items = spark.read.schema("items array<struct<content_id:string,title:string,wav:string>>").json(path)
-    return items.select(F.inline("items"))
+    return files.read_manifest(spark, path).select("content_id", "title", "wav")
 
 
 @query("audio_fingerprints")
@@ -386,14 +461,14 @@ def spectral_peaks(spark, sf):
 SELECT household_id, genre, count(*) AS view_count FROM viewership WHERE watch_date >= '2024-01-24' GROUP BY 1, 2""")
 def households_recent_scan(spark, sf):
     """The nightly job's scan: the last week of the lake, rolled up."""
-    path = lake_copy(spark, sf, "nightly")
+    path = read_only_lake(spark, sf)
     recent = hh.recent(lake.read_viewership(spark, path), F.lit("2024-01-31").cast("date"), 7)
     return hh.genre_hours(recent).drop("watch_hours", "watch_minutes")
 
 
 @query("partition_listing", d.views("viewership") + "SELECT DISTINCT watch_date FROM viewership")
 def partition_listing(spark, sf):
-    path = lake_copy(spark, sf, "listing")
+    path = read_only_lake(spark, sf)
     days = folders.partition_values(spark, path, "watch_date")
     rows = spark.read.parquet(path).select(F.col("watch_date").cast("string").alias("watch_date"))
     return rows.filter(F.col("watch_date").isin(days)).distinct()

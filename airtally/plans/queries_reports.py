@@ -398,14 +398,23 @@ def alert_counts(spark, sf):
 SELECT 'consent_stale' AS "check", {NOW_SECONDS} - max(consent_time) AS value, {NOW_SECONDS} - max(consent_time) > 3600 AS alert FROM consent_events
 UNION ALL SELECT 'queue_depth', count(*) FILTER (status <> 'completed'), count(*) FILTER (status <> 'completed') > 10000 FROM privacy_requests
 UNION ALL SELECT 'deletion_age', {NOW_SECONDS} - epoch_us(min(requested_at) FILTER (status <> 'completed' AND request_type = 'erasure')) // 1000000,
-  {NOW_SECONDS} - epoch_us(min(requested_at) FILTER (status <> 'completed' AND request_type = 'erasure')) // 1000000 > 82800 FROM privacy_requests)
+  {NOW_SECONDS} - epoch_us(min(requested_at) FILTER (status <> 'completed' AND request_type = 'erasure')) // 1000000 > 82800 FROM privacy_requests
+UNION ALL SELECT 'consumer_lag', CAST(sum(ends - coalesce(seen, 0)) AS BIGINT), sum(ends - coalesce(seen, 0)) > 1000 FROM (
+  SELECT user_id % 8 AS p, count(*) AS ends, nullif(count(*) FILTER (event_type <> 'error' AND user_id % 8 <> 3), 0) AS seen FROM events GROUP BY 1))
 SELECT * FROM c""")
 def operational_checks(spark, sf):
     requests, now = d.privacy_requests(spark, sf), F.lit(NOW_SECONDS)
     consent = al.freshness(
         d.consent_events(spark, sf), "consent_time", now, al.CONSENT_AGE_SECONDS, "consent_stale"
     )
-    return al.consolidate(consent, al.backlog(requests), al.deletion_delay(requests, now))
+    # Errors stand for messages not read yet; partition 3 was never read.
+    part = F.struct(F.lit("raw.fingerprints").alias("topic"), (F.col("user_id") % 8).alias("partition"))
+    events = d.table(spark, sf, "events").select(part.alias("p"), "event_type").select("p.*", "event_type")
+    ends = events.groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("offset"))
+    read = events.filter("event_type <> 'error' AND partition <> 3").groupBy("topic", "partition").agg(
+        F.count(F.lit(1)).alias("offset"))
+    return al.consolidate(
+        consent, al.backlog(requests), al.deletion_delay(requests, now), al.consumer_lag(read, ends, 1000))
 
 
 @query("data_quality_completeness", d.views("raw_fingerprints") + """, t AS (SELECT count(*) AS rows, count(CASE WHEN length(device_id) = 64 THEN 1 END) AS a,

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from airtally import schemas
 from airtally.functions import codec, times
+from airtally.session import scratch_path
 from airtally.sources import folders
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Content items of JSON manifests."""
-    raw = spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path)
-    return raw.select(F.inline("items"))
+    """Content items of JSON manifests: any number of documents per file, each on one
+    line or spread over many."""
+    whole = spark.read.text(path, wholetext=True)
+    # Between documents there is white space only; between the parts of one, a comma.
+    texts = whole.select(F.explode(F.split("value", r"(?<=\})\s+(?=\{)")).alias("text"))
+    parsed = texts.select(F.from_json("text", schemas.MANIFEST).alias("document"))
+    return parsed.select(F.inline("document.items"))
 
 
 def parse_hash_lines(lines: DataFrame) -> DataFrame:
@@ -143,16 +148,17 @@ def write_members(members: DataFrame, path: str, now: Column, refreshed: list[st
     spark = members.sparkSession
     expires = now + F.make_dt_interval(hours=F.lit(ttl_hours))
     before = set(folders.partition_values(spark, path, "segment_id"))
-    fresh = members.filter(F.col("segment_id").isin(refreshed)).withColumn("expires_at", expires)
-    if before & set(refreshed):
-        # Which refreshed segments are empty now; at most one row per segment.
-        filled = {r[0] for r in fresh.select("segment_id").distinct().collect()}
-    else:
-        filled = set(refreshed)
-    (
-        fresh.hint("rebalance", "segment_id").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("segment_id").parquet(path)
-    )
+    fresh = members.filter(F.col("segment_id").isin(refreshed))
+    # Written once beside the table; folder names then tell which segments are empty now.
+    staged = scratch_path(spark, "members")
+    fresh.hint("rebalance", "segment_id").write.partitionBy("segment_id").parquet(staged)
+    filled = set(folders.partition_values(spark, staged, "segment_id"))
+    if filled:
+        (
+            spark.read.schema(members.schema).parquet(staged).withColumn("expires_at", expires)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("segment_id").parquet(path)
+        )
     folders.drop_partitions(spark, path, "segment_id", (before & set(refreshed)) - filled)
 
 

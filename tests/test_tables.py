@@ -213,6 +213,10 @@ def test_reports_exports_and_manifests(spark, tmp_path):
         files.write_export(rows_, str(tmp_path / "x"), "xml")
     (tmp_path / "catalog.json").write_text('{"version": 1,\n "items": [{"content_id": "c1", "title": "t", "network": "n",\n "wav": "a.wav", "confidence": 1.0}]}')
     items = files.read_manifest(spark, str(tmp_path / "catalog.json"))
+    (tmp_path / "two.json").write_text(
+        '{"items": [{"content_id": "c2", "title": "x"},\n {"content_id": "c3"}]}\n\n{"items":\n [{"content_id": "c4"}]}\n{"items": []}')
+    several = files.read_manifest(spark, str(tmp_path / "two.json"))
+    assert sorted(r.content_id for r in several.collect()) == ["c2", "c3", "c4"]
     clips = spark.createDataFrame([("a.wav", 1500, "f" * 64)], "wav string, start_ms bigint, fingerprint_hash string")
     seeded = files.seed_references(items, clips).first()
     assert (seeded.content_id, seeded.genre, seeded.episode) == ("c1:1500", "unknown", None)
