@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,13 +88,5 @@ def modelled_cpm(combined: Column | str) -> Column:
     return F.round(F.least(F.lit(0.95), F.lit(0.05) + (F.lit(1.0) - _c(combined)) * 0.6), 2)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def ratio_or_zero(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))

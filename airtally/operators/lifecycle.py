@@ -35,11 +35,6 @@ def expired(frame: DataFrame, date_column: str, cutoff: str) -> DataFrame:
     return frame.filter(F.col(date_column) < cutoff)
 
 
-def retained(frame: DataFrame, date_column: str, cutoff: str) -> DataFrame:
-    """Rows on or after the cutoff; a row without a date is not expired."""
-    return frame.filter(~F.coalesce(F.col(date_column) < cutoff, F.lit(False)))
-
-
 def drop_expired(spark: SparkSession, path: str, date_column: str, cutoff: str) -> int:
     """Delete the partitions before the cutoff and give the number of rows in them.
 
@@ -158,8 +153,3 @@ def compact(spark: SparkSession, path: str, partition: str, cluster: Sequence[st
         .partitionBy(partition).parquet(path)
     )
     return targets
-
-
-def upsert(current: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Current rows with the updates put in; the highest version per key stays."""
-    return lake.latest_rows(current.unionByName(updates), keys, [F.col(version)])

@@ -11,7 +11,6 @@ from airtally.functions import consent as cs
 from airtally.functions import identity
 from airtally.sources import files, folders, lake
 
-REQUEST_TYPES = ("opt_out", "erasure", "portability")
 
 
 def consent_records(events: DataFrame, version: str = "1.0") -> DataFrame:

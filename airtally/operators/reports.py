@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airtally.functions import times
 from airtally.functions.scoring import ratio_or_zero
 
 # Revenue share and payout terms.
@@ -245,7 +246,7 @@ def match_counters(matches: DataFrame) -> DataFrame:
 
 
 def active_sessions(sessions: DataFrame, now: Column, ttl: int = 300) -> DataFrame:
-    alive = sessions.filter((now - F.col("session_end")) <= ttl)
+    alive = sessions.filter(~times.older_than(now, "session_end", ttl))
     return alive.groupBy("network").agg(F.count(F.lit(1)).alias("active_sessions"))
 
 

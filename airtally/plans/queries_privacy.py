@@ -75,11 +75,13 @@ _REQ = d.views("privacy_requests")
 
 
 @query("opt_out_deadlines", _REQ + f""", t AS (SELECT *, requested_at + CASE WHEN jurisdiction = 'US' THEN INTERVAL 24 HOUR ELSE INTERVAL 72 HOUR END AS due FROM privacy_requests)
-SELECT id, strftime(due, '%Y-%m-%d %H:%M:%S') AS completion_deadline, status <> 'completed' AND due < TIMESTAMP '{NOW}' AS overdue FROM t""")
+SELECT id, strftime(due, '%Y-%m-%d %H:%M:%S') AS completion_deadline, status <> 'completed' AND due < TIMESTAMP '{NOW}' AS overdue,
+  strftime(requested_at + INTERVAL 72 HOUR, '%Y-%m-%d %H:%M:%S') AS export_expires FROM t""")
 def opt_out_deadlines(spark, sf):
     out = privacy.with_deadlines(d.privacy_requests(spark, sf), F.lit(NOW).cast("timestamp"))
     due = F.date_format("completion_deadline", "yyyy-MM-dd HH:mm:ss")
-    return out.select("id", due.alias("completion_deadline"), "overdue")
+    expires = F.date_format(cs.export_expiry("requested_at"), "yyyy-MM-dd HH:mm:ss")
+    return out.select("id", due.alias("completion_deadline"), "overdue", expires.alias("export_expires"))
 
 
 @query("accepted_requests", _REQ + """

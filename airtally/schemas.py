@@ -36,25 +36,6 @@ MANIFEST = (
     "items array<struct<content_id:string,title:string,network:string,genre:string,"
     "episode:string,airdate:string,wav:string,confidence:double>>"
 )
-VIEWERSHIP = (
-    "device_id string, household_id string, content_id string, title string, network string, "
-    "genre string, watch_date string, watch_hour int, duration_minutes int, dma_code string, "
-    "zip_code string, manufacturer string, model string, match_confidence float, "
-    "watch_start_utc bigint, duration_sec int, ip_address string, ingest_timestamp timestamp"
-)
-SEGMENT_DEFINITION = (
-    "segment_id string, name string, logic string, lookback_days int, minimum_cpm_floor double, "
-    "rules array<struct<type:string,op:string,values:array<string>,num:double>>"
-)
-CONSENT_RECORD = (
-    "device_id string, opted_in boolean, consent_timestamp timestamp, consent_version string, "
-    "ip_at_consent string, jurisdiction string, tcf_string string, purposes array<string>, "
-    "vendors array<string>, special_features array<string>"
-)
-PRIVACY_REQUEST = (
-    "id string, device_id string, jurisdiction string, request_type string, status string, "
-    "requested_at timestamp, completion_deadline timestamp, completed_at timestamp"
-)
 AUDIT_LOG = (
     "log_id string, timestamp timestamp, action string, device_id_hash string, "
     "jurisdiction string, operator_id string, metadata map<string,string>"
