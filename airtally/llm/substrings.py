@@ -5,14 +5,14 @@ equal ones) is the window's anchor. Equal windows have their anchor at the same
 suffixes at anchors are needed, about one in ninety bytes, and of these only the ones whose k-gram
 occurs at another anchor too. Tasks combine equal k-grams before they send them.
 
-Suffixes. Each such anchor sends the bytes of its windows. Spark samples splitters over the leading
-bytes and deals the suffixes by range, so that suffixes with the same leading k-gram are
-neighbours in one bucket and the last suffix of a bucket and the first one of the next differ within
+Suffixes. Each such anchor sends the bytes of its windows. Splitters sampled from the leading k-grams
+deal the suffixes to buckets by range. A splitter is a whole k-gram, so suffixes with the same one are
+neighbours in one bucket, and the last suffix of a bucket and the first of the next differ within
 it; no match crosses a boundary. A bucket is sorted by multikey quicksort over words of
 eight bytes; common prefixes of neighbours give the stretches of suffixes that agree as far
 as a window needs, and within a stretch the bytes before the anchor are compared by a hash. K-grams
-with more than `hot_anchors` anchors do not go into a bucket: their windows are counted by
-hash with partial aggregates.
+with more than `hot_anchors` anchors do not go into a bucket: each task finds the equal ones among
+their windows, and one row per different window and task goes on to be counted.
 
 Marks. Covered bytes go back to their texts as intervals. Equal texts take part once; all of
 their windows are repeated.
@@ -21,6 +21,7 @@ their windows are repeated.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,11 @@ from airtally.llm.tables import documents_of, saved
 LENGTH = 200
 GRAM = 32
 HOT_ANCHORS = 50_000
-BUCKET_SUFFIXES = 60_000
+BUCKET_SUFFIXES = 20_000
+SAMPLED_TEXTS = 2_000
+SAMPLED_SUFFIXES = 50_000
+HOT_WINDOWS = 300_000
+MAX_BROADCAST = 100_000
 CHUNK_ANCHORS = 200_000
 BUCKET_ANCHORS = 500_000
 SEGMENT_BYTES = 1 << 22
@@ -157,29 +162,42 @@ def repeated_anchors(source: DataFrame, length: int, gram: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, "hash long, key long, n long, place long")
 
 
-def _suffixes(candidates: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row per wanted anchor of each text: lead (its k-gram), key, n, place, first, bytes, hot."""
-    names = ["lead", "key", "n", "place", "first", "bytes", "hot"]
+def _suffixes(candidates: DataFrame, length: int, gram: int, hot: bool, splitters: list[bytes]) -> DataFrame:
+    """A row per wanted anchor of each text: bucket, lead (its k-gram), key, n, place, first, bytes. Only
+    the hot anchors, or only the others."""
+    shared = candidates.sparkSession.sparkContext.broadcast(splitters)
+    names = ["bucket", "lead", "key", "n", "place", "first", "bytes"]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = shared.value
         for batch in batches:
-            for key, n, text, places, hot in zip(*(batch.column(c) for c in range(5))):
+            for key, n, text, places, hot_places in zip(*(batch.column(c) for c in range(5))):
                 raw = text.as_py().encode("utf-8", "replace")
                 place, first, last, _ = anchors(raw, length, gram)
-                wanted = np.isin(place, np.array(places.as_py(), dtype=np.int64))
-                place, first, last = place[wanted], first[wanted], last[wanted]
-                hot_places = set(hot.as_py())
-                rows = list(zip(place.tolist(), first.tolist(), last.tolist()))
-                size = len(rows)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([raw[p:p + gram] for p, _, _ in rows], pa.binary()),
-                    pa.array([key.as_py()] * size, pa.int64()), pa.array([n.as_py()] * size, pa.int64()),
-                    pa.array(place, pa.int64()), pa.array(first, pa.int64()),
-                    pa.array([raw[a:b + length] for _, a, b in rows], pa.binary()),
-                    pa.array([p in hot_places for p, _, _ in rows], pa.bool_())], names)
-
-    return candidates.select("key", "n", "text", "places", "hot").mapInArrow(
-        run, "lead binary, key long, n long, place long, first long, bytes binary, hot boolean")
+                warm = set(hot_places.as_py())
+                mine = warm if hot else set(places.as_py()) - warm
+                rows = [
+                    (bisect_right(bounds, raw[p:p + gram]), raw[p:p + gram], key.as_py(), n.as_py(), p, a,
+                     raw[a:b + length])
+                    for p, a, b in zip(place.tolist(), first.tolist(), last.tolist()) if p in mine
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    wanted = candidates if not hot else candidates.filter(F.size("hot") > 0)
+    return wanted.select("key", "n", "text", "places", "hot").mapInArrow(
+        run, "bucket int, lead binary, key long, n long, place long, first long, bytes binary")
+
+
+def _splitters(candidates: DataFrame, texts: int, length: int, gram: int, buckets: int) -> list[bytes]:
+    """At most `buckets` - 1 leading k-grams that cut a sample of the suffixes into equal parts."""
+    part = F.pmod(F.xxhash64("key", "n"), F.lit(1 << 20)) <= min(1 << 20, (SAMPLED_TEXTS << 20) // max(1, texts))
+    rows = _suffixes(candidates.filter(part), length, gram, False, []).select("lead").limit(
+        SAMPLED_SUFFIXES).collect()
+    leads = sorted(bytes(r["lead"]) for r in rows)
+    return sorted({leads[len(leads) * k // buckets] for k in range(1, buckets)}) if leads else []
 
 
 def multikey_sort(words: np.ndarray) -> np.ndarray:
@@ -251,43 +269,66 @@ def repeated_windows(first: np.ndarray, place: np.ndarray, data: list[bytes], le
     return result_low, result_high
 
 
-def _bucket_marks(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [batch for batch in batches if batch.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        place, first = (rows.column(c).to_numpy() for c in ("place", "first"))
+_MARKS = "key long, n long, start long, stop long"
+
+
+def _marks(key, n, start, stop) -> pa.Table:
+    return pa.table({"key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64()),
+                     "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
+
+
+def _bucket_marks(suffixes: DataFrame, length: int) -> DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        key, n, place, first = (rows.column(c).to_numpy() for c in ("key", "n", "place", "first"))
         low, high = repeated_windows(first, place, rows.column("bytes").to_pylist(), length)
         hit = high >= 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows.column("key").to_numpy()[hit]), pa.array(rows.column("n").to_numpy()[hit]),
-             pa.array(place[hit] - high[hit]), pa.array(place[hit] - low[hit] + length)],
-            ["key", "n", "start", "stop"])
+        return _marks(key[hit], n[hit], place[hit] - high[hit], place[hit] - low[hit] + length)
 
-    dealt = suffixes.filter(~F.col("hot")).select("lead", "key", "n", "place", "first", "bytes")
-    return dealt.repartitionByRange(buckets, "lead").mapInArrow(
-        run, "key long, n long, start long, stop long")
+    return suffixes.select("bucket", "key", "n", "place", "first", "bytes").groupBy("bucket").applyInArrow(
+        run, _MARKS)
 
 
 def _hot_marks(suffixes: DataFrame, length: int) -> DataFrame:
-    """Windows of very frequent k-grams, each by a 128-bit digest; only counts meet."""
+    """Windows of very frequent k-grams by a 128-bit digest. A task marks what is equal within it and
+    sends each different window once; what two tasks sent is marked too."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[bytes, tuple[int, int, int]] = {}
+        again: set[bytes] = set()
+
+        def sent() -> pd.DataFrame:
+            rows = [(digest, *at, at[2] + length, False) for digest, at in seen.items()]
+            return pd.DataFrame(rows, columns=["digest", "key", "n", "start", "stop", "marked"])
+
         for batch in batches:
+            marks = []
             for key, n, first, data in zip(batch["key"], batch["n"], batch["first"], batch["bytes"]):
-                count = len(data) - length + 1
-                yield pd.DataFrame({
-                    "digest": [hashlib.blake2b(data[i:i + length], digest_size=16).digest()
-                               for i in range(count)],
-                    "key": key, "n": n, "start": np.arange(first, first + count)})
-
-    windows = suffixes.filter("hot").select("key", "n", "first", "bytes").mapInPandas(
-        run, "digest binary, key long, n long, start long")
-    at = F.struct("key", "n", "start")
-    twice = windows.groupBy("digest").agg(F.min(at).alias("low"), F.max(at).alias("high")).filter(
-        "low < high").select("digest")
-    return windows.join(twice, "digest", "left_semi").select(
-        "key", "n", "start", (F.col("start") + length).alias("stop"))
+                low, high = None, None
+                for i in range(len(data) - length + 1):
+                    digest = hashlib.blake2b(data[i:i + length], digest_size=16).digest()
+                    at = (key, n, first + i)
+                    old = seen.setdefault(digest, at)
+                    if old is at:
+                        continue
+                    if digest not in again:
+                        again.add(digest)
+                        marks.append((None, *old, old[2] + length, True))
+                    low, high = first + i if low is None else low, first + i
+                if high is not None:  # an anchor's windows all overlap
+                    marks.append((None, key, n, low, high + length, True))
+            yield pd.DataFrame(marks, columns=["digest", "key", "n", "start", "stop", "marked"])
+            if len(seen) > HOT_WINDOWS:
+                yield sent()
+                seen.clear()
+                again.clear()
+        yield sent()
+
+    rows = saved(suffixes.select("key", "n", "first", "bytes").mapInPandas(
+        run, "digest binary, " + _MARKS + ", marked boolean"), "hot-windows")
+    single = rows.filter("NOT marked")
+    twice = single.groupBy("digest").count().filter(F.col("count") > 1).select("digest")
+    columns = ["key", "n", "start", "stop"]
+    return rows.filter("marked").select(*columns).unionByName(
+        single.join(twice, "digest", "left_semi").select(*columns))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -304,8 +345,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = documents_of(docs, id_col, text_col)
     keyed = source.withColumn("key", _key_column()).withColumn("n", F.octet_length("text").cast("long"))
     found = saved(repeated_anchors(source, length, gram), "repeated-anchors")
-    hot = found.groupBy("hash").count().filter(F.col("count") > hot_anchors).select(
-        "hash", F.lit(True).alias("hot"))
+    hot = saved(found.groupBy("hash").count().filter(F.col("count") > hot_anchors).select(
+        "hash", F.lit(True).alias("hot")), "hot-hashes")
+    if hot.count() <= MAX_BROADCAST:  # else an ordinary join
+        hot = F.broadcast(hot)
     places = found.join(hot, "hash", "left").groupBy("key", "n").agg(
         F.collect_set("place").alias("places"),
         F.collect_set(F.when(F.col("hot"), F.col("place"))).alias("hot"))
@@ -313,11 +356,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = keyed.select("key", "n", "text").filter(F.col("n") >= length).withColumn(
         "copy", F.row_number().over(once)).filter("copy = 1").drop("copy")
     candidates = saved(texts.join(places, ["key", "n"]), "texts-with-repeats")
-    total = candidates.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
-    suffixes = _suffixes(candidates, length, gram)
-    marks = _bucket_marks(suffixes, length, max(1, -(-2 * total // bucket_suffixes)))
-    if not candidates.filter(F.size("hot") > 0).isEmpty():
-        marks = marks.unionByName(_hot_marks(suffixes, length))
+    sizes = candidates.agg(
+        F.sum(F.size("places")).alias("n"), F.count(F.lit(1)).alias("texts"),
+        F.max(F.size("hot")).alias("hot")).first()
+    buckets = max(1, -(-(sizes["n"] or 0) // bucket_suffixes))
+    splitters = _splitters(candidates, sizes["texts"], length, gram, buckets)
+    marks = _bucket_marks(_suffixes(candidates, length, gram, False, splitters), length)
+    if sizes["hot"]:
+        marks = marks.unionByName(_hot_marks(_suffixes(candidates, length, gram, True, []), length))
     spans = marks.groupBy("key", "n").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
