@@ -4,8 +4,13 @@ Routing. Two sets of sizes a and b with similarity s differ in at most (1 - s) /
 tokens. If tokens are dealt by their hash into more segments than that, some segment is the same in
 both. So every set sends one signature per segment, for the size classes it can have partners in;
 sets that share a signature are put into one candidate component. Signatures that occur once end
-there, which is nearly all of them, and a passage that many texts share does not make a whole
-segment equal. Tasks combine equal signatures before they send them.
+there, which is nearly all of them. Tasks combine equal signatures before they send them. So that
+passages which many texts share do not connect everything, the segments leave out frequent shingles:
+any fixed set of shingles may be left out, for what is left differs no more than the whole does.
+Only a set that has too few other shingles (a copy among thousands) sends signatures of
+all of them too; two such sets meet there. Which shingles count as frequent changes the
+candidates, never the result: they are counted over all texts, in each task by itself, and the
+`FREQUENT_SHINGLES` most frequent of those that repeat within tasks are broadcast.
 
 Verification. Inside a candidate component similar sets (neighbours in the order of their smallest
 hashes) form groups; a matrix holds the union of each group's tokens. A query set's overlap with a
@@ -19,6 +24,7 @@ every block. That leaves out no pair of different parts.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +42,9 @@ GROUP_SETS = 32
 TASK_TOKENS = 1_000_000
 CHUNK_SIGNATURES = 400_000
 BUCKET_SIGNATURES = 1_000_000
+FREQUENT_SHINGLES = 300_000
+FREQUENT_FROM = 6
+CHUNK_SHINGLES = 2_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -89,6 +98,7 @@ class Classes:
     def __init__(self, threshold: tuple[int, int] = THRESHOLD):
         self.num, self.den = threshold
         self.bounds = [1]
+        self.known: dict[int, int] = {}
 
     def _extend(self) -> None:
         low = self.bounds[-1]
@@ -108,34 +118,80 @@ class Classes:
         differ = (self.den - self.num) * (small + large) // (self.den + self.num)
         if differ == 0:
             return 0, 0
-        return differ + 2 + differ // 50, differ
+        if cls not in self.known:
+            # So many more segments than can differ that chance leaves fewer empty ones, by far.
+            fits = (count for count in range(differ + 1, 2 * differ + 10)
+                    if count - differ >= (empty := count * math.exp(-self.bounds[cls] / count))
+                    + 4 * math.sqrt(empty) + 1)
+            self.known[cls] = next(fits, differ + 2)
+        return self.known[cls], differ
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """A signature per segment that has tokens, in each class the set belongs to.
+    def signatures(self, tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """A signature per segment that has tokens which are not frequent, in each class of the set.
 
         Empty segments are equal in too many sets to say anything. A pair may lack a common segment
-        with tokens only if either set has as many empty ones as must be equal; such sets send a
-        signature of the whole class instead.
+        with tokens only if either set has as many empty ones as must be equal. Such sets send
+        signatures of all their tokens as well, and if those fail too, one of the whole class.
         """
         band = self.band(len(tokens))
+        rare = tokens
+        if len(frequent):
+            at = np.searchsorted(frequent, tokens)
+            at[at == len(frequent)] = 0
+            rare = tokens[frequent[at] != tokens]
         parts = []
         for cls in (band, band - 1):
-            if cls < 0:
-                continue
-            count, differ = self.segments(cls)
+            count, differ = self.segments(cls) if cls >= 0 else (0, 0)
             if not count:
                 continue
-            segment = ((tokens >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
-            sums = np.zeros(count, dtype=np.uint64)
-            np.add.at(sums, segment, mixed(tokens + np.uint64(cls)))
-            filled = np.bincount(segment, minlength=count) > 0
-            places = np.flatnonzero(filled).astype(np.uint64)
-            salt = np.uint64((cls + 1) << 40)
-            parts.append(mixed(sums[filled] ^ mixed(places + salt)))
-            if count - len(places) >= count - differ:
+            for kind, chosen in enumerate((rare, tokens)):
+                salt = np.uint64((2 * cls + kind + 1) << 40)
+                found, empty = self._segment_signatures(chosen, count, salt)
+                parts.append(found)
+                if empty < count - differ:
+                    break
+            else:
                 parts.append(mixed(np.array([salt], dtype=np.uint64)))
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
+    @staticmethod
+    def _segment_signatures(tokens: np.ndarray, count: int, salt: np.uint64) -> tuple[np.ndarray, int]:
+        segment = ((tokens >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
+        sums = np.zeros(count, dtype=np.uint64)
+        np.add.at(sums, segment, mixed(tokens + salt))
+        filled = np.bincount(segment, minlength=count) > 0
+        places = np.flatnonzero(filled).astype(np.uint64)
+        return mixed(sums[filled] ^ mixed(places + salt)), count - len(places)
+
+
+def frequent_shingles(source: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that repeat within tasks, the most frequent ones over all texts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def repeated() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= 3
+            return pa.RecordBatch.from_arrays(
+                [pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], ["token", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = shingles(text.as_py(), width)
+                held.append(tokens)
+                waiting += len(tokens)
+                if waiting >= CHUNK_SHINGLES:
+                    yield repeated()
+                    held, waiting = [], 0
+        if waiting:
+            yield repeated()
+
+    counted = source.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(
+        F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_FROM)
+    rows = counted.orderBy(F.desc("n"), "token").limit(FREQUENT_SHINGLES).select("token").toArrow()
+    return np.sort(rows.column("token").to_numpy().astype(np.int64).view(np.uint64))
+
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
@@ -164,10 +220,11 @@ def _bytes(values: np.ndarray) -> bytes:
 def candidate_edges(source: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
     """Edges (a, b) between the set numbers of sets that share a signature, in stars."""
     size = source.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shared = source.sparkSession.sparkContext.broadcast(frequent_shingles(source, width))
     buckets = max(8, min(1 << 20, size // (16 * BUCKET_SIGNATURES)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(threshold)
+        classes, frequent = Classes(threshold), shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
         waiting = 0
@@ -195,7 +252,7 @@ def candidate_edges(source: DataFrame, width: int, threshold: tuple[int, int]) -
                 number = int(set_digest(tokens)[:15], 16)
                 if number in seen:  # the same set, in this task already
                     continue
-                found = classes.signatures(tokens)
+                found = classes.signatures(tokens, frequent)
                 if not len(found):
                     continue
                 seen.add(number)
