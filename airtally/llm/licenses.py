@@ -1,9 +1,9 @@
 """License notices found by ordered signature rules.
 
 A text becomes one line of its words, lower-cased in A-Z and set apart by single blanks. Rules are
-regular expressions over that line, each with a priority, a label and a keyword. Two prefilters keep
+regular expressions over that line, each with a priority, a label and keywords. Two prefilters keep
 them off most texts: a text without any of `GATES` is not turned into a line at all, and a rule
-runs only where its keyword is a word of the text. A detection that lies within a detection
+runs only where one of its keywords is a word of the text. A detection that lies within a detection
 of the same or a higher priority is suppressed (of equal spans the earlier rule stays). All of
 this happens inside the row, so nothing is shuffled and a long text costs its own row only.
 """
@@ -37,22 +37,22 @@ GATES = ("licen", "spdx", "copyright", "rights reserved", "domain", "commons", "
 class Rule(NamedTuple):
     priority: int  # 0 is the highest
     label: str
-    keyword: str  # a word that every match holds
+    keywords: tuple[str, ...]  # every match holds one of them as a word; without any the rule always runs
     pattern: str  # over words set apart by single blanks
     confidence: float
 
 
-# label, keyword, name as a pattern, version as a pattern ("" where there is none).
+# label, words of which every name holds one, name as a pattern, version as a pattern ("" where there is none).
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat)", ""),
-    ("mit-0", "0", "mit (?:no attribution|0)", ""),
+    ("mit", "mit expat", "(?:mit|expat)", ""),
+    ("mit-0", "mit", "mit (?:no attribution|0)", ""),
     ("x11", "x11", "x11", ""),
     ("isc", "isc", "isc", ""),
     ("zlib", "zlib", "zlib(?: libpng)?", ""),
     ("boost-1", "boost", "boost software", "1(?: 0)?"),
     ("apache-1.1", "apache", "apache(?: software)?", "1 1"),
     ("apache-2", "apache", "apache(?: software)?", "2(?: 0)?"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)", ""),
+    ("bsd-2-clause", "bsd freebsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)", ""),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)", ""),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)", ""),
     ("bsd", "bsd", "bsd(?: style)?", ""),
@@ -129,47 +129,57 @@ GRANT = (f"(?:licen[cs]ed|released|distributed|available|published|provided) und
          f"(?:the )?(?:terms of (?:the )?)?")
 
 
+def _glued(words: tuple[str, ...], version: str) -> tuple[str, ...]:
+    """The words, and what they become where a version follows without a blank (gpl2, gplv2)."""
+    if not version:
+        return words
+    digit = re.search("[0-9]", version)[0]
+    return words + tuple(word + end for word in words for end in ("v", digit, "v" + digit))
+
+
 def signature_rules() -> list[Rule]:
     """All rules, in order: tags, then grants, then titles, then names in passing."""
     rules: list[Rule] = []
-    for label, keyword, name, version in FAMILIES:
+    for label, words, name, version in FAMILIES:
+        known = tuple(words.split())
         edition = f"(?: {LICENSE})?(?: version)? {version}" if version else f"(?: {LICENSE})?"
         rules += [
-            Rule(0, label, keyword, f"spdx {LICENSE} identifier {name} ?{version}", 1.0),
-            Rule(1, label, keyword, f"{GRANT}{name}{edition}(?: or (?:any )?later(?: version)?)?", 0.95),
-            Rule(2, label, keyword, f"{LICENSE} {name}{' ' + version if version else ''}", 0.8),
-            Rule(2, label, keyword,
+            Rule(0, label, _glued(known, version), f"spdx {LICENSE} identifier {name} ?{version}", 1.0),
+            Rule(1, label, known, f"{GRANT}{name}{edition}(?: or (?:any )?later(?: version)?)?", 0.95),
+            Rule(2, label, known, f"{LICENSE} {name}{' ' + version if version else ''}", 0.8),
+            Rule(2, label, known,
                  f"{name} {LICENSE}(?: version)? {version}" if version else f"{name} {LICENSE}", 0.85),
         ]
     for label, short, long in CREATIVE:
         edition = "(?: [1-4](?: [05])?)?"
         rules += [
-            Rule(0, label, "cc", f"spdx {LICENSE} identifier cc {short}{edition}", 1.0),
-            Rule(1, label, "cc", f"{GRANT}(?:an? )?cc {short}{edition}", 0.95),
-            Rule(1, label, "creative", f"{GRANT}(?:an? )?creative commons {long}{edition}", 0.95),
-            Rule(2, label, "creative", f"creative commons {long}(?: {edition})?(?: {LICENSE})?", 0.85),
-            Rule(3, label, "cc", f"cc {short}{edition}", 0.7),
+            Rule(0, label, ("cc",), f"spdx {LICENSE} identifier cc {short}{edition}", 1.0),
+            Rule(1, label, ("cc",), f"{GRANT}(?:an? )?cc {short}{edition}", 0.95),
+            Rule(1, label, ("creative",), f"{GRANT}(?:an? )?creative commons {long}{edition}", 0.95),
+            Rule(2, label, ("creative",), f"creative commons {long}(?: {edition})?(?: {LICENSE})?", 0.85),
+            Rule(3, label, ("cc",), f"cc {short}{edition}", 0.7),
         ]
     rules += [
-        Rule(0, "cc0", "cc0", f"spdx {LICENSE} identifier cc0(?: 1 0)?", 1.0),
-        Rule(1, "cc0", "cc0", f"{GRANT}cc0(?: 1 0)?", 0.95),
-        Rule(2, "cc0", "cc0", "cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", 0.85),
-        Rule(2, "public-domain", "domain", "(?:released into|dedicated to|placed in|in) the public domain", 0.8),
-        Rule(2, "proprietary", "reserved", "all rights reserved", 0.6),
-        Rule(3, "copyright-notice", "copyright", "copyright(?: c)?(?: by)? (?:19|20)[0-9]{2}", 0.4),
-        Rule(3, "unknown-license", "license", f"(?:{GRANT})(?:the |a |this )?{LICENSE}", 0.3),
+        Rule(0, "cc0", ("cc0",), f"spdx {LICENSE} identifier cc0(?: 1 0)?", 1.0),
+        Rule(1, "cc0", ("cc0",), f"{GRANT}cc0(?: 1 0)?", 0.95),
+        Rule(2, "cc0", ("cc0",), "cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", 0.85),
+        Rule(2, "public-domain", ("domain",), "(?:released into|dedicated to|placed in|in) the public domain", 0.8),
+        Rule(2, "proprietary", ("reserved",), "all rights reserved", 0.6),
+        Rule(3, "copyright-notice", ("copyright",), "copyright(?: c)?(?: by)? (?:19|20)[0-9]{2}", 0.4),
+        Rule(3, "unknown-license", ("license", "licence"), f"(?:{GRANT})(?:the |a |this )?{LICENSE}", 0.3),
     ]
     return rules
 
 
 def _rule_array(rules: list[Rule]) -> Column:
     """Rules as one literal; a match is a place, not a stretch, so that matches may overlap."""
-    kind = ("array<struct<priority:int,rule:int,label:string,keyword:string,confidence:double,"
-            "pattern:string>>")
+    kind = ("array<struct<priority:int,rule:int,label:string,keywords:array<string>,"
+            "confidence:double,pattern:string>>")
     return F.array(*[
         F.struct(
             F.lit(rule.priority).alias("priority"), F.lit(number).alias("rule"),
-            F.lit(rule.label).alias("label"), F.lit(rule.keyword).alias("keyword"),
+            F.lit(rule.label).alias("label"),
+            F.array(*map(F.lit, rule.keywords)).cast("array<string>").alias("keywords"),
             F.lit(rule.confidence).alias("confidence"),
             F.lit(f"(?<= )(?=({rule.pattern}) )").alias("pattern"),
         )
@@ -240,7 +250,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rules = signature_rules() if rules is None else rules
     known = _rule_array(rules)
-    phrase_rules = _rule_array([Rule(0, label, "", re.escape(phrase).replace(r"\ ", " "), 1.0)
+    phrase_rules = _rule_array([Rule(0, label, (), re.escape(phrase).replace(r"\ ", " "), 1.0)
                                 for phrase, label in phrases.items()])
     lowered = F.lower("text")
     gated = F.lit(False)
@@ -255,11 +265,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(gated, words).alias("words"),
     )
     line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(r.keyword for r in rules)]).cast("array<string>")
+    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(k for r in rules for k in r.keywords)]).cast("array<string>")
     lines = lines.select(
         "doc_id", "n_words", F.when(F.size("words") > 0, line).alias("line"),
         F.array_intersect(keywords, F.col("words")).alias("keywords"))
-    chosen = F.filter(known, lambda rule: F.array_contains(F.col("keywords"), rule["keyword"]))
+    chosen = F.filter(known, lambda rule: (F.size(rule["keywords"]) == 0)
+                      | F.arrays_overlap(rule["keywords"], F.col("keywords")))
     priorities = 1 + max((r.priority for r in rules), default=0)
     result = F.when(F.col("line").isNotNull(), F.struct(
         F.transform(F.sort_array(_detections(F.col("line"), phrase_rules)), lambda d: F.struct(

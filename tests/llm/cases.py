@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, and documents with every odd case in them."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -110,3 +111,48 @@ def detections(text, rules):
             y is not x and y[0] <= x[0] and y[1] >= x[1]
             and (y[2] < x[2] or y[2] == x[2] and ((y[0], y[1]) != (x[0], x[1]) or y[3] < x[3]))
             for y in found))
+
+
+def _choices(pattern, every):
+    """Texts that match: each choice in turn, or all choices together where `every` is set."""
+    def sequence(parts):
+        options = [element(op, value) for op, value in parts]
+        if every:
+            return ["".join(x) for x in itertools.product(*options)]
+        base = [o[0] for o in options]
+        return ["".join(base)] + [
+            "".join([*base[:i], other, *base[i + 1:]]) for i, o in enumerate(options) for other in o[1:]]
+
+    def element(op, value):
+        name = str(op)
+        if name == "LITERAL":
+            return [chr(value)]
+        if name == "IN":
+            kinds = dict((str(o), v) for o, v in value)
+            if "RANGE" in kinds:
+                return [chr(kinds["RANGE"][0])]
+            return [chr(v) for _, v in value]
+        if name == "BRANCH":
+            return [t for branch in value[1] for t in sequence(branch)]
+        if name == "SUBPATTERN":
+            return sequence(value[-1])
+        if name == "MAX_REPEAT":
+            least, most, inner = value
+            return [t * n for n in dict.fromkeys((most, least)) for t in (sequence(inner) if n else [""])]
+        raise ValueError(name)
+
+    # A line of words never holds two blanks in a row.
+    found = sequence(re._parser.parse(pattern))
+    return list(dict.fromkeys(t.strip(" ") for t in found if "  " not in t))
+
+
+def matching_texts(pattern):
+    """One matching text for each alternative of a rule, and the glued spellings (gplv2, gpl2)."""
+    texts = _choices(pattern, False)
+    if pattern.startswith("spdx"):
+        texts += _choices(pattern.replace("[cs]", "s"), True)
+    return list(dict.fromkeys(texts))
+
+
+def all_matching_texts(pattern):
+    return _choices(pattern, True)

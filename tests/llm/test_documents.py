@@ -1,6 +1,7 @@
 """Operators on documents against plain Python versions, on documents with every odd case."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -123,6 +124,27 @@ def test_license_texts(spark):
     assert brief[14].n_base == 300 and brief[8].labels == ""
 
 
+def license_detections(spark, texts, rules):
+    """Checks that the scan of the texts finds what the unfiltered rules find."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.detections for r in licenses.scan(frame).collect()}
+    lost = [text for i, text in enumerate(texts) if sorted(
+        (d.start, d.stop, d.rule, d.label) for d in found[i]) != cases.detections(text, rules)]
+    assert not lost, (len(lost), lost[:10])
+
+
+def test_license_keywords_lose_nothing(spark):
+    rules = licenses.signature_rules()
+    for rule in rules:
+        for text in cases.all_matching_texts(rule.pattern):
+            assert re.fullmatch(rule.pattern, text) and not set(text.split()).isdisjoint(rule.keywords), (rule, text)
+    texts = [text for rule in rules for text in cases.matching_texts(rule.pattern)]
+    texts += ["licensed under the Expat license", "MIT No Attribution License", "FreeBSD License",
+              "distributed under this licence", "SPDX-License-Identifier: GPLv2",
+              "SPDX-License-Identifier: LGPLv3", "SPDX-License-Identifier: AGPLv3"]
+    license_detections(spark, ["according to " + text for text in texts], rules)
+
+
 def test_phrase_that_overlaps_itself(spark):
     frame = spark.createDataFrame([(1, "a b a b a license")], "doc_id long, text string")
     got = licenses.scan(frame, phrases={"a b a": "x"}, rules=[]).first()
