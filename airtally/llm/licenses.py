@@ -2,7 +2,7 @@
 
 A text becomes one line of its words, lower-cased in A-Z and set apart by single blanks. Rules are
 regular expressions over that line, each with a priority, a label and keywords. Two prefilters keep
-them off most texts: a text without any of `GATES` is not turned into a line at all, and a rule
+them off most texts: a text that holds the stems of no rule is not turned into a line at all, and a rule
 runs only where one of its keywords is a word of the text. A detection that lies within a detection
 of the same or a higher priority is suppressed (of equal spans the earlier rule stays). All of
 this happens inside the row, so nothing is shuffled and a long text costs its own row only.
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -30,16 +32,15 @@ BASE_PHRASES = {
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-# No rule matches a text without one of these, in lower case.
-GATES = ("licen", "spdx", "copyright", "rights reserved", "domain", "commons", "cc", "gpl")
-
-
 class Rule(NamedTuple):
     priority: int  # 0 is the highest
     label: str
     keywords: tuple[str, ...]  # every match holds one of them as a word; without any the rule always runs
     pattern: str  # over words set apart by single blanks
     confidence: float
+    # Every matching text holds one stem of each group in lower case, parts of words; without groups all
+    # texts are looked at.
+    stems: tuple[tuple[str, ...], ...] = ()
 
 
 # label, words of which every name holds one, name as a pattern, version as a pattern ("" where there is none).
@@ -127,6 +128,9 @@ CREATIVE = (
 LICENSE = "licen[cs]e"
 GRANT = (f"(?:licen[cs]ed|released|distributed|available|published|provided) under "
          f"(?:the )?(?:terms of (?:the )?)?")
+# Stems of tags and titles, and of grants.
+NAMED = (("licen",),)
+GRANTED = (("under",), ("licen", "released", "distributed", "available", "published", "provided"))
 
 
 def _glued(words: tuple[str, ...], version: str) -> tuple[str, ...]:
@@ -144,33 +148,50 @@ def signature_rules() -> list[Rule]:
         known = tuple(words.split())
         edition = f"(?: {LICENSE})?(?: version)? {version}" if version else f"(?: {LICENSE})?"
         rules += [
-            Rule(0, label, _glued(known, version), f"spdx {LICENSE} identifier {name} ?{version}", 1.0),
-            Rule(1, label, known, f"{GRANT}{name}{edition}(?: or (?:any )?later(?: version)?)?", 0.95),
-            Rule(2, label, known, f"{LICENSE} {name}{' ' + version if version else ''}", 0.8),
+            Rule(0, label, _glued(known, version), f"spdx {LICENSE} identifier {name} ?{version}", 1.0, NAMED),
+            Rule(1, label, known, f"{GRANT}{name}{edition}(?: or (?:any )?later(?: version)?)?", 0.95,
+                 GRANTED),
+            Rule(2, label, known, f"{LICENSE} {name}{' ' + version if version else ''}", 0.8, NAMED),
             Rule(2, label, known,
-                 f"{name} {LICENSE}(?: version)? {version}" if version else f"{name} {LICENSE}", 0.85),
+                 f"{name} {LICENSE}(?: version)? {version}" if version else f"{name} {LICENSE}", 0.85, NAMED),
         ]
     for label, short, long in CREATIVE:
         edition = "(?: [1-4](?: [05])?)?"
         rules += [
-            Rule(0, label, ("cc",), f"spdx {LICENSE} identifier cc {short}{edition}", 1.0),
-            Rule(1, label, ("cc",), f"{GRANT}(?:an? )?cc {short}{edition}", 0.95),
-            Rule(1, label, ("creative",), f"{GRANT}(?:an? )?creative commons {long}{edition}", 0.95),
-            Rule(2, label, ("creative",), f"creative commons {long}(?: {edition})?(?: {LICENSE})?", 0.85),
-            Rule(3, label, ("cc",), f"cc {short}{edition}", 0.7),
+            Rule(0, label, ("cc",), f"spdx {LICENSE} identifier cc {short}{edition}", 1.0, NAMED),
+            Rule(1, label, ("cc",), f"{GRANT}(?:an? )?cc {short}{edition}", 0.95, GRANTED),
+            Rule(1, label, ("creative",), f"{GRANT}(?:an? )?creative commons {long}{edition}", 0.95, GRANTED),
+            Rule(2, label, ("creative",), f"creative commons {long}(?: {edition})?(?: {LICENSE})?", 0.85,
+                 (("commons",),)),
+            Rule(3, label, ("cc",), f"cc {short}{edition}", 0.7, (("cc",),)),
         ]
     rules += [
-        Rule(0, "cc0", ("cc0",), f"spdx {LICENSE} identifier cc0(?: 1 0)?", 1.0),
-        Rule(1, "cc0", ("cc0",), f"{GRANT}cc0(?: 1 0)?", 0.95),
-        Rule(2, "cc0", ("cc0",), "cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", 0.85),
-        Rule(2, "public-domain", ("domain",), "(?:released into|dedicated to|placed in|in) the public domain", 0.8),
-        Rule(2, "proprietary", ("reserved",), "all rights reserved", 0.6),
-        Rule(3, "copyright-notice", ("copyright",), "copyright(?: c)?(?: by)? (?:19|20)[0-9]{2}", 0.4),
-        Rule(3, "unknown-license", ("license", "licence"), f"(?:{GRANT})(?:the |a |this )?{LICENSE}", 0.3),
+        Rule(0, "cc0", ("cc0",), f"spdx {LICENSE} identifier cc0(?: 1 0)?", 1.0, NAMED),
+        Rule(1, "cc0", ("cc0",), f"{GRANT}cc0(?: 1 0)?", 0.95, GRANTED),
+        Rule(2, "cc0", ("cc0",), "cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", 0.85, (("cc0",),)),
+        Rule(2, "public-domain", ("domain",), "(?:released into|dedicated to|placed in|in) the public domain", 0.8,
+             (("domain",),)),
+        Rule(2, "proprietary", ("reserved",), "all rights reserved", 0.6, (("rights",), ("reserved",))),
+        Rule(3, "copyright-notice", ("copyright",), "copyright(?: c)?(?: by)? (?:19|20)[0-9]{2}", 0.4,
+             (("copyright",),)),
+        Rule(3, "unknown-license", ("license", "licence"), f"(?:{GRANT})(?:the |a |this )?{LICENSE}", 0.3,
+             GRANTED),
     ]
     return rules
 
 
+def _gate(text: Column, rules: list[Rule], phrases: Mapping[str, str]) -> Column:
+    """False for texts that hold neither all stems of a rule nor the longest word of a phrase."""
+    lowered = F.lower(text)
+
+    def holds(group: tuple[str, ...]) -> Column:
+        return reduce(or_, (F.contains(lowered, F.lit(stem)) for stem in group))
+
+    groups = [(word,) for word in dict.fromkeys(max(p.split(), key=len) for p in phrases)]
+    sought = dict.fromkeys([*((group,) for group in groups), *(rule.stems for rule in rules)])
+    return reduce(or_, (reduce(and_, map(holds, stems), F.lit(True)) for stems in sought), F.lit(False))
+
+
 def _rule_array(rules: list[Rule]) -> Column:
     """Rules as one literal; a match is a place, not a stretch, so that matches may overlap."""
     kind = ("array<struct<priority:int,rule:int,label:string,keywords:array<string>,"
@@ -252,17 +273,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = _rule_array(rules)
     phrase_rules = _rule_array([Rule(0, label, (), re.escape(phrase).replace(r"\ ", " "), 1.0)
                                 for phrase, label in phrases.items()])
-    lowered = F.lower("text")
-    gated = F.lit(False)
-    for stem in dict.fromkeys((*GATES, *(max(p.split(), key=len) for p in phrases))):
-        gated = gated | F.contains(lowered, F.lit(stem))
     capitals = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
     words = F.regexp_extract_all(
         F.translate("text", capitals, capitals.lower()), F.lit(WORD), F.lit(0))
     lines = documents_of(docs, id_col, text_col).select(
         "doc_id",
         F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-        F.when(gated, words).alias("words"),
+        F.when(_gate(F.col("text"), rules, phrases), words).alias("words"),
     )
     line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     keywords = F.array(*[F.lit(k) for k in dict.fromkeys(k for r in rules for k in r.keywords)]).cast("array<string>")

@@ -145,6 +145,25 @@ def test_license_keywords_lose_nothing(spark):
     license_detections(spark, ["according to " + text for text in texts], rules)
 
 
+def test_license_gate_loses_nothing(spark):
+    rules = licenses.signature_rules()
+    for rule in rules:
+        assert rule.stems
+        for text in cases.all_matching_texts(rule.pattern):
+            assert all(any(stem in text for stem in group) for group in rule.stems), (rule, text)
+    texts = [cases.matching_texts(rule.pattern)[0] for rule in rules]
+    texts += ["Released under MIT.", "Distributed under the BSD 3-Clause", "available under Apache 2.0",
+              "published\nunder Mozilla Public 2.0", "All rights\nreserved", "ALL RIGHTS  RESERVED."]
+    license_detections(spark, texts, rules)
+
+
+def test_license_rules_of_a_caller(spark):
+    own = [licenses.Rule(0, "x", (), "house rules apply", 0.5), licenses.Rule(1, "y", ("rules",), "rules", 0.5)]
+    frame = spark.createDataFrame([(1, "House rules apply; other rules")], "doc_id long, text string")
+    found = licenses.scan(frame, rules=own).first().detections
+    assert [(d.start, d.stop, d.label) for d in found] == [(0, 3, "x"), (4, 5, "y")]
+
+
 def test_phrase_that_overlaps_itself(spark):
     frame = spark.createDataFrame([(1, "a b a b a license")], "doc_id long, text string")
     got = licenses.scan(frame, phrases={"a b a": "x"}, rules=[]).first()
