@@ -117,12 +117,14 @@ class BallTree:
             if bound is not None and (floor is None or bound[0] > floor):
                 floor = bound[0]
             good = np.arange(stop - start) if floor is None else np.flatnonzero(scores >= floor)
-            if len(good) > k + 1:
+            # The query's own rows go first, however many: they must not take places of candidates.
+            good = good[self.ids[start + good] != own]
+            if len(good) > k:
                 # Ids rise within a leaf, so a stable order puts the smaller id first.
-                good = good[np.argsort(-scores[good], kind="stable")[:k + 1]]
+                good = good[np.argsort(-scores[good], kind="stable")[:k]]
             for at in good.tolist():
                 one = (int(scores[at]), -int(self.ids[start + at]))
-                if -one[1] == own or bound is not None and one <= bound:
+                if bound is not None and one <= bound:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, one)

@@ -40,6 +40,17 @@ def test_top_k(spark):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_query_ids_that_repeat(spark):
+    tie = [5.0, 5.0]
+    rows = [(50, tie)] * 30 + [(i, tie) for i in range(60, 65)] + [(i, [1.0, i / 100]) for i in range(10, 30)]
+    tree = topk.BallTree(np.array([i for i, _ in rows]), np.array([v for _, v in rows]).astype(np.int64))
+    assert tree.search(np.array([5, 5]), 50, 5, None) == [(50, -i) for i in range(60, 65)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for shard in (10 ** 6, 20):
+        got = topk.top_k(frame, frame.filter("vec_id % 50 = 0"), shard_rows=shard, block_rows=4)
+        assert sorted(map(tuple, got.collect())) == brute(rows, {50})
+
+
 def test_large_numbers_are_exact():
     rows = np.array([[1 << 28, 3], [1 << 28, 4], [-5, 1]], dtype=np.int64)
     tree = topk.BallTree(np.array([7, 3, 9]), rows, leaf_rows=1)
