@@ -152,18 +152,16 @@ def features(text: str | None) -> np.ndarray:
 
 
 def train(inputs: np.ndarray, good: np.ndarray, rounds: int = 300, penalty: float = 1e-5) -> np.ndarray:
-    """Weights of a logistic scorer on probable labels, by gradient steps with per-weight rates; both
-    classes have the same weight in all."""
+    """Weights of a logistic scorer on probable labels, by gradient steps with per-weight rates. The
+    classes are not balanced: a score of 0.5 is where the labels say that both are as probable."""
     weights = np.zeros(inputs.shape[1], dtype=np.float32)
     if not len(inputs):
         return weights
-    total = max(1e-6, float(good.sum())), max(1e-6, float((1 - good).sum()))
-    up, down = good / total[0] / 2, (1 - good) / total[1] / 2
     speed = np.zeros_like(weights)
     drift = np.zeros_like(weights)
     for step in range(1, rounds + 1):
         guess = 1 / (1 + np.exp(-np.clip(inputs @ weights, -30, 30)))
-        slope = inputs.T @ (guess * (up + down) - up).astype(np.float32) + penalty * weights
+        slope = inputs.T @ ((guess - good) / len(inputs)).astype(np.float32) + penalty * weights
         drift = 0.9 * drift + 0.1 * slope
         speed = 0.99 * speed + 0.01 * slope * slope
         weights = weights - 0.3 * (drift / (1 - 0.9 ** step)) / (

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -414,6 +415,19 @@ def test_quality_against_labels(spark):
     assert (model.accuracy > 0.5).all() and 0.7 < model.share < 0.98
 
 
+def test_quality_keeps_a_clean_corpus():
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(
+        pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
+    texts = docs[docs.quality == 1].text.head(2500).tolist()
+    # Texts too short for most heuristics, and of a language whose function words are not known.
+    texts += [f"Dom {i} stoi przy lesie" for i in range(60)]
+    patterns = [quality.votes(t) for t in texts]
+    good = quality.LabelModel(Counter(p for p in patterns if p.strip("0"))).posterior(patterns)
+    weights = quality.train(np.stack([quality.features(t) for t in texts]), good)
+    kept = quality.scores(texts, weights) >= quality.KEEP_FROM
+    assert kept[good >= 0.9].all() and kept.mean() > 0.999
+
+
 def test_quality_odd_documents(docs, rows):
     model, weights = quality.fit(docs)
     got = quality.assess(docs, model, weights).collect()
