@@ -179,20 +179,23 @@ def scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sampled(docs: DataFrame, text: Column, rows: int, wanted: int, seed: int) -> DataFrame:
-    """About `wanted` of the rows, and no more than 1.5 times as many, the same ones at each run."""
-    part = min(1.0, wanted / max(1, rows))
-    bound = int(part * (1 << 30))
-    return docs.filter(F.pmod(F.xxhash64(F.lit(seed), text), F.lit(1 << 30)) < bound).select(
-        text.alias("text")).limit(wanted + wanted // 2)
+def _sampled(docs: DataFrame, text: Column, wanted: int, seed: int) -> DataFrame:
+    """About `wanted` of the distinct texts, and no more than 1.5 times as many, the same ones at each run."""
+    hashed = docs.select(text.alias("text")).withColumn("hash", F.xxhash64(F.lit(seed), "text"))
+    # The sketch of the number does not depend on the order of rows either.
+    distinct = hashed.agg(F.approx_count_distinct("hash", 0.02)).first()[0]
+    bound = int(min(1.0, wanted / max(1, distinct)) * (1 << 30))
+    drawn = hashed.filter(F.pmod("hash", F.lit(1 << 30)) < bound)
+    return drawn.groupBy("hash").agg(F.min("text").alias("text")).orderBy("hash").limit(
+        wanted + wanted // 2).select("text")
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
         seed: int = 11) -> tuple[LabelModel, np.ndarray]:
     """The label model over all rows, and the scorer's weights.
 
-    The scorer is trained in one task on the distinct texts of a sample of at most 1.5 * `sample_rows`
-    rows, drawn by a hash of the text.
+    The scorer is trained in one task on a sample of at most 1.5 * `sample_rows` of the distinct texts,
+    drawn by a hash of the text.
     """
     text = F.col(text_col).cast("string")
 
@@ -208,12 +211,12 @@ def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in dict.fromkeys(group["text"]) if isinstance(t, str) and t.split()]
+        texts = sorted(t for t in set(group["text"]) if isinstance(t, str) and t.split())
         good = shared.value.posterior([votes(t) for t in texts])
         inputs = np.stack([features(t) for t in texts]) if texts else np.zeros((0, BUCKETS), np.float32)
         return pd.DataFrame({"weights": [train(inputs, good).tobytes()]})
 
-    sample = _sampled(docs, text, sum(patterns.values()), sample_rows, seed)
+    sample = _sampled(docs, text, sample_rows, seed)
     row = sample.groupBy(F.lit(0).alias("one")).applyInPandas(learn, "weights binary").first()
     weights = np.frombuffer(row["weights"], dtype=np.float32) if row else np.zeros(BUCKETS, np.float32)
     return model, weights

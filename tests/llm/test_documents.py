@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from airtally.llm import bpe, exact_dedup, jaccard, language, licenses, mixing, packing, quality, substrings
 from airtally.llm.mixing import apportion, targets
@@ -428,6 +429,17 @@ def test_quality_keeps_a_clean_corpus():
     assert kept[good >= 0.9].all() and kept.mean() > 0.999
 
 
+def test_quality_sample_is_of_distinct_texts(spark):
+    few = [f"text number {i} of the sample" for i in range(600)]
+    often = [t for t in few[:20] for _ in range(200)]
+    copies = spark.createDataFrame([(t,) for t in few + often + [None, None]], "text string")
+    samples = [[r.text for r in quality._sampled(frame, F.col("text"), 150, 11).collect()]
+               for frame in (copies, copies.repartition(7), copies.distinct())]
+    assert samples[0] == samples[1] == samples[2] and 100 < len(samples[0]) == len(set(samples[0])) <= 225
+    weights = [quality.fit(frame, sample_rows=150)[1] for frame in (copies, copies.repartition(7))]
+    assert (weights[0] == weights[1]).all()
+
+
 def test_quality_odd_documents(docs, rows):
     model, weights = quality.fit(docs)
     got = quality.assess(docs, model, weights).collect()
