@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airtally.llm import (
-    bpe, exact_dedup, jaccard, language, licenses, mixing, packing, quality, substrings, topk,
+    bpe, exact_dedup, jaccard, language, licenses, mixing, packing, quality, search, substrings, topk, trie, warc,
 )
 from airtally.llm.tables import table
 
@@ -119,3 +119,109 @@ def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_trie", """
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+                   strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), lengths AS (
+        SELECT conv_id, count(*) AS own FROM turns GROUP BY conv_id
+    ), crc AS (
+        SELECT conv_id, own, xor(list_reduce(
+            list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 9 AS h
+        FROM lengths
+    ), known AS (
+        SELECT c.conv_id, c.own, c.h, c.conv_id - c.conv_id % 5 AS base_id, least(c.h, coalesce(b.own, 0)) AS taken
+        FROM crc c LEFT JOIN lengths b ON b.conv_id = c.conv_id - c.conv_id % 5
+    ), rebuilt AS (
+        SELECT k.conv_id, t.place, t.role, t.text FROM known k JOIN turns t ON t.conv_id = k.base_id AND t.place <= k.taken
+        UNION ALL
+        SELECT k.conv_id, t.place - k.h + k.taken, t.role, t.text FROM known k JOIN turns t USING (conv_id) WHERE t.place > k.h
+    ), prefixes AS (
+        SELECT conv_id, place AS depth, strlen(text) AS size,
+               list(strlen(role) || ':' || role || text) OVER (PARTITION BY conv_id ORDER BY place) AS path
+        FROM rebuilt
+        UNION ALL SELECT conv_id, 0, 0, [] FROM known
+    ), ends AS (
+        SELECT conv_id, max(depth) AS last FROM prefixes GROUP BY conv_id
+    ), nodes AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+               coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = last), '') AS ended
+        FROM prefixes JOIN ends USING (conv_id) GROUP BY path, depth
+    ), children AS (
+        SELECT p.path, count(*) AS n_children FROM nodes c JOIN nodes p
+        ON p.depth = c.depth - 1 AND p.path = c.path[:c.depth - 1] GROUP BY p.path
+    ), below AS (
+        SELECT p.path, sum((c.n_convs - 1) * c.size) AS saved_tokens,
+               count(*) FILTER (WHERE k.path IS NULL) AS n_leaves
+        FROM nodes p JOIN nodes c ON c.depth >= p.depth AND c.path[:p.depth] = p.path
+        LEFT JOIN children k ON k.path = c.path GROUP BY p.path
+    )
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
+           coalesce(k.n_children, 0) AS n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens,
+           sha256(n.ended) AS ends_sha256
+    FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN children k ON k.path = n.path
+    LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]
+""")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_warc", """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), f AS (
+        SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+""")
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_search", """
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM documents
+    ), tf AS (
+        SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+    ), docs AS (
+        SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id
+    ), totals AS (
+        SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM docs
+    ), df AS (
+        SELECT term, count(*) AS df FROM tf GROUP BY term
+    ), asked AS (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM benchmark
+    ), wanted AS (
+        SELECT item_id, term, count(*) AS repeats FROM asked GROUP BY item_id, term
+    ), scored AS (
+        SELECT item_id, doc_id, CAST(sum(
+            repeats * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+            * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * CAST(n AS BIGINT) * docs) // length)))) AS BIGINT) AS score
+        FROM wanted JOIN df USING (term) JOIN tf USING (term) JOIN docs USING (doc_id), totals
+        GROUP BY item_id, doc_id
+    ), ranked AS (
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+               doc_id, score
+        FROM scored WHERE score > 0
+    )
+    SELECT * FROM ranked WHERE rank <= 10
+""")
+def benchmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
