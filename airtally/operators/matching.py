@@ -20,6 +20,8 @@ REFERENCES_PER_LIST = 4096
 # Tolerances tried before the asked one. At each of them the widest rule that loses
 # nothing has pieces far wider than a band, so it meets few unrelated references.
 STEPS = (0, 8, 15)
+# Up to so many references a piece of 16 bits, that of the step at 15, is shared by a few dozen of them.
+FEW_REFERENCES = 2_000_000
 
 
 def band_table(references: DataFrame, band_bytes: int = 1) -> DataFrame:
@@ -128,21 +130,28 @@ def match_pairs(
 def _near(queries: DataFrame, references: DataFrame, tolerance: int, band_bytes: int,
           min_shared_bands: int, bits: int, query_column: str, broadcast_references: int,
           rows_per_slice: int, references_per_list: int) -> tuple[DataFrame, list[Column], list[Column]]:
-    """Lanes of pairs within the tolerance, once per piece that they share.
+    """Lanes of pairs within the tolerance, once per piece that they share."""
+    q = _unique_lanes(queries, query_column, "q", bits)
+    r = _unique_lanes(references, "fingerprint_hash", "r", bits)
+    near = _near_lanes(q, r, tolerance, band_bytes, min_shared_bands, bits,
+                       skew.is_small(references, broadcast_references), rows_per_slice, references_per_list)
+    return near, [F.col(c) for c in q.columns], [F.col(c) for c in r.columns]
+
+
+def _near_lanes(unique: DataFrame, references: DataFrame, tolerance: int, band_bytes: int, min_shared_bands: int,
+                bits: int, small: bool, rows_per_slice: int, references_per_list: int) -> DataFrame:
+    """The same of distinct lanes on both sides.
 
     Candidates beyond the tolerance are dropped where they are found. A small reference
     table is broadcast and the queries stay where they are; narrow pieces, which many
     references share, then come as one list per piece. Otherwise both sides are shuffled
     in blocks.
     """
-    lanes = bits // hashes.LANE_BITS
     width = piece_width(tolerance, band_bytes, min_shared_bands, bits)
-    q_lanes = [F.col(f"q{i}") for i in range(lanes)]
-    r_lanes = [F.col(f"r{i}") for i in range(lanes)]
-    unique = _unique_lanes(queries, query_column, "q", bits)
-    r = _pieces(_unique_lanes(references, "fingerprint_hash", "r", bits), width)
+    q_lanes, r_lanes = [F.col(c) for c in unique.columns], [F.col(c) for c in references.columns]
+    r = _pieces(references, width)
     distance = hashes.lane_distance(q_lanes, r_lanes)
-    if skew.is_small(references, broadcast_references):
+    if small:
         q = _pieces(_spread(unique), width)
         if width <= NARROW_BITS:
             lists = r.groupBy("piece").agg(F.collect_list(F.struct(*r_lanes)).alias("found"))
@@ -151,7 +160,7 @@ def _near(queries: DataFrame, references: DataFrame, tolerance: int, band_bytes:
             near = q.join(F.broadcast(r), "piece")
     else:
         near = _blocked(_pieces(unique, width), r, rows_per_slice, references_per_list)
-    return near.filter(distance <= tolerance), q_lanes, r_lanes
+    return near.filter(distance <= tolerance)
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
@@ -163,50 +172,51 @@ def best_match(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _steps(references: DataFrame, tolerance: int, bits: int, few: int = FEW_REFERENCES) -> list[int]:
+    """Tolerances to try in turn. The widest step that loses nothing settles all that narrower ones do; only
+    among very many references are its pieces shared so widely that narrower steps pay."""
+    wanted = [15] if skew.is_small(references, few) else STEPS
+    return [s for s in wanted if s < tolerance and (s == 0 or s < bits // 8)] + [tolerance]
+
+
 def nearest(queries: DataFrame, references: DataFrame, tolerance: int = DEFAULT_TOLERANCE,
             query_column: str = "fingerprint_hash", bits: int = hashes.HASH_BITS,
             broadcast_references: int = BROADCAST_REFERENCES,
             rows_per_slice: int = skew.ROWS_PER_SLICE,
-            references_per_list: int = REFERENCES_PER_LIST) -> DataFrame:
+            references_per_list: int = REFERENCES_PER_LIST, few_references: int = FEW_REFERENCES) -> DataFrame:
     """Nearest reference per query hash, as `best_match` of all pairs gives it.
 
     The tolerance rises in steps, each over the hashes that are left. A step that loses
     nothing finds the nearest reference if there is one within its tolerance, so only
-    hashes without any near reference reach the wide rule. What a step finds and leaves
-    is written; the minimum is taken in the join's own aggregate.
+    hashes without any near reference reach the wide rule. Hashes stay 64-bit lanes until the end. What a
+    step finds and leaves is one table; the minimum is taken in the join's own aggregate.
     """
-    left = saved(_well_formed(queries, query_column, bits).distinct(), "lookup-left")
+    small = skew.is_small(references, broadcast_references)
+    refs = _unique_lanes(references, "fingerprint_hash", "r", bits)
+    left = _unique_lanes(queries, query_column, "q", bits)
+    q, r = [F.col(c) for c in left.columns], [F.col(c) for c in refs.columns]
+    # Lanes order as the hex text does once their sign is turned.
+    smaller = F.struct(*[c.bitwiseXOR(F.lit(-(1 << 63))) for c in r])
+    pair = F.struct(
+        hashes.lane_distance(q, r).cast("int").alias("distance"), smaller.alias("order"), F.struct(*r).alias("hash"))
     found: list[DataFrame] = []
-    steps = [s for s in STEPS if s < tolerance and (s == 0 or s < bits // 8)] + [tolerance]
-    for step in steps:
-        if step == 0:
-            best = exact_pairs(left, references, "query_hash")
-        else:
-            near, q, r = _near(left, references, step, 1, 1, bits, "query_hash",
-                               broadcast_references, rows_per_slice, references_per_list)
-            pair = F.struct(
-                hashes.lane_distance(q, r).cast("int").alias("distance"),
-                hashes.lanes_to_hex(r).alias("fingerprint_hash"))
-            best = near.groupBy(*q).agg(F.min(pair).alias("best")).select(
-                hashes.lanes_to_hex(q).alias("query_hash"), "best.fingerprint_hash", "best.distance")
-        best = best.select("query_hash", "distance", "fingerprint_hash")
+    for step in _steps(references, tolerance, bits, few_references):
+        near = _near_lanes(left, refs, step, 1, 1, bits, small, rows_per_slice, references_per_list)
+        met = near.select(*q, pair.alias("pair"))
         if step == tolerance:
-            found.append(best)
-            break
-        best = saved(best, "lookup-found")
-        found.append(best)
-        left = saved(left.join(best, "query_hash", "left_anti"), "lookup-left")
-        if left.isEmpty():
+            found.append(met.groupBy(*q).agg(F.min("pair").alias("best")))
             break
+        alone = left.select(*q, F.lit(None).cast(met.schema["pair"].dataType).alias("pair"))
+        settled = saved(met.unionByName(alone).groupBy(*q).agg(F.min("pair").alias("best")), "lookup")
+        found.append(settled.filter(F.col("best").isNotNull()))
+        left = settled.filter(F.col("best").isNull()).select(*q)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
-
-
-def _well_formed(frame: DataFrame, hash_column: str, bits: int) -> DataFrame:
-    good = F.col(hash_column).rlike(f"^[0-9a-fA-F]{{{bits // 4}}}$")
-    return frame.filter(good).select(F.lower(hash_column).alias("query_hash"))
+    best = [F.col(f"best.hash.{c}") for c in refs.columns]
+    return out.select(
+        hashes.lanes_to_hex(q).alias("query_hash"), F.col("best.distance").alias("distance"),
+        hashes.lanes_to_hex(best).alias("fingerprint_hash"))
 
 
 def ranked_matches(pairs: DataFrame, limit: int | None = None) -> DataFrame:

@@ -3,9 +3,12 @@ and are read back; each agrees with its batch twin."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from airtally.operators import ingest
+from airtally.operators import segments as sg
 from airtally.plans import domain as d
 from airtally.plans import queries_ingest as qi
 from airtally.plans import queries_matching as qm
@@ -13,7 +16,7 @@ from airtally.plans import queries_segments as qs
 from airtally.plans.registry import query
 from airtally.session import scratch_path
 from airtally.sources import lake, streams
-from airtally.streaming import jobs
+from airtally.streaming import jobs, late, membership
 
 
 def event_stream(spark, sf):
@@ -88,22 +91,37 @@ def stream_hopping(spark, sf):
     return drain(spark, flat, "hopping")
 
 
-@query("stream_dedup", qi._dedup_sql(60))
+_ODD_CLOCKS = qi._REPEATED.replace("e AS (", "plain AS (", 1) + """, e AS (SELECT * REPLACE (CASE
+    WHEN event_id % 97 = 0 THEN timestamp_utc + 86400 * (event_id % 500) WHEN device_id IN ('LG', 'TCL') THEN timestamp_utc - 7200
+    ELSE timestamp_utc END AS timestamp_utc) FROM plain)"""
+
+
+def odd_clocks(spark, sf):
+    """Events of few senders with the time they arrive at: some clocks are up to 500 days ahead for one
+    event, two senders deliver two hours late."""
+    e = qi.repeated_events(spark, sf).withColumn("arrives", F.col("timestamp_utc"))
+    ahead = F.col("timestamp_utc") + 86400 * (F.col("event_id") % 500)
+    late = F.col("timestamp_utc") - 7200
+    return e.withColumn("timestamp_utc", F.when(F.col("event_id") % 97 == 0, ahead).when(
+        F.col("device_id").isin("LG", "TCL"), late).otherwise(F.col("timestamp_utc")))
+
+
+@query("stream_dedup", qi._dedup_sql(60).replace(qi._REPEATED, _ODD_CLOCKS))
 def stream_dedup(spark, sf):
-    """The events of few senders in order of time, an eighth of the span per batch."""
-    e = qi.repeated_events(spark, sf)
+    """In the order of arrival, an eighth of the span per batch."""
+    e = odd_clocks(spark, sf)
     part = scratch_path(spark, "repeats-in")
-    ends = e.agg(F.min("timestamp_utc").alias("a"), F.max("timestamp_utc").alias("b")).first()
+    ends = e.agg(F.min("arrives").alias("a"), F.max("arrives").alias("b")).first()
     eighth = (ends["b"] - ends["a"]) // 8 + 1
-    schema = e.schema
+    inside = F.col("arrives") - ends["a"]
+    e = e.withColumn("part", F.floor(inside / eighth)).drop("arrives")
+    schema = e.drop("part").schema
     for n in range(8):
-        inside = F.col("timestamp_utc") - ends["a"]
-        e.filter((inside >= n * eighth) & (inside < (n + 1) * eighth)).coalesce(1).write.mode(
-            "append").parquet(part)
+        e.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(part)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(part)
     out, known = scratch_path(spark, "repeats-out"), scratch_path(spark, "repeats-known")
     drain_batches(spark, stream, jobs.repeats_sink(out, known), "repeats")
-    return spark.read.schema(schema).parquet(out).select(*e.columns)
+    return spark.read.schema(schema).parquet(out).select(*schema.names)
 
 
 @query("stream_last_match", d.views("fingerprints") + """, ordered AS (SELECT manufacturer AS device_id, timestamp_utc AS t, event_id,
@@ -206,17 +224,79 @@ SELECT DISTINCT segment_id, device_id, 'segment_entry' AS event_type FROM member
 def stream_segment_entries(spark, sf):
     known, entries = scratch_path(spark, "known"), scratch_path(spark, "entries")
     source = scratch_path(spark, "viewership")
-    views = d.viewership_enriched(spark, sf).select(
-        "device_id", "household_id", "genre", "network", "daypart", "dma_code",
-        "household_income", "viewing_date",
-    )
+    views = d.viewership_enriched(spark, sf).select(*_VIEW_COLUMNS)
     views.write.parquet(source)
     stream = spark.readStream.schema(views.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    sink = jobs.entry_sink(qs.SEGMENTS, qs.as_of, known, entries)
-    drain_batches(spark, stream, sink, "entries")
+    day = datetime.date.fromisoformat(qs.AS_OF)
+    drain_batches(spark, stream, membership.membership_sink(
+        qs.SEGMENTS, known, entries, lambda batch: day, buckets=8), "entries")
     return spark.read.parquet(entries).select("segment_id", "device_id", "event_type")
 
 
+# Short lookbacks, so that devices leave and come back within the given month.
+_LIVE = (
+    sg.Segment("live_and", "Brand in primetime", (
+        sg.Rule("watched_network", ("Brand#1", "Brand#2", "Brand#3")), sg.Rule("daypart", ("primetime",), "eq")), "AND", 3),
+    sg.Segment("live_or", "Promo or some areas", (
+        sg.Rule("watched_genre", ("promo",), "eq"), sg.Rule("dma", ("100", "101"))), "OR", 2),
+    sg.Segment("live_hours_and", "An hour of early brands and any night", (
+        sg.Rule("watched_network", ("Brand#1", "Brand#2", "Brand#3"), "in", 1.0), sg.Rule("daypart", ("latenight",), "eq")),
+        "AND", 6),
+    sg.Segment("live_hours_or", "Two hours of mornings or promo", (
+        sg.Rule("daypart", ("morning",), "eq", 2.0), sg.Rule("watched_genre", ("promo",), "eq")), "OR", 5),
+)
+_VIEW_COLUMNS = ("device_id", "household_id", "genre", "network", "daypart", "dma_code", "household_income",
+                 "viewing_date", "duration_minutes")
+_LIVE_STEPS = 8
+
+# The populations as of each batch's day, from the rows that had come by then.
+_BRANDS = "network IN ('Brand#1', 'Brand#2', 'Brand#3')"
+_LIVE_SQL = d.views("viewership_enriched") + f""", ends AS (SELECT min(viewing_date) AS a, max(viewing_date) AS b FROM viewership_enriched),
+parts AS (SELECT *, (viewing_date - a) * {_LIVE_STEPS} // (b - a + 1) AS part FROM viewership_enriched, ends),
+days AS (SELECT part, max(viewing_date) AS day FROM parts GROUP BY part),
+seen AS (SELECT n.part, n.day, p.* EXCLUDE (part), n.day - p.viewing_date AS age, date_trunc('week', p.viewing_date) AS week
+  FROM days n JOIN parts p ON p.part <= n.part),
+weekly AS (SELECT part, day, household_id, device_id, week,
+    coalesce(sum(duration_minutes) FILTER ({_BRANDS} AND age <= 6), 0) >= 60 AS brands,
+    coalesce(bool_or(daypart = 'latenight' AND age <= 6), false) AS night,
+    coalesce(sum(duration_minutes) FILTER (daypart = 'morning' AND age <= 5), 0) >= 120 AS mornings,
+    coalesce(bool_or(genre = 'promo' AND age <= 5), false) AS promo FROM seen GROUP BY ALL),
+held AS (SELECT part, day, household_id, device_id, bool_or(brands) AND bool_or(night) AS hours_and,
+    bool_or(mornings) OR bool_or(promo) AS hours_or FROM weekly GROUP BY ALL),
+members AS (
+  SELECT DISTINCT part, 'live_and' AS segment_id, device_id FROM seen WHERE {_BRANDS} AND daypart = 'primetime' AND age <= 3
+  UNION SELECT part, 'live_or', device_id FROM seen WHERE (genre = 'promo' OR dma_code IN ('100', '101')) AND age <= 2
+  UNION SELECT part, 'live_hours_and', device_id FROM held WHERE hours_and
+  UNION SELECT part, 'live_hours_or', device_id FROM held WHERE hours_or),
+numbered AS (SELECT m.*, n.no FROM members m JOIN (SELECT *, row_number() OVER (ORDER BY part) AS no FROM days) n USING (part)),
+moves AS (
+  SELECT segment_id, device_id, 'segment_entry' AS event_type, no FROM numbered x
+  WHERE NOT EXISTS (FROM numbered y WHERE y.segment_id = x.segment_id AND y.device_id = x.device_id AND y.no = x.no - 1)
+  UNION ALL SELECT segment_id, device_id, 'segment_exit', no + 1 FROM numbered x
+  WHERE NOT EXISTS (FROM numbered y WHERE y.segment_id = x.segment_id AND y.device_id = x.device_id AND y.no = x.no + 1))
+SELECT segment_id, device_id, event_type, day FROM moves
+JOIN (SELECT day, row_number() OVER (ORDER BY part) AS no FROM days) USING (no)"""
+
+
+@query("stream_membership", _LIVE_SQL)
+def stream_membership(spark, sf):
+    """Entries, exits and second entries over eight batches of some days each."""
+    source = scratch_path(spark, "viewership")
+    views = d.viewership_enriched(spark, sf).select(*_VIEW_COLUMNS)
+    ends = views.agg(F.min("viewing_date").alias("a"), F.max("viewing_date").alias("b")).first()
+    length = (ends["b"] - ends["a"]).days + 1
+    part = F.floor(F.datediff("viewing_date", F.lit(ends["a"])) * _LIVE_STEPS / length)
+    marked = views.withColumn("part", part).persist()
+    for n in range(_LIVE_STEPS):
+        marked.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(source)
+    marked.unpersist()
+    stream = spark.readStream.schema(views.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    state, events = scratch_path(spark, "membership"), scratch_path(spark, "moves")
+    drain_batches(spark, stream, membership.membership_sink(_LIVE, state, events, buckets=8), "membership")
+    moves = spark.read.schema("segment_id string, device_id string, event_type string, day date").parquet(events)
+    return moves.select("segment_id", "device_id", "event_type", "day")
+
+
 @query("stream_content_counts", d.views("viewership") + """
 SELECT content_id, count(*) AS views FROM viewership GROUP BY 1""")
 def stream_content_counts(spark, sf):
@@ -231,21 +311,32 @@ def stream_content_counts(spark, sf):
     return newest.select("content_id", "views")
 
 
-@query("stream_late_matches", d.views("fingerprints", "reference_fingerprints") + """, noise AS (
+@query("stream_late_matches", d.views("fingerprints") + f""", noise AS (
   SELECT device_id, fingerprint_hash, event_id, timestamp_utc FROM fingerprints WHERE event_type = 'error'),
-refs AS (SELECT fingerprint_hash, 'c-n' || event_id AS content_id, timestamp_utc + (event_id % 40) * 3600 AS created_at FROM noise)
-SELECT n.device_id, r.content_id, 0 AS distance FROM noise n JOIN refs r USING (fingerprint_hash)
-WHERE r.created_at BETWEEN n.timestamp_utc AND n.timestamp_utc + 86400""")
+refs AS (SELECT event_id, {qm.FLIPPED} AS reference_hash, {qm.FLIPS} AS distance,
+  timestamp_utc + (event_id % 40) * 3600 AS created_at FROM noise)
+SELECT n.device_id, 'c-n' || event_id AS content_id, reference_hash, distance FROM noise n JOIN refs r USING (event_id)
+WHERE r.created_at BETWEEN n.timestamp_utc AND n.timestamp_utc + 86400 AND distance <= 65""")
 def stream_late_matches(spark, sf):
-    """References that arrive up to 39 hours after the events they explain."""
-    noise = fingerprint_stream(spark, sf).filter(F.col("event_type") == "error")
-    f = noise.select("device_id", "fingerprint_hash", "timestamp_utc")
+    """References at distances up to 70 that arrive up to 39 hours after the events they explain, in
+    four batches in the order of their creation."""
+    noise = d.fingerprints(spark, sf).filter(F.col("event_type") == "error")
+    queue, matches, source = (scratch_path(spark, n) for n in ("queue", "late", "late-references"))
+    events = fingerprint_stream(spark, sf).filter(F.col("event_type") == "error").select(
+        "device_id", "fingerprint_hash", "timestamp_utc")
+    drain_batches(spark, events, late.queue_sink(queue), "queue")
     refs = noise.select(
-        "fingerprint_hash", F.concat(F.lit("c-n"), F.col("event_id")).alias("content_id"),
-        (F.col("timestamp_utc") + F.col("event_id") % 40 * 3600).alias("created_at"),
-    )
-    out = drain(spark, jobs.late_matches(f, refs), "late")
-    return out.select("device_id", "content_id", "distance")
+        F.expr(qm.FLIPPED).alias("fingerprint_hash"), F.concat(F.lit("c-n"), F.col("event_id")).alias("content_id"),
+        (F.col("timestamp_utc") + F.col("event_id") % 40 * 3600).alias("created_at"))
+    ends = refs.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b")).first()
+    quarter = (ends["b"] - ends["a"]) // 4 + 1
+    for n in range(4):
+        inside = F.floor((F.col("created_at") - ends["a"]) / quarter) == n
+        refs.filter(inside).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(refs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    drain_batches(spark, stream, late.probe_sink(queue, matches), "late")
+    columns = ["device_id", "content_id", "reference_hash", "distance"]
+    return spark.read.parquet(matches).select(*columns)
 
 
 _REQUESTS = d.views("fingerprints") + """, base AS (

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +57,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_INSIDE = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path inside the shared folder."""
-    return f"{shared_dir(spark)}/airtally/{name}-{uuid.uuid4().hex}"
+    folder = getattr(_INSIDE, "folder", None) or f"{shared_dir(spark)}/airtally"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside is deleted at the end, so results have to be written by then. For
+    jobs that go on for ever; the tables of a single query stay for the reader of its result."""
+    outer = getattr(_INSIDE, "folder", None)
+    _INSIDE.folder = scratch_path(spark, "batch")
+    try:
+        yield
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_INSIDE.folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _INSIDE.folder = outer
 
 
 def saved(frame: DataFrame, name: str) -> DataFrame:

@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """An empty folder whose name says all there is to say."""
+    where, fs = _fs(spark, path)
+    fs.mkdirs(where)
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of the first partition column, from folder names alone."""
     where, fs = _fs(spark, path)
@@ -28,6 +34,16 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     return sorted(unquote(n[len(head):]) for n in names if n.startswith(head))
 
 
+def two_levels(spark: SparkSession, path: str, first: str, second: str) -> list[tuple[str, str]]:
+    """Values of the first two partition columns, by one listing of folder names."""
+    where, fs = _fs(spark, f"{path}/{first}=*/{second}=*")
+    found = []
+    for status in fs.globStatus(where) or []:
+        leaf = status.getPath()
+        found.append((unquote(leaf.getParent().getName()[len(first) + 1:]), unquote(leaf.getName()[len(second) + 1:])))
+    return sorted(found)
+
+
 def check_names(spark: SparkSession, path: str, column: str, values: Iterable[str]) -> None:
     """Raise when a value read from the table is not the name of its folder, as with
     `01` read as a number: such a folder could be neither replaced nor dropped."""

@@ -3,16 +3,17 @@ stream itself; only what needs state across batches is written here."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from airtally import schemas
 from airtally.functions import hashes
-from airtally.operators import enrich, ingest, matching, segments, sessions
-from airtally.session import ROCKSDB_STATE_STORE
+from airtally.operators import enrich, ingest, matching, sessions
+from airtally.session import ROCKSDB_STATE_STORE, temporary_tables
 from airtally.sources import folders, lake, streams
 
 CHECKPOINT_SECONDS = 60
@@ -104,37 +105,63 @@ def last_match_sessions(events: DataFrame, key: str = "device_id", seconds: str
     )
 
 
-def repeats_sink(path: str, known_path: str, seconds: int = ingest.REPEAT_SECONDS,
-                 order: str = "event_id", horizon: int = 3600):
-    """Batch function that writes the events that are no repeats, by the batch operator.
+def merged_runs(rows: DataFrame, keys: Sequence[str], seconds: int, bucket_seconds: int = 3600) -> DataFrame:
+    """Runs of rows (keys, start, end, known, touched, row) that lie at most `seconds` apart: one row per
+    run, with the first of its rows; known ones come first among those of one second.
 
-    What it knows of earlier batches are the times of each device and hash in the last
-    `horizon` seconds of events: a table per batch that holds all of them, so one such
-    table is read however long the stream runs. An event may come late by up to `horizon`
-    less `seconds` and is still held against what was sent before it. A batch that is
-    run again finds the same table.
+    Runs are merged within buckets of time and then across them, so of a key with very many rows
+    at most one per `seconds` and bucket reaches the task that has the key.
     """
-    keys = ["device_id", "fingerprint_hash", "timestamp_utc"]
+    first = F.min_by(F.struct("known", "row"), F.struct("start", ~F.col("known"), "order"))
+    bucket = F.floor(F.col("start") / bucket_seconds).alias("_bucket")
+    for more in ([bucket], []):
+        length = F.concat((F.col("end") - F.col("start") + seconds).cast("string"), F.lit(" seconds"))
+        timed = rows.withColumn("_at", F.timestamp_seconds("start"))
+        rows = timed.groupBy(*keys, *more, F.session_window("_at", length)).agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.max("touched").alias("touched"),
+            F.min_by("order", F.struct("start", ~F.col("known"), "order")).alias("order"), first.alias("_first"),
+        ).select(*keys, "start", "end", "touched", "order", "_first.*")
+    return rows
+
+
+def repeats_sink(path: str, known_path: str, seconds: int = ingest.REPEAT_SECONDS, order: str = "event_id",
+                 horizon: int = 3600, arrival: Callable[[], float] = time.time):
+    """Batch function that writes the events that are no repeats: the first event of each run of a device and
+    hash in which no pause is longer than `seconds`, as the batch operator keeps it.
+
+    Kept between batches are the runs, not the events. A run ends by arrival: it is forgotten `horizon`
+    seconds after an event was last added to it, whatever the events' clocks say. So an event with a clock far
+    ahead or behind forgets nothing, of its own key or of others, and events that come late are held
+    against the runs of their own time. Only an event that comes in after a later one of its own key was sent
+    is sent too, where the batch operator would have kept it instead. A batch that is run again reads the
+    same runs.
+    """
+    keys = ["device_id", "fingerprint_hash"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        columns = batch.columns
-        known = batch.select(*keys).limit(0)
-        done = [int(n) for n in folders.partition_values(spark, known_path, "batch_id")]
+        now = int(arrival())
+        others = [c for c in batch.columns if c not in (*keys, "timestamp_utc")]
+        fresh = batch.select(
+            *keys, F.col("timestamp_utc").alias("start"), F.col("timestamp_utc").alias("end"),
+            F.lit(now).cast("long").alias("touched"), F.col(order).alias("order"), F.lit(False).alias("known"),
+            F.struct(*others).alias("row"))
+        runs = fresh.select(*keys, "start", "end", "touched").limit(0)
+        done = sorted(int(n) for n in folders.partition_values(spark, known_path, "batch_id"))
         before = [n for n in done if n < batch_id]
         if before:
-            known = spark.read.schema(known.schema).parquet(f"{known_path}/batch_id={max(before)}")
-        marked = batch.withColumn("_known", F.lit(False)).unionByName(
-            known.withColumn("_known", F.lit(True)), allowMissingColumns=True)
-        # What is known comes first among events of one second.
-        marked = marked.withColumn("_order", F.struct(~F.col("_known"), F.col(order)))
-        kept = ingest.drop_repeats(marked, seconds, "_order")
-        write_batch(kept.filter(~F.col("_known")).select(*columns), path, batch_id)
-        seen = known.unionByName(batch.select(*keys)).distinct()
-        newest = seen.agg(F.max("timestamp_utc").alias("_newest"))
-        recent = seen.join(F.broadcast(newest)).filter(
-            F.col("timestamp_utc") >= F.col("_newest") - horizon)
-        write_batch(recent.select(*keys), known_path, batch_id)
+            runs = spark.read.schema(runs.schema).parquet(f"{known_path}/batch_id={before[-1]}")
+        marked = runs.filter(F.col("touched") >= now - horizon).withColumn("known", F.lit(True))
+        merged = merged_runs(
+            fresh.unionByName(marked, allowMissingColumns=True), keys, seconds).persist()
+        try:
+            kept = merged.filter(~F.col("known"))
+            write_batch(kept.select(*keys, F.col("start").alias("timestamp_utc"), "row.*").select(
+                *batch.columns), path, batch_id)
+            write_batch(merged.select(*keys, "start", "end", "touched"), known_path, batch_id)
+        finally:
+            merged.unpersist()
+        folders.drop_partitions(spark, known_path, "batch_id", [str(n) for n in before[:-1]])
 
     return run
 
@@ -151,7 +178,8 @@ def ingest_sink(accepted_path: str, rejected_path: str, broken_path: str,
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        good, broken = streams.decode_lenient(batch.select("value"), schemas.INGEST_BATCH)
+        batch = batch.select("value").persist()
+        good, broken = streams.decode_lenient(batch, schemas.INGEST_BATCH)
         fits = ingest.batch_size_ok("batch")
         refused = good.filter(~fits).select(F.to_json(F.struct("*")).alias("value"))
         write_batch(
@@ -162,8 +190,13 @@ def ingest_sink(accepted_path: str, rejected_path: str, broken_path: str,
             events, F.col("received_at"), ranges() if ranges else None, tolerance=tolerance)
         if consents is not None:
             checked = ingest.with_consent_reason(checked, consents(), default_jurisdiction)
-        write_batch(ingest.accepted(checked), accepted_path, batch_id)
-        write_batch(checked.filter(F.col("reject_reason").isNotNull()), rejected_path, batch_id)
+        checked = checked.persist()
+        try:
+            write_batch(ingest.accepted(checked), accepted_path, batch_id)
+            write_batch(checked.filter(F.col("reject_reason").isNotNull()), rejected_path, batch_id)
+        finally:
+            checked.unpersist()
+            batch.unpersist()
 
     return run
 
@@ -192,12 +225,13 @@ def match_sink(references: Callable[[], DataFrame], matched_path: str, unmatched
     def run(batch: DataFrame, batch_id: int) -> None:
         allowed = batch if consents is None else ingest.consent_filter(
             batch, consents(), default_jurisdiction=default_jurisdiction)
-        both = matching.match_events(allowed, references(), tolerance, **options).persist()
-        try:
-            write_batch(matching.viewership_events(both), matched_path, batch_id)
-            write_batch(matching.unmatched_events(both), unmatched_path, batch_id)
-        finally:
-            both.unpersist()
+        with temporary_tables(batch.sparkSession):
+            both = matching.match_events(allowed, references(), tolerance, **options).persist()
+            try:
+                write_batch(matching.viewership_events(both), matched_path, batch_id)
+                write_batch(matching.unmatched_events(both), unmatched_path, batch_id)
+            finally:
+                both.unpersist()
 
     return run
 
@@ -222,73 +256,3 @@ def reference_sink(path: str, bands_path: str, version: str):
         lake.append_changes(matching.band_table(last), bands_path, batch_id)
 
     return run
-
-
-def entry_sink(definitions: Sequence[segments.Segment], as_of: Callable[[], Column],
-               known_path: str, entries_path: str):
-    """Batch function that finds who is new in a segment.
-
-    The known members are those of earlier batches, so that a batch that is run
-    again gives the same entries.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        found = segments.populations(batch, definitions, as_of()).select(
-            "segment_id", "device_id"
-        ).distinct()
-        if folders.exists(spark, known_path):
-            before = spark.read.schema("segment_id string, device_id string, batch_id int").parquet(
-                known_path).filter(F.col("batch_id") < batch_id)
-            found = found.join(
-                before.select("segment_id", "device_id"), ["segment_id", "device_id"], "left_anti"
-            )
-        events = found.withColumn("event_type", F.lit("segment_entry"))
-        lake.append_changes(events, entries_path, batch_id)
-        # A batch without members leaves no file to learn the columns from.
-        own = f"{entries_path}/batch_id={batch_id}"
-        if folders.exists(spark, own):
-            written = spark.read.schema("segment_id string, device_id string").parquet(own)
-            lake.append_changes(written, known_path, batch_id)
-
-    return run
-
-
-def late_matches(unmatched: DataFrame, references: DataFrame, hours: int = 24,
-                 tolerance: int = matching.DEFAULT_TOLERANCE,
-                 watermark: str = SESSION_WATERMARK) -> DataFrame:
-    """Stream-stream join of unmatched events with references that arrive up to
-    `hours` later.
-
-    Both streams are joined on the pieces of their hashes, as in the batch lookup,
-    with the distance and the time span as conditions. A pair that shares several
-    pieces is sent from the first of them only, so no state is needed for that.
-    """
-    names = [f"{i}" for i in range(4)]
-    width = matching.piece_width(tolerance, 1, 1, hashes.HASH_BITS)
-
-    def cut(stream: DataFrame, prefix: str, time: str, own: str) -> DataFrame:
-        """Only well-formed hashes, and only the columns that the result needs."""
-        lanes = [c.alias(prefix + n) for c, n in zip(hashes.lanes("fingerprint_hash"), names)]
-        good = stream.filter(hashes.is_hash("fingerprint_hash"))
-        wide = good.withColumn(f"{prefix}_time", F.timestamp_seconds(time)).withWatermark(
-            f"{prefix}_time", watermark
-        ).select(own, "fingerprint_hash", f"{prefix}_time", *lanes)
-        return wide.withColumn(
-            f"{prefix}_piece", F.explode(hashes.pieces([F.col(prefix + n) for n in names], width))
-        )
-
-    f = cut(unmatched, "f", "timestamp_utc", "device_id").withColumnRenamed("fingerprint_hash", "query_hash")
-    r = cut(references, "r", "created_at", "content_id")
-    mine, theirs = [F.col("f" + n) for n in names], [F.col("r" + n) for n in names]
-    distance = hashes.lane_distance(mine, theirs)
-    later = F.expr(f"r_time BETWEEN f_time AND f_time + INTERVAL {hours} HOURS")
-    total = hashes.LANE_BITS // width * len(names)
-    first = hashes.first_shared_piece(mine, theirs, width) == F.pmod("f_piece", F.lit(total))
-    joined = f.join(
-        r, (F.col("f_piece") == F.col("r_piece")) & later & (distance <= tolerance) & first, "inner"
-    )
-    return joined.select(
-        "device_id", "query_hash", "fingerprint_hash", "content_id",
-        distance.cast("int").alias("distance"), "f_time", "r_time",
-    )

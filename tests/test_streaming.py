@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 from airtally.operators import ingest, sessions
 from airtally.operators import segments as sg
 from airtally.session import scratch_path
-from airtally.sources import lake, streams
-from airtally.streaming import jobs
+from airtally.sources import buckets, folders, lake, streams
+from airtally.streaming import jobs, late, membership
 from tests.conftest import rows
 
 EVENT = "event_id bigint, device_id string, content_id string, timestamp_utc bigint"
@@ -120,15 +121,73 @@ def test_match_job_fans_out_and_obeys_consent(spark, tmp_path):
     assert spark.read.parquet(good).count() == before
 
 
-def test_segment_entries_are_reported_once(spark, tmp_path):
-    schema = "device_id string, household_id string, genre string, network string, daypart string, dma_code string, household_income bigint, viewing_date string"
-    data = [("d%d" % (i % 5), "h", "news" if i % 2 else "drama", "n", "morning", "1", 1, "2024-01-01") for i in range(40)]
-    stream = source(spark, tmp_path, data, schema).withColumn("viewing_date", F.to_date("viewing_date"))
-    defs = [sg.Segment("news", "news", (sg.Rule("watched_genre", ("news",)),))]
-    known, entries = scratch_path(spark, "known"), scratch_path(spark, "entries")
-    sink = jobs.entry_sink(defs, lambda: F.lit("2024-01-05").cast("date"), known, entries)
-    jobs.start(stream.writeStream.foreachBatch(sink), scratch_path(spark, "cp"), once=True).awaitTermination()
-    assert rows(spark.read.parquet(entries).select("segment_id", "device_id")) == [("news", f"d{i}") for i in range(5)]
+VIEWS = ("device_id string, household_id string, genre string, network string, daypart string, dma_code string, "
+         "household_income bigint, viewing_date string, duration_minutes bigint")
+
+
+def test_membership_follows_the_populations_day_by_day(spark, tmp_path):
+    """Entries, exits and second entries equal the transitions between the populations as of each day, with a
+    batch run twice, a batch without rows and rows that come late."""
+    rnd = random.Random(4)
+    defs = [
+        sg.Segment("and", "and rows", (sg.Rule("watched_genre", ("news",)), sg.Rule("daypart", ("morning",))), "AND", 2),
+        sg.Segment("or", "or rows", (sg.Rule("watched_genre", ("news",)), sg.Rule("dma", ("7",))), "OR", 1),
+        sg.Segment("hours_and", "hours and", (
+            sg.Rule("watched_genre", ("drama",), "in", 1.0), sg.Rule("daypart", ("night",))), "AND", 4),
+        sg.Segment("hours_or", "hours or", (
+            sg.Rule("daypart", ("morning",), "in", 1.5), sg.Rule("network", ("x",), "in", 1.0)), "OR", 3, extended=True),
+    ]
+    state, events = scratch_path(spark, "membership"), scratch_path(spark, "moves")
+    sink = membership.membership_sink(defs, state, events, buckets=4)
+    seen, before, expected = [], None, []
+    for n, day in enumerate([3, 4, 6, 9, 15, 16]):
+        batch = [(f"d{rnd.randrange(12)}", f"h{rnd.randrange(2)}", rnd.choice(["news", "drama", None]),
+                  rnd.choice(["x", "y"]), rnd.choice(["morning", "night"]), rnd.choice(["7", "8", "9"]), 1,
+                  f"2024-01-{rnd.choice([day, day, max(1, day - 1)]):02d}", rnd.choice([5, 20, 40, None]))
+                 for _ in range(rnd.choice([4, 10]))]
+        batch.append(("d0", "h0", "none", "y", "night", "9", 1, f"2024-01-{day:02d}", 1))
+        seen += batch
+        frame = spark.createDataFrame(batch, VIEWS).withColumn("viewing_date", F.to_date("viewing_date"))
+        sink(frame, 2 * n)
+        if n in (2, 4):
+            sink(frame, 2 * n)
+            sink(frame.limit(0), 2 * n + 1)
+        known = spark.createDataFrame(seen, VIEWS).withColumn("viewing_date", F.to_date("viewing_date"))
+        now = {(r.segment_id, r.device_id) for r in sg.populations(
+            known, defs, F.lit(f"2024-01-{day:02d}").cast("date")).collect()}
+        expected += [(*m, "segment_entry", f"2024-01-{day:02d}") for m in now - (before or set())]
+        expected += [(*m, "segment_exit", f"2024-01-{day:02d}") for m in (before or set()) - now]
+        before = now
+    got = spark.read.parquet(events).select("segment_id", "device_id", "event_type", F.col("day").cast("string"))
+    assert rows(got) == sorted(expected, key=repr)
+    assert sum(e[2] == "segment_exit" for e in expected) > 5
+    kept = buckets.versions(spark, f"{state}/evidence")
+    assert all(len(v) <= 2 for v in kept.values())
+
+
+def test_repeats_are_judged_by_runs_whatever_the_clocks_say(spark, tmp_path):
+    schema = "event_id bigint, device_id string, fingerprint_hash string, timestamp_utc bigint"
+    out, known = scratch_path(spark, "out"), scratch_path(spark, "known")
+    clock = [0]
+    sink = jobs.repeats_sink(out, known, arrival=lambda: clock[0])
+    batches = [
+        [(1, "a", "h", 100), (2, "a", "h", 130), (3, "b", "h", 10**9), (4, "a", "h", 10**9), (5, "a", "g", 100)],
+        [(6, "a", "h", 190), (7, "a", "h", 10**9 + 50), (8, "b", "h", 100), (9, "c", "h", 5), (10, "a", "h", 115)],
+        [(11, "a", "h", 250), (12, "b", "h", 161), (13, "b", "h", 160), (14, "c", "h", 66), (15, "a", "h", 250)],
+    ]
+    for n, batch in enumerate(batches):
+        clock[0] += 100
+        for _ in range(2):
+            sink(spark.createDataFrame(batch, schema), n)
+    everything = spark.createDataFrame([e for b in batches for e in b], schema)
+    names = schema.replace(" bigint", "").replace(" string", "").split(", ")
+    got = spark.read.schema(schema).parquet(out).select(*names)
+    assert rows(got) == rows(ingest.drop_repeats(everything))
+    clock[0] += 4000
+    sink(spark.createDataFrame([(20, "a", "h", 255)], schema), 3)
+    assert (20,) in rows(spark.read.schema(schema).parquet(out).select("event_id"))
+    assert spark.read.parquet(f"{known}/batch_id=3").count() == 1
+    assert len(list(Path(known).glob("batch_id=*"))) == 2
 
 
 def test_references_and_bands_are_upserted(spark, tmp_path):
@@ -156,25 +215,50 @@ def test_poison_messages_do_not_stop_a_stream(spark, tmp_path):
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def test_late_matches(spark, tmp_path):
-    ref = "ab" * 32
-    near = "a8" + ref[2:]
-    data = [("d1", near, 1000), ("d2", near, 200_000), ("d3", "0" * 64, 1000)]
-    f = source(spark, tmp_path, data, "device_id string, fingerprint_hash string, timestamp_utc bigint", 1)
-    other = tmp_path / "r"
-    other.mkdir()
-    r = source(spark, other, [(ref, "c", 50_000), (ref, "later", 90_000)], "fingerprint_hash string, content_id string, created_at bigint", 1)
-    out = drain(spark, jobs.late_matches(f, r))
-    assert rows(out.select("device_id", "content_id", "distance")) == [("d1", "c", 2)]
-
-
-def test_late_matches_of_malformed_hashes(spark, tmp_path):
-    f = source(spark, tmp_path, [("d", "not hex", 1000), ("e", "f" * 63, 1000)],
-               "device_id string, fingerprint_hash string, timestamp_utc bigint", 1)
-    other = tmp_path / "r"
-    other.mkdir()
-    r = source(spark, other, [("neither", "c", 2000)], "fingerprint_hash string, content_id string, created_at bigint", 1)
-    assert drain(spark, jobs.late_matches(f, r)).count() == 0
+def test_late_matches_are_the_nearest_in_time_and_made_once(spark):
+    rnd = random.Random(9)
+
+    def flipped(hash_, bits):
+        return f"{int(hash_, 16) ^ sum(1 << b for b in rnd.sample(range(100), bits)):064x}"
+
+    base = [f"{rnd.getrandbits(256):064x}" for _ in range(6)]
+    events = [(f"d{i}", flipped(rnd.choice(base), rnd.choice([0, 2, 14, 30])), 1_000_000 + rnd.randrange(300_000))
+              for i in range(60)]
+    events += [events[0], ("odd", "not hex", 1_000_100), ("hot", base[0], 1_000_200), ("hot", base[0], 1_000_300)]
+    refs = [[(flipped(rnd.choice(base), rnd.choice([0, 1, 7, 16, 34])).upper(), f"c{n}-{i}",
+              1_000_000 + 100_000 * n + rnd.randrange(100_000)) for i in range(8)] for n in range(4)]
+    queue, found = scratch_path(spark, "queue"), scratch_path(spark, "found")
+    late.queue_sink(queue)(spark.createDataFrame(
+        events, "device_id string, fingerprint_hash string, timestamp_utc bigint"), 0)
+    sink = late.probe_sink(queue, found, slack_hours=30)
+    for n, batch in enumerate(refs):
+        frame = spark.createDataFrame(
+            [*batch, ("neither", "x", 1_000_000)], "fingerprint_hash string, content_id string, created_at bigint")
+        sink(frame, n)
+        sink(frame, n)
+    expected, done = [], set()
+    for batch in refs:
+        for e in sorted(set(events) - {("odd", "not hex", 1_000_100)} - done):
+            near = sorted(((int(e[1], 16) ^ int(h, 16)).bit_count(), h.lower(), t, c) for h, c, t in batch
+                          if e[2] <= t <= e[2] + 86_400)
+            if near and near[0][0] <= 65:
+                expected.append((e[0], e[2], near[0][0], near[0][3]))
+                done.add(e)
+    got = spark.read.parquet(found).select("device_id", "timestamp_utc", "distance", "content_id")
+    assert rows(got) == sorted(expected, key=repr) and len({e[2] for e in expected}) > 5
+
+
+def test_hours_that_nothing_can_explain_fall_away(spark):
+    queue, found = scratch_path(spark, "queue"), scratch_path(spark, "found")
+    schema = "device_id string, fingerprint_hash string, timestamp_utc bigint"
+    late.queue_sink(queue)(spark.createDataFrame(
+        [("a", "0" * 64, h * 3600) for h in range(100)], schema), 0)
+    sink = late.probe_sink(queue, found, arrival=lambda: 60 * 3600)
+    refs = "fingerprint_hash string, content_id string, created_at bigint"
+    sink(spark.createDataFrame([("f" * 64, "c", 50 * 3600)], refs), 0)
+    assert folders.partition_values(spark, queue, "span") == sorted(str(h) for h in range(25, 100))
+    sink(spark.createDataFrame([("f" * 64, "c", 10**9)], refs), 1)  # a clock far ahead
+    assert folders.partition_values(spark, queue, "span") == sorted(str(h) for h in range(35, 100))
 
 
 def test_hopping_and_rates(spark, tmp_path):
