@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,3 +74,45 @@ def ip_number(ip: Column | str) -> Column:
 def device_and_ip(device_id, ifa, ip_address, device_ip) -> tuple[Column, Column]:
     """A request's own fields come before those of its nested device."""
     return F.coalesce(_c(device_id), _c(ifa)), F.coalesce(_c(ip_address), _c(device_ip))
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ip_hex(ip: Column | str) -> Column:
+    """An address of either family as 128 bits in 32 hex digits; null when it is not valid.
+
+    Dotted quads are the addresses below ::ffff:0:0, so both spellings of one are equal. `::` stands for one
+    group of zeros or more; a dotted quad may stand for the last two groups.
+    """
+
+    def digits(number: Column, width: int) -> Column:
+        return F.lpad(F.lower(F.hex(number)), width, "0")
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
+
+    def all_groups(halves: Column) -> Column:
+        left = groups(halves[0])
+        right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return _with(left, lambda x: _with(right, lambda y: F.when(
+            F.when(F.size(halves) == 1, F.size(x) == 8).otherwise((F.size(halves) == 2) & (F.size(x) + F.size(y) <= 7)),
+            F.concat(x, F.array_repeat(F.lit("0"), 8 - F.size(x) - F.size(y)), y))))
+
+    def joined(parts: Column) -> Column:
+        good = F.forall(parts, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def six(text: Column) -> Column:
+        quad = F.regexp_extract(text, r"([^:]*\.[^:]*)$", 1)
+        spelled = _with(quad, lambda q: F.when(q == "", text).otherwise(_with(ip_number(q), lambda n: F.concat(
+            F.substring(text, F.lit(1), F.length(text) - F.length(q)),
+            F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))))))
+        return _with(F.split(spelled, "::", -1), lambda halves: _with(all_groups(halves), joined))
+
+    def four(text: Column) -> Column:
+        return F.concat(F.lit("0" * 20 + "ffff"), digits(ip_number(text), 8))
+
+    return _with(F.lower(_c(ip)), lambda t: F.when(F.instr(t, ":") == 0, four(t)).otherwise(six(t)))

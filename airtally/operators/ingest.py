@@ -69,6 +69,73 @@ def with_asn(events: DataFrame, ranges: DataFrame, ip: str = "ip_address",
     return joined.select(*events.columns, narrowest["asn"].alias("asn"))
 
 
+def _mask(length: int) -> tuple[int, int]:
+    """The first `length` of 128 bits as two signed 64-bit numbers."""
+    bits = ((1 << length) - 1) << (128 - length)
+    return tuple(n - (1 << 64) if n >> 63 else n for n in (bits >> 64, bits & ((1 << 64) - 1)))
+
+
+def network_prefixes(prefixes: DataFrame) -> DataFrame:
+    """(length, high, low, asn) of networks given as `prefix` (`10.0.0.0/8`, `2001:db8::/32`, or a single
+    address) and `asn`. Bits behind the prefix do not count, invalid texts are left out, and of equal
+    networks the smallest number stays."""
+    parts = F.split("prefix", "/", -1)
+    address, given = parts[0], F.try_element_at(parts, F.lit(2))
+    four = F.instr(address, ":") == 0
+    most = F.when(four, 32).otherwise(128)
+    length = F.when(F.size(parts) == 1, most).otherwise(given.try_cast("int"))
+    cut = prefixes.select(
+        identity.ip_hex(address).alias("hex"), "asn",
+        F.when((F.size(parts) <= 2) & length.between(0, most), length + F.when(four, 96).otherwise(0)).alias("length"),
+    ).filter("hex IS NOT NULL AND length IS NOT NULL")
+    high, low = hashes.lanes("hex", 128)
+    ones = F.lit(-1).cast("bigint")
+    in_high = F.when(F.col("length") == 0, 0).when(F.col("length") >= 64, ones).otherwise(
+        F.call_function("shiftleft", ones, 64 - F.col("length")))
+    in_low = F.when(F.col("length") <= 64, 0).otherwise(F.call_function("shiftleft", ones, 128 - F.col("length")))
+    return cut.groupBy(
+        "length", high.bitwiseAND(in_high).alias("high"), low.bitwiseAND(in_low).alias("low")
+    ).agg(F.min("asn").alias("asn"))
+
+
+def with_prefix_asn(events: DataFrame, prefixes: DataFrame, ip: str = "ip_address",
+                    spread: tuple[str, ...] = ("device_id", "timestamp_utc"),
+                    broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
+    """Adds the `asn` of the longest network that holds the address, IPv4 or IPv6; null for unknown and
+    invalid addresses.
+
+    There is one equal join per prefix length that occurs, on the address cut to it. Small tables are
+    broadcast and the events stay where they are. Beyond that the distinct addresses are looked up, all
+    lengths in one join, and the answer goes back to the events by address.
+    """
+    networks = network_prefixes(prefixes).persist()
+    lengths = sorted((r[0] for r in networks.select("length").distinct().collect()), reverse=True)
+
+    def cut_to(length: Column | int, bits: list[Column]) -> list[Column]:
+        return [b.bitwiseAND(F.lit(m)) for b, m in zip(bits, _mask(length))]
+
+    if skew.is_small(networks, broadcast_ranges):
+        high, low = hashes.lanes("_hex", 128)
+        out = events.withColumn("_hex", identity.ip_hex(ip)).withColumns({"_high": high, "_low": low})
+        for length in lengths:
+            at = networks.filter(F.col("length") == length).select(
+                F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("asn").alias(f"_asn{length}"))
+            first, second = cut_to(length, [F.col("_high"), F.col("_low")])
+            out = out.join(F.broadcast(at), (first == F.col("_h")) & (second == F.col("_l")), "left").drop("_h", "_l")
+        asn = F.coalesce(*[F.col(f"_asn{n}") for n in lengths]) if lengths else F.lit(None)
+        return out.select(*events.columns, asn.cast("bigint").alias("asn"))
+    high, low = hashes.lanes("_hex", 128)
+    asked = events.select(F.col(ip).alias("_ip")).distinct().withColumn("_hex", identity.ip_hex("_ip")).filter(
+        "_hex IS NOT NULL").select("_ip", high.alias("_high"), low.alias("_low"))
+    cuts = [F.struct(F.lit(n).alias("length"), first.alias("high"), second.alias("low"))
+            for n in lengths for first, second in [cut_to(n, [F.col("_high"), F.col("_low")])]]
+    cut = asked.select("_ip", F.inline(F.array(*cuts)))
+    found = cut.join(networks, ["length", "high", "low"]).groupBy("_ip").agg(
+        F.max_by("asn", "length").cast("bigint").alias("asn"))
+    joined = skew.salted_join(events.withColumn("_ip", F.col(ip)), found, ["_ip"], spread, "left")
+    return joined.select(*events.columns, "asn")
+
+
 def is_datacenter(asn: Column | str) -> Column:
     col = F.col(asn) if isinstance(asn, str) else asn
     return F.coalesce(col.isin(*DATACENTER_ASNS), F.lit(False))
@@ -90,11 +157,13 @@ def reject_reason(now: Column | str, unit: str = "s", tolerance: int = TOLERANCE
 
 
 def validate(events: DataFrame, now: Column | str, ranges: DataFrame | None = None,
-             unit: str = "s", tolerance: int = TOLERANCE_SECONDS) -> DataFrame:
-    """Adds `reject_reason`. Bad events are marked one by one, a batch is never lost."""
-    if ranges is None:
+             unit: str = "s", tolerance: int = TOLERANCE_SECONDS,
+             prefixes: DataFrame | None = None) -> DataFrame:
+    """Adds `reject_reason`. Bad events are marked one by one, a batch is never lost. Networks come as
+    IPv4 `ranges`, or as `prefixes` of both families."""
+    if ranges is None and prefixes is None:
         return events.withColumn("reject_reason", reject_reason(now, unit, tolerance))
-    located = with_asn(events, ranges)
+    located = with_asn(events, ranges) if prefixes is None else with_prefix_asn(events, prefixes)
     return located.withColumn(
         "reject_reason", reject_reason(now, unit, tolerance, "asn")
     ).drop("asn")

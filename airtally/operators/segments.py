@@ -258,6 +258,51 @@ def sampled_sizes(members: DataFrame, one_in: int = 8) -> DataFrame:
     )
 
 
+def daily_sketches(viewership: DataFrame, definitions: Sequence[Segment], lg_entries: int = 12,
+                   member: str = "device_id") -> DataFrame:
+    """(segment_id, viewing_date, sketch): a theta sketch of the members by day, without any lookback.
+
+    Sizes, unions and intersections over any span of days come from these few rows, without another scan
+    of the views; a new day only adds its own. A sketch holds at most 2^lg_entries hashes and is exact below
+    that; beyond, the standard error of a size is 1 / sqrt(2^lg_entries), that of an intersection
+    so many of the union. Definitions with hours per week do not follow from single rows and raise.
+    """
+    checked = [validate(s) for s in definitions]
+    if any(r.min_hours_week for s in checked for r in s.rules):
+        raise ValueError("definitions with hours per week have no daily members")
+    tags = []
+    for s in checked:
+        joiner = (lambda a, b: a & b) if s.logic == "AND" else (lambda a, b: a | b)
+        tags.append(F.when(reduce(joiner, [rule_condition(r) for r in s.rules]), F.lit(s.segment_id)))
+    rows = viewership.select(F.explode(F.array_compact(F.array(*tags))).alias("segment_id"), "viewing_date", member)
+    return rows.groupBy("segment_id", "viewing_date").agg(
+        F.theta_sketch_agg(member, lg_entries).alias("sketch"))
+
+
+def span_sketches(daily: DataFrame, as_of: Column, lookback_days: int, lg_entries: int = 12) -> DataFrame:
+    """One sketch per segment: who was a member in the lookback up to a day."""
+    inside = F.col("viewing_date").between(F.date_sub(as_of, lookback_days), as_of)
+    return daily.filter(inside).groupBy("segment_id").agg(F.theta_union_agg("sketch", lg_entries).alias("sketch"))
+
+
+def sketched_sizes(sketches: DataFrame) -> DataFrame:
+    return sketches.select("segment_id", F.theta_sketch_estimate("sketch").cast("bigint").alias("members"))
+
+
+def sketched_overlap(sketches: DataFrame, ids: Sequence[str], lg_entries: int = 12) -> DataFrame:
+    """(union_size, overlap_size) of 2 to 5 segments; one that has no members makes the overlap empty."""
+    if not 2 <= len(set(ids)) <= MAX_OVERLAP_SEGMENTS:
+        raise ValueError("an overlap takes 2 to 5 segments")
+    # A missing segment counts as one without members.
+    one = sketches.filter(F.col("segment_id").isin(list(ids))).agg(
+        F.count_distinct("segment_id").alias("n"),
+        F.theta_union_agg("sketch", lg_entries).alias("any"), F.theta_intersection_agg("sketch").alias("all"))
+    return one.select(
+        F.coalesce(F.theta_sketch_estimate("any"), F.lit(0)).cast("bigint").alias("union_size"),
+        F.when(F.col("n") == len(set(ids)), F.theta_sketch_estimate("all")).otherwise(0).cast("bigint").alias(
+            "overlap_size"))
+
+
 def device_index(members: DataFrame) -> DataFrame:
     """Sorted segment list per device. A list is as long as there are segments."""
     return members.groupBy("device_id").agg(

@@ -104,6 +104,78 @@ def geo_asn_shuffled(spark, sf):
     return out.select("event_id", "asn")
 
 
+_TWO_FAMILIES = d.views("fingerprints") + """, networks AS (SELECT s_suppkey AS n FROM supplier),
+p24 AS (SELECT n % 3 AS a, n % 16 AS b, min(100000 + n) AS asn FROM networks WHERE n % 2 = 0 GROUP BY ALL),
+p16 AS (SELECT n % 3 AS a, min(CASE n % 5 WHEN 1 THEN 16509 ELSE 200000 + n END) AS asn FROM networks WHERE n % 2 = 1 GROUP BY ALL),
+p48 AS (SELECT n % 64 AS a, min(CASE n % 5 WHEN 0 THEN 24940 ELSE 300000 + n END) AS asn FROM networks WHERE n % 2 = 0 GROUP BY ALL),
+p60 AS (SELECT n % 64 AS a, n % 16 AS b, min(400000 + n) AS asn FROM networks WHERE n % 3 = 0 GROUP BY ALL),
+located AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL
+    WHEN event_id % 3 = 1 THEN CASE WHEN event_id % 7 = 0 THEN 8075 ELSE coalesce(x.asn, y.asn, 64513) END
+    ELSE coalesce(v.asn, w.asn, 64512) END AS asn
+  FROM fingerprints f LEFT JOIN p24 v ON v.a = (user_id // 64) % 256 AND v.b = (user_id % 64) // 4
+  LEFT JOIN p16 w ON w.a = (user_id // 64) % 256
+  LEFT JOIN p48 y ON y.a = user_id % 64 LEFT JOIN p60 x ON x.a = user_id % 64 AND x.b = k % 16)
+"""
+
+
+def two_families(spark, sf):
+    """Fingerprints with addresses of both families in several spellings, and some that are none."""
+    f = d.fingerprints(spark, sf)
+    a, b = F.lower(F.hex(F.col("user_id") % 64)), F.hex(F.col("k").cast("bigint") % 16)
+    end = F.when(F.col("event_id") % 7 == 0, F.lit("::dead:beef")).otherwise(
+        F.concat(F.lit("0::"), F.hex(F.col("event_id") % 65536)))
+    six = F.concat(F.lit("2001:0DB8:"), a, F.lit(":"), b, end)
+    mapped = F.concat(F.lit("::ffff:"), F.col("ip_address"))
+    odd = F.when(F.col("event_id") % 100 == 0, F.lit("2001:db8::1::2")).otherwise(F.lit("10.0.0.256"))
+    kind = F.col("event_id") % 3
+    return f.withColumn("ip_address", F.when(F.col("event_id") % 50 == 0, odd).when(kind == 1, six).when(
+        kind == 2, mapped).otherwise(F.col("ip_address")))
+
+
+def network_table(spark, sf):
+    """Nested networks of both families: /8, /16 and /24; /32, /48, /60 and single addresses."""
+    n = F.col("s_suppkey")
+    s = d.table(spark, sf, "supplier")
+    hexed = F.lower(F.hex(n % 64))
+    parts = [
+        (F.lit(True), F.lit("10.0.0.0/8"), F.lit(64512)),
+        (F.lit(True), F.lit("2001:db8::/32"), F.lit(64513)),
+        (n % 2 == 0, F.concat(F.lit("10."), n % 3, F.lit("."), n % 16, F.lit(".77/24")), 100000 + n),
+        (n % 2 == 1, F.concat(F.lit("::ffff:10."), n % 3, F.lit(".0.0/112")), F.when(n % 5 == 1, 16509).otherwise(200000 + n)),
+        (n % 2 == 0, F.concat(F.lit("2001:db8:"), hexed, F.lit("::/48")), F.when(n % 5 == 0, 24940).otherwise(300000 + n)),
+        (n % 3 == 0, F.concat(F.lit("2001:db8:"), hexed, F.lit(":"), F.hex(n % 16), F.lit("0::/60")), 400000 + n),
+        (n % 7 == 0, F.lit("nonsense/12"), n), (n % 7 == 1, F.lit("10.0.0.0/33"), n),
+    ]
+    out = [s.filter(on).select(p.alias("prefix"), asn.cast("bigint").alias("asn")) for on, p, asn in parts]
+    dead = d.fingerprints(spark, sf).filter("event_id % 7 = 0").select(
+        F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("user_id") % 64)), F.lit(":"),
+                 F.hex(F.col("k").cast("bigint") % 16), F.lit("::dead:beef")).alias("prefix"), F.lit(8075).cast("bigint").alias("asn"))
+    table = out[0].limit(1).unionByName(out[1].limit(1))
+    for more in (*out[2:], dead):
+        table = table.unionByName(more)
+    return table
+
+
+@query("geo_prefix_asn", _TWO_FAMILIES + "SELECT event_id, asn FROM located")
+def geo_prefix_asn(spark, sf):
+    return ing.with_prefix_asn(two_families(spark, sf), network_table(spark, sf)).select("event_id", "asn")
+
+
+@query("geo_prefix_shuffled", _TWO_FAMILIES + "SELECT event_id, asn FROM located")
+def geo_prefix_shuffled(spark, sf):
+    """The way taken when the table of networks is too large to broadcast."""
+    out = ing.with_prefix_asn(two_families(spark, sf), network_table(spark, sf), broadcast_ranges=0)
+    return out.select("event_id", "asn")
+
+
+@query("geo_prefix_filter", _TWO_FAMILIES + """
+SELECT event_id, coalesce(CASE WHEN asn IN (16509, 24940, 8075) THEN 'datacenter_network' END, 'accepted') AS outcome FROM located""")
+def geo_prefix_filter(spark, sf):
+    """The checks of the ingest with networks of both families."""
+    checked = ing.validate(two_families(spark, sf), "timestamp_utc", prefixes=network_table(spark, sf))
+    return checked.select("event_id", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"))
+
+
 _LATEST = d.views("consent_events", "fingerprints") + """, latest AS (SELECT * FROM consent_events
   QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY consent_time DESC, event_id DESC) = 1)"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airtally.operators import alerts as al
@@ -458,3 +459,56 @@ def cleanup_range_checks(spark, sf):
     )
     out = ql.in_range(counts, {"deleted": ql.DELETED_RANGE, "archived": ql.ARCHIVED_RANGE})
     return out.withColumns({c: F.col(c).cast("int") for c in ("low", "high")})
+
+
+_BOUNDS = ("5", "20", "60", "150", "+Inf")
+_COUNTERS = d.views("api_usage") + """, slots AS (SELECT endpoint, (at_ms // 1000) // 1800 * 1800 + 1800 AS ts, response_ms FROM api_usage),
+counts AS (""" + " UNION ALL ".join(
+    f"SELECT endpoint, '{b}' AS le, ts, count(*) FILTER ({'true' if b == '+Inf' else f'response_ms <= {b}'}) AS n FROM slots GROUP BY ALL"
+    for b in _BOUNDS) + """),
+samples AS (SELECT endpoint, le, ts, CAST(sum(n) OVER (PARTITION BY endpoint, le, ts // 200000 ORDER BY ts) AS DOUBLE) AS value FROM counts),
+lagged AS (SELECT *, lag(ts) OVER w AS before_at, lag(value) OVER w AS before, (ts + 10799) // 10800 * 10800 AS t FROM samples
+  WINDOW w AS (PARTITION BY endpoint, le ORDER BY ts)),
+spread AS (SELECT *, t + 10800 * h AS tick FROM lagged, range(2) r(h) WHERE t + 10800 * h < ts + 21600),
+seen AS (SELECT endpoint, le, tick, count(*) AS n, min(ts) AS t0, max(ts) AS t1, arg_min(value, ts) AS v0, arg_max(value, ts) AS v1,
+    sum(CASE WHEN before_at > tick - 21600 AND value < before THEN before ELSE 0 END) AS lost
+  FROM spread GROUP BY ALL HAVING count(*) > 1),
+grown AS (SELECT *, v1 - v0 + lost AS g, CAST(t1 - t0 AS DOUBLE) AS span, CAST(t1 - t0 AS DOUBLE) / (n - 1) AS mean,
+    CAST(t0 - (tick - 21600) AS DOUBLE) AS ahead, CAST(tick - t1 AS DOUBLE) AS behind FROM seen),
+ends AS (SELECT *, CASE WHEN ahead >= mean * 1.1::DOUBLE THEN mean / 2 ELSE ahead END AS s, CASE WHEN behind >= mean * 1.1::DOUBLE THEN mean / 2 ELSE behind END AS e FROM grown),
+rates AS (SELECT endpoint, le, tick, g * ((span + CASE WHEN g > 0 THEN least(s, span * (v0 / g)) ELSE s END + e) / span) / 21600.0::DOUBLE AS per_second FROM ends)"""
+
+
+def counter_samples(spark, sf):
+    """Latency counters per endpoint and upper bound, read each half hour with calls, that start again
+    every 200,000 seconds."""
+    usage = d.api_usage(spark, sf)
+    second = F.floor(F.col("at_ms") / 1000)
+    slots = usage.select("endpoint", (F.floor(second / 1800) * 1800 + 1800).alias("at"), "response_ms")
+    counts = slots.groupBy("endpoint", "at").agg(*[
+        (F.count(F.lit(1)) if b == "+Inf" else F.count_if(F.col("response_ms") <= int(b))).alias(b) for b in _BOUNDS])
+    tall = counts.unpivot(["endpoint", "at"], list(_BOUNDS), "le", "n")
+    line = Window.partitionBy("endpoint", "le", F.floor(F.col("at") / 200000)).orderBy("at")
+    return tall.select("endpoint", "le", "at", F.sum("n").over(line).cast("double").alias("value"))
+
+
+@query("counter_rates", _COUNTERS + """
+SELECT endpoint, le, tick AS "at", round(per_second * 21600, 6) AS increase, round(per_second, 9) AS per_second FROM rates""")
+def counter_rates(spark, sf):
+    out = al.counter_rates(counter_samples(spark, sf), ("endpoint", "le"), "at", "value", 21600, 10800)
+    return _round(_round(out, "increase", digits=6), "per_second", digits=9)
+
+
+@query("bucket_quantiles", _COUNTERS + """, tops AS (SELECT endpoint, tick, max(per_second) AS total FROM rates GROUP BY ALL HAVING bool_or(le = '+Inf') AND count(*) > 1 AND max(per_second) > 0),
+ordered AS (SELECT *, max(per_second) OVER (PARTITION BY endpoint, tick ORDER BY b) AS v FROM (
+  SELECT *, CASE le WHEN '+Inf' THEN 'infinity'::DOUBLE ELSE TRY_CAST(le AS DOUBLE) END AS b FROM rates)),
+steps AS (SELECT *, lag(v, 1, 0) OVER w AS under, lag(b, 1, 0) OVER w AS low FROM ordered WINDOW w AS (PARTITION BY endpoint, tick ORDER BY b)),
+asked AS (SELECT endpoint, tick, total, q, total * q AS rank FROM tops, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) x(q)),
+hit AS (SELECT a.*, s.b, s.v, s.low, s.under FROM asked a JOIN steps s USING (endpoint, tick) WHERE s.v >= a.rank
+  QUALIFY row_number() OVER (PARTITION BY endpoint, tick, q ORDER BY b) = 1)
+SELECT endpoint, tick AS "at", q AS quantile, round(CASE WHEN isinf(b) THEN low ELSE low + (b - low) * (rank - under) / (v - under) END, 6) AS estimate FROM hit""")
+def bucket_quantiles(spark, sf):
+    """Latency quantiles of the last six hours, every three hours, from restarting counters alone."""
+    rated = al.counter_rates(counter_samples(spark, sf), ("endpoint", "le"), "at", "value", 21600, 10800)
+    out = al.bucket_quantiles(rated, ("endpoint", "at"), (0.5, 0.95, 0.99), "le", "per_second")
+    return _round(out.filter("estimate IS NOT NULL"), "estimate", digits=6)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from airtally.functions import codec, scoring
@@ -407,3 +409,37 @@ def match_confidences(spark, sf):
     key = F.col("k").cast("bigint")
     raw = F.when(key % 3 != 0, key.cast("double") / 100)
     return d.content(spark, sf).select("content_id", scoring.match_confidence(raw).alias("confidence"))
+
+
+_SKETCH_ENTRIES = 16  # exact up to 65,536 members
+_LOOKBACKS = (3, 10, 30)
+_SKETCHED = d.views("viewership_enriched") + f""", tagged AS (
+  SELECT 'seg_or' AS segment_id, device_id, viewing_date FROM viewership_enriched WHERE genre IN ('promo', 'small') OR network IN ('Brand#1', 'Brand#2')
+  UNION ALL SELECT 'seg_area', device_id, viewing_date FROM viewership_enriched WHERE dma_code IN ('100', '101', '102', '103', '104')),
+spans AS (SELECT days, segment_id, device_id FROM tagged, (VALUES (3), (10), (30)) x(days)
+  WHERE viewing_date BETWEEN DATE '{AS_OF}' - days::INT AND DATE '{AS_OF}')"""
+
+
+def sketches(spark, sf):
+    return sg.daily_sketches(
+        d.viewership_enriched(spark, sf), [s for s in SEGMENTS if s.segment_id in ("seg_or", "seg_area")],
+        _SKETCH_ENTRIES)
+
+
+def _per_span(spark, sf, report):
+    daily = sketches(spark, sf)
+    parts = [report(sg.span_sketches(daily, as_of(), n, _SKETCH_ENTRIES)).withColumn("days", F.lit(n)) for n in _LOOKBACKS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("segment_sketch_sizes", _SKETCHED + """
+SELECT days, segment_id, count(DISTINCT device_id) AS members FROM spans GROUP BY ALL""")
+def segment_sketch_sizes(spark, sf):
+    """Sizes over three lookbacks from one table of daily sketches."""
+    return _per_span(spark, sf, sg.sketched_sizes)
+
+
+@query("segment_sketch_overlap", _SKETCHED + """, held AS (SELECT days, device_id, count(DISTINCT segment_id) AS n FROM spans GROUP BY ALL)
+SELECT days, count(*) AS union_size, count(*) FILTER (n = 2) AS overlap_size FROM held GROUP BY ALL""")
+def segment_sketch_overlap(spark, sf):
+    return _per_span(spark, sf, lambda s: sg.sketched_overlap(s, ("seg_or", "seg_area"), _SKETCH_ENTRIES))
