@@ -495,6 +495,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_digest(s) for s in sets], pa.string())], ["doc_id", "n", "digest"])
 
+    def name_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [set_digest(shingles(t.as_py(), width)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), batch.column(1)], ["digest", "text"])
+
     sets = saved(source.mapInArrow(measure, f"doc_id {kind}, n long, digest string"), "shingle-sets")
     number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
     classes = sets.filter("n > 0").groupBy("digest").agg(
@@ -506,8 +511,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     totals = weights.filter(F.col("tokens") <= task_tokens).agg(F.sum("tokens").alias("n")).first()["n"] or 0
     bins = max(1, -(-totals // task_tokens)) * 2
     wanted = members.join(weights, "component").withColumnRenamed("least", "doc_id")
+    # An id names its text unless it is missing or stands for several sets: these are found by their digest.
+    vague = saved(
+        sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.min("digest").alias("low"), F.max("digest").alias("high"))
+        .filter("low <> high").select("doc_id"), "vague-ids")
+    nameless = not sets.filter("n > 0 AND doc_id IS NULL").isEmpty()
+    columns = ["doc_id", "text", *(c for c in wanted.columns if c != "doc_id")]
+    if nameless or not vague.isEmpty():
+        odd = source.filter("doc_id IS NULL").unionByName(source.join(vague, "doc_id", "left_semi"))
+        by_digest = odd.mapInArrow(name_texts, "digest string, text string").groupBy("digest").agg(
+            F.first("text").alias("text"))
+        clear = wanted.join(vague, "doc_id", "left_anti").filter("doc_id IS NOT NULL")
+        unclear = wanted.filter("doc_id IS NULL").unionByName(wanted.join(vague, "doc_id", "left_semi"))
+        found = source.join(clear, "doc_id").select(*columns).unionByName(
+            by_digest.join(unclear, "digest").select(*columns))
+    else:
+        found = source.join(wanted, "doc_id").select(*columns)
     # The texts of documents that have candidates; the only time that all texts are moved.
-    texts = saved(source.join(wanted, "doc_id"), "texts-with-candidates")
+    texts = saved(found, "texts-with-candidates")
     small = texts.filter(F.col("tokens") <= task_tokens).withColumn(
         "bin", F.pmod(F.xxhash64("component"), F.lit(bins)).cast("int"))
     parts = components(_link_small(small, width, threshold)).select(

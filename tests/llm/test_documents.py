@@ -464,3 +464,41 @@ def test_empty_tables(none):
         packing.pack(none, VOCABULARY, PATTERN), mixing.mix(none), mixing.mixed_rows(none),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+# Small sources, vague ids
+
+
+@pytest.mark.parametrize("sizes", [[3] * 200, list(range(1, 41)), [1, 5000, 7, 2, 900, 14]])
+def test_mix_meets_the_targets_of_small_sources(spark, sizes):
+    rows = [(i, " ".join(["w"] * size), "en", f"s{i:03d}", 1, *cases.EXTRA) for i, size in enumerate(sizes)]
+    mixed = mixing.mix(spark.createDataFrame(rows, cases.SCHEMA)).collect()
+    wanted = targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    for r in mixed:
+        target = float(wanted[r.doc_id])
+        assert r.target == pytest.approx(target) and r.taken <= 2 * r.size
+        assert abs(r.taken - target) <= max(1, target / 32)
+    assert abs(sum(r.taken for r in mixed) - 1.5 * sum(sizes)) <= 1 + sum(sizes) / 64
+
+
+def test_quotas_of_many_shards_go_through_batches(spark, docs, monkeypatch):
+    whole = {r.source: r.taken for r in mixing.mix(docs).withColumn("source", F.col("row.source")).groupBy(
+        "source").agg(F.sum("taken").alias("taken")).collect()}
+    monkeypatch.setattr(mixing, "SHARDS_AT_ONCE", 2)
+    many = mixing.mix(docs, shard_words=60, shard_documents=3).withColumn("source", F.col("row.source"))
+    for r in many.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert r.taken == pytest.approx(r.target, abs=max(2, r.target / 10)) and whole[r.source] > 0
+
+
+def test_jaccard_links_through_texts_without_id_and_of_shared_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+
+    def text(*changed):
+        return " ".join("x" + w if i in changed else w for i, w in enumerate(words))
+
+    rows = [(1, text()), (None, text(20)), (2, text(20, 40)), (7, "one two three four five"), (7, text(20, 40, 58)),
+            (None, text(20)), (9, "quite another text of its own")]
+    docs = spark.createDataFrame([(*r, None, None, None, *cases.EXTRA) for r in rows], cases.SCHEMA).repartition(2)
+    got = jaccard.near_duplicates(docs, width=4, threshold=(85, 100)).collect()
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in got)
+    assert found == Counter([(1, 57, 1), (None, 57, 1), (None, 57, 1), (2, 57, 1), (7, 57, 1), (7, 2, 7), (9, 3, 9)])
