@@ -1,6 +1,7 @@
 """Mixing sources to target weights, in blocks of equal size.
 
-Targets come from the totals of the sources alone. Blocks of `block_words` words go to the sources
+Targets come from the totals of the sources alone. Blocks of `block_words` words, or of fewer where a target
+is small, go to the sources
 by highest quotients (Sainte-Lague: target / 1, / 3, / 5, ...), then in the same way from each source
 to its shards, which hold about `shard_words` words each, so that a large source is many tasks.
 In a shard the documents stand in a seeded order, end to end in a ring; the shard's blocks are the
@@ -27,6 +28,7 @@ BLOCK_WORDS = 32
 SHARD_WORDS = 2_000_000
 SHARD_DOCUMENTS = 100_000
 MAX_SOURCES = 100_000
+SHARDS_AT_ONCE = 10_000
 
 
 def targets(totals: Sequence[int], weights: Sequence[int], share: Fraction = SHARE,
@@ -93,14 +95,17 @@ def _plan(sizes: DataFrame, weights: Sequence[int], share: Fraction, repeats: in
     rows.sort(key=lambda r: (r["source"] is None, r["source"]))
     words = [int(r["words"]) for r in rows]
     wanted = targets(words, [weights[i % len(weights)] for i in range(len(rows))], share, repeats)
+    # Small enough for the smallest target to be met within a thirty-second of it, or a word.
+    smallest = min((t for t in wanted if t > 0), default=Fraction(block))
+    block = max(1, min(block, int(smallest) // 32))
     seats = round(sum(wanted) / block)
     blocks = apportion([float(t) for t in wanted], seats, [-(-repeats * w // block) for w in words])
     plan = [
-        (r["source"], w, float(t), b, max(1, -(-w // shard_words), -(-int(r["documents"]) // shard_documents)))
+        (r["source"], w, float(t), b, block, max(1, -(-w // shard_words), -(-int(r["documents"]) // shard_documents)))
         for r, w, t, b in zip(rows, words, wanted, blocks)
     ]
     return sizes.sparkSession.createDataFrame(
-        plan, "source string, source_size long, target double, blocks long, shards long")
+        plan, "source string, source_size long, target double, blocks long, block long, shards long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -128,33 +133,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     planned = rows.withColumnRenamed("source", "own").join(
         F.broadcast(plan), F.col("own").eqNullSafe(F.col("source"))
     ).withColumn("shard", F.pmod("place", "shards"))
-    shard_sizes = planned.groupBy("source", "shard").agg(
-        F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
+    most = F.ceil(F.col("words") * repeats / F.col("block"))
+    shard_sizes = planned.groupBy("source", "shard", "block", "blocks").agg(F.sum("size").alias("words")).withColumns(
+        {"most": most, "batch": F.floor(F.col("shard") / SHARDS_AT_ONCE)})
 
     def quotas(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard")
-        words = group["words"].tolist()
-        group["quota"] = apportion(
-            words, int(group["blocks"].iloc[0]), [-(-repeats * w // block_words) for w in words])
-        return group[["source", "shard", "words", "quota"]]
-
+        group = group.sort_values(group.columns[1])
+        group["quota"] = apportion(group["words"].tolist(), int(group["blocks"].iloc[0]), group["most"].tolist())
+        return group
+
+    # From a source to batches of its shards, from a batch to its shards: no task holds all shards of a source.
+    batches = saved(
+        shard_sizes.groupBy("source", "batch", "blocks").agg(F.sum("words").alias("words"), F.sum("most").alias("most"))
+        .select("source", "batch", "blocks", "words", "most").groupBy("source").applyInPandas(
+            quotas, "source string, batch long, blocks long, words long, most long, quota long"), "mix-batches"
+    ).select(F.col("source").alias("its"), F.col("batch").alias("of"), F.col("quota").alias("given"))
+    shared = shard_sizes.join(
+        batches, F.col("source").eqNullSafe(F.col("its")) & (F.col("batch") == F.col("of"))
+    ).select("source", "shard", F.col("given").alias("blocks"), "words", "most", "batch", "block")
     quota = saved(
-        shard_sizes.groupBy("source").applyInPandas(
-            quotas, "source string, shard long, words long, quota long"),
+        shared.groupBy("source", "batch").applyInPandas(
+            quotas, "source string, shard long, blocks long, words long, most long, batch long, block long, quota long"),
         "mix-quotas",
-    ).withColumnRenamed("source", "its").withColumnRenamed("shard", "number")
+    ).select(F.col("source").alias("its"), F.col("shard").alias("number"), "words", "quota")
     line = Window.partitionBy("its", "number").orderBy("place", "doc_id", "size")
     ring = planned.join(
         quota, F.col("source").eqNullSafe(F.col("its")) & (F.col("shard") == F.col("number"))
     ).withColumn("stop", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     ring = ring.withColumn("start", F.col("stop") - F.col("size")).withColumn(
-        "wanted", F.least(F.col("quota") * block_words, F.col("words") * repeats)
+        "wanted", F.least(F.col("quota") * F.col("block"), F.col("words") * repeats)
     ).withColumn("rounds", F.floor(F.col("wanted") / F.greatest("words", F.lit(1)))).withColumn(
         "part", F.col("wanted") - F.col("rounds") * F.col("words")
     ).withColumn(
         "first",
         F.pmod(F.xxhash64(F.lit(seed), "its", "number"),
-               F.greatest(F.floor(F.col("words") / block_words), F.lit(1))) * block_words,
+               F.greatest(F.floor(F.col("words") / F.col("block")), F.lit(1))) * F.col("block"),
     )
 
     def overlap(shift: Column) -> Column:
