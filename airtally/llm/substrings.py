@@ -35,7 +35,7 @@ from airtally.llm.tables import documents_of, saved
 
 LENGTH = 200
 GRAM = 32
-HOT_ANCHORS = 50_000
+HOT_ANCHORS = 20_000
 BUCKET_SUFFIXES = 20_000
 SAMPLED_TEXTS = 2_000
 SAMPLED_SUFFIXES = 50_000
@@ -44,6 +44,7 @@ MAX_BROADCAST = 100_000
 CHUNK_ANCHORS = 200_000
 BUCKET_ANCHORS = 500_000
 SEGMENT_BYTES = 1 << 22
+ROWS_AT_ONCE = 4_096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -104,22 +105,27 @@ def repeated_anchors(source: DataFrame, length: int, gram: int) -> DataFrame:
         held: list[np.ndarray] = []
         waiting, seen = 0, set()
 
+        def dealt(rows: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows in the order of their buckets, and where each bucket begins."""
+            bucket = (mixed(by) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            return rows[:, order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
         def emit() -> pa.RecordBatch:
             rows = np.concatenate(held, axis=1)
             rows = rows[:, np.argsort(rows[0], kind="stable")]
             same = rows[0, 1:] == rows[0, :-1]
             head = np.concatenate(([True], ~same))
             repeated = np.concatenate((same, [False])) | ~head
-            # One row per k-gram goes on; rows that repeat here are found already and go along.
+            # One row per k-gram goes on to the bucket of its k-gram. Rows that repeat here are found already:
+            # they need not meet, and are dealt evenly, so that a common passage fills no bucket.
             out = []
-            bucket = (mixed(rows[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, head, repeated, bucket = rows[:, order], head[order], repeated[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                if j > i:
-                    sent, found = rows[:, i:j][:, head[i:j]], rows[:, i:j][:, repeated[i:j]]
-                    out.append((k, *(r.tobytes() for r in sent), *(r.tobytes() for r in found)))
+            sent, found = rows[:, head], rows[:, repeated]
+            sent, cuts = dealt(sent, sent[0].view(np.uint64))
+            found, found_cuts = dealt(found, mixed(found[1].view(np.uint64)) + found[3].view(np.uint64))
+            for k, (i, j, a, b) in enumerate(zip(cuts, cuts[1:], found_cuts, found_cuts[1:])):
+                if j > i or b > a:
+                    out.append((k, *(r[i:j].tobytes() for r in sent), *(r[a:b].tobytes() for r in found)))
             kinds = (pa.int32(), *[pa.binary()] * 8)
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out), kinds)],
@@ -228,29 +234,35 @@ def repeated_windows(first: np.ndarray, place: np.ndarray, data: list[bytes], le
                      ) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest number of bytes before the anchor for which a window also occurs at
     another row (largest -1: none does). Windows of a row start at `first` and later."""
-    n, reach = len(data), length  # columns: `reach` bytes before the anchor, `length` from it on
+    n = len(data)
     before = place - first
-    sizes = np.array([len(d) for d in data])
+    sizes = np.fromiter(map(len, data), np.int64, n)
     least = before - (sizes - length)
-    matrix = np.zeros((n, reach + length), dtype=np.uint8)
-    flat = np.frombuffer(b"".join(data), dtype=np.uint8)
-    rows = np.repeat(np.arange(n), sizes)
-    ends = np.cumsum(sizes)
-    columns = np.arange(len(flat)) - np.repeat(ends - sizes, sizes) + np.repeat(reach - before, sizes)
-    matrix[rows, columns] = flat
-    after = np.ascontiguousarray(matrix[:, reach:])
-    padded = np.zeros((n, -(-length // 8) * 8), dtype=np.uint8)
-    padded[:, :length] = after
-    order = multikey_sort(padded.view(">u8").astype(np.uint64))
-    after, matrix, before, least = after[order], matrix[order], before[order], least[order]
-    differ = after[1:] != after[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    # From the anchor on, padded to whole words; then what lies before it, in the order of the suffixes.
+    after = np.zeros((n, -(-length // 8) * 8), dtype=np.uint8)
+    for i, (text, skip) in enumerate(zip(data, before.tolist())):
+        after[i, :len(text) - skip] = np.frombuffer(text, np.uint8, offset=skip)
+    words = after.view(">u8").astype(np.uint64)
+    order = multikey_sort(words)
+    del words
+    common = np.empty(max(0, n - 1), dtype=np.int64)
+    for i in range(0, n - 1, ROWS_AT_ONCE):
+        part = after[order[i:i + ROWS_AT_ONCE + 1], :length]
+        differ = part[1:] != part[:-1]
+        common[i:i + ROWS_AT_ONCE] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    del after
+    before, least = before[order], least[order]
+    reach = int(before.max(initial=0))
+    ahead = np.zeros((n, reach), dtype=np.uint8)
+    for i, (row, skip) in enumerate(zip(order.tolist(), before.tolist())):
+        if skip:
+            ahead[i, reach - skip:] = np.frombuffer(data[row], np.uint8, skip)
     low = np.full(n, 1 << 30)
     high = np.full(n, -1)
     left = np.zeros(n, dtype=np.uint64)
     for d in range(0, int(before.max(initial=-1)) + 1):
         if d:
-            left = left * _BASE + _BYTES[matrix[:, reach - d]]
+            left = left * _BASE + _BYTES[ahead[:, reach - d]]
         stretch = np.concatenate(([0], np.cumsum(common < length - d)))
         able = np.flatnonzero((before >= d) & (least <= d))
         if len(able) < 2:
