@@ -29,6 +29,7 @@ REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256_000_000
 READ_BYTES = 4_000_000
 GAP_BYTES = 65_536
+TASK_BYTES = 64_000_000
 # Rows of a table that may be broadcast.
 BROADCAST_ROWS = 100_000
 # Pages have no time of their own; a record must have one.
@@ -262,9 +263,12 @@ def read_records(index: DataFrame, read_bytes: int = READ_BYTES, gap_bytes: int
                             frame[name] = pd.array([record[name] for record in out], dtype="Int64")
                         yield frame
 
+    # By bytes of the archives: an index is far too small to be spread by its own size.
+    size = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     stretch = F.floor(F.col("offset") / read_bytes).cast("long").alias("stretch")
     return (
-        index.select("archive", "offset", "length", stretch).repartition("archive", "stretch")
+        index.select("archive", "offset", "length", stretch).repartition(tasks, "archive", "stretch")
         .sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
         .mapInPandas(read, RECORD_SCHEMA)
     )
