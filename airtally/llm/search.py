@@ -275,7 +275,7 @@ def search_block(spark: SparkSession, docs: DataFrame, queries: list[tuple[int,
     for end in [n for n in rounds if n < shards] + [shards]:
         part = dealt.filter((F.col("shard") >= begin) & (F.col("shard") < end))
         task = shard_search(asked, context.broadcast(floors), shared, k, documents, length)
-        more = part.repartition(end - begin, "shard").groupBy("shard").applyInPandas(task, empty)
+        more = part.repartition(4 * (end - begin), "shard").groupBy("shard").applyInPandas(task, empty)
         found = ranked(more if found is None else found.unionByName(more), k).drop("rank")
         begin = end
         if end < shards:
