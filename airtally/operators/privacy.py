@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from airtally.functions import consent as cs
 from airtally.functions import identity
-from airtally.sources import files, folders, lake
+from airtally.sources import buckets, files, folders, lake
 
+CONSENT_STATE = (
+    "device_id string, opted_in boolean, consent_time bigint, consent_version string, ip_at_consent string, "
+    "jurisdiction string, tcf_string string, purposes array<string>, vendors array<string>, "
+    "special_features array<string>"
+)
 
 
 def consent_records(events: DataFrame, version: str = "1.0") -> DataFrame:
@@ -157,10 +162,22 @@ def erase_devices(spark: SparkSession, requests: DataFrame,
     return removed
 
 
-def record_consents(records: DataFrame, path: str, batch_id: int | str) -> None:
-    """Add consent records; the latest one per device counts."""
-    lake.append_changes(records, path, batch_id)
-
-
-def current_consents(spark: SparkSession, path: str) -> DataFrame:
-    return lake.latest_rows(spark.read.parquet(path), ["device_id"], [F.col("consent_time")])
+def record_consents(records: DataFrame, path: str, batch_id: int, schema: str = CONSENT_STATE,
+                    order: Sequence[Column] | None = None, count: int = buckets.BUCKETS) -> None:
+    """Bring the state of consents up to date: the last record per device, in buckets by device of which a
+    batch rewrites those that it touches. Of records of the same time a refusal counts. A batch that
+    is run again starts from the state before it. Records without a device are dropped."""
+    names = [f.name for f in records.sparkSession.createDataFrame([], schema).schema]
+    fresh = records.select(*names).filter("device_id IS NOT NULL")
+    order = list(order) if order else [F.col("consent_time"), ~F.col("opted_in")]
+    wanted = buckets.touched(fresh, "device_id", count)
+    known = buckets.read(records.sparkSession, path, schema, wanted, batch_id, "device_id")
+    state = lake.latest_rows(known.unionByName(fresh), ["device_id"], order)
+    buckets.write(state, path, wanted, batch_id, "device_id", count)
+
+
+def current_consents(spark: SparkSession, path: str, schema: str = CONSENT_STATE,
+                     devices: DataFrame | None = None, count: int = buckets.BUCKETS) -> DataFrame:
+    """The state of consents, or the part of it that may hold the given devices."""
+    wanted = range(count) if devices is None else buckets.touched(devices, "device_id", count)
+    return buckets.read(spark, path, schema, wanted, buckets.NEWEST, "device_id")

@@ -159,14 +159,17 @@ def manufacturer_summary(points: DataFrame, share: float = REVENUE_SHARE) -> Dat
 
 def partner_statistics(points: DataFrame) -> DataFrame:
     """Per maker, and per maker and segment: devices, fingerprints, programs, revenue.
-    Grouping sets give both levels in one pass; the maker's own row has no segment."""
-    return points.groupingSets(
+    Points are first counted per device and program, so that the two levels and their distinct counts
+    copy those rows only; the maker's own row has no segment."""
+    counted = points.groupBy("manufacturer", "segment", "device_id", "content_id").agg(
+        F.count(F.lit(1)).alias("_points"), F.sum("price").alias("_price"))
+    return counted.groupingSets(
         [["manufacturer"], ["manufacturer", "segment"]], "manufacturer", "segment"
     ).agg(
         F.count_distinct("device_id").alias("active_devices"),
-        F.count(F.lit(1)).alias("fingerprints"),
+        F.sum("_points").alias("fingerprints"),
         F.count_distinct("content_id").alias("programs"),
-        F.sum("price").alias("revenue"),
+        F.sum("_price").alias("revenue"),
     )
 
 

@@ -310,6 +310,15 @@ def device_index(members: DataFrame) -> DataFrame:
     )
 
 
+def set_sizes(members: DataFrame, first: str, second: str, member: str = "device_id") -> DataFrame:
+    """Members of either segment, of both and of only one, from one grouping of flags per member."""
+    a, b = (F.coalesce(F.bool_or(F.col("segment_id") == i), F.lit(False)) for i in (first, second))
+    flags = members.filter(F.col("segment_id").isin(first, second)).groupBy(member).agg(a.alias("a"), b.alias("b"))
+    return flags.agg(
+        F.count(F.lit(1)).alias("union_size"), F.count_if(F.col("a") & F.col("b")).alias("common_size"),
+        F.count_if(~F.col("b")).alias("only_first"), F.count_if(~F.col("a")).alias("only_second"))
+
+
 def intersection_size(members: DataFrame, ids: Sequence[str], member: str = "device_id") -> DataFrame:
     """Members of all the named segments; one id gives its size, none gives 0."""
     wanted = sorted(set(ids))
@@ -478,6 +487,52 @@ def reach_by_daypart(members: DataFrame, viewership: DataFrame) -> DataFrame:
     )
 
 
+HISTORY_DAYS = 90
+
+
+def definition_versions(changes: DataFrame, now: Column, history_days: int = HISTORY_DAYS) -> DataFrame:
+    """Which version of a definition held when: `valid_from` on, up to but not on `valid_to` (null: still).
+
+    `changes` has segment_id, changed_on (date), version, status and whatever the definition consists of. Of
+    changes of one day that with the greatest version counts. A segment ends on the first day on which it was archived
+    and cannot come back; `history_days` after that day its history is gone.
+    """
+    others = [c for c in changes.columns if c not in ("segment_id", "changed_on", "status")]
+    gone = F.col("status") == "archived"
+    # One row per segment and day reaches the window, however many changes there were.
+    days = changes.groupBy("segment_id", "changed_on").agg(
+        F.coalesce(F.bool_or(gone), F.lit(False)).alias("_gone"),
+        F.max_by(F.struct(*others), "version").alias("_last"))
+    segment = W.partitionBy("segment_id")
+    ended = days.withColumn("archived_on", F.min(F.when(F.col("_gone"), F.col("changed_on"))).over(segment))
+    held = ended.filter(
+        F.col("archived_on").isNull()
+        | ((F.col("changed_on") < F.col("archived_on")) & (F.date_add("archived_on", history_days) >= now)))
+    until = F.lead("changed_on").over(segment.orderBy("changed_on"))
+    return held.select(
+        "segment_id", F.col("changed_on").alias("valid_from"),
+        F.coalesce(until, "archived_on").alias("valid_to"), "_last.*")
+
+
+def version_on(rows: DataFrame, versions: DataFrame, day: str) -> DataFrame:
+    """Rows (segment_id, a date) with the `version` that held on their date, null where none did.
+
+    The dates of a segment and the starts of its versions are put in one line, one row each a day, and
+    the last start is carried along; the rows themselves only meet the outcome, by an equal join.
+    """
+    asked = rows.select("segment_id", F.col(day).alias("_day")).distinct().select(
+        "segment_id", "_day", F.lit(None).cast(versions.schema["valid_from"].dataType).alias("valid_from"))
+    starts = versions.select("segment_id", F.col("valid_from").alias("_day"), "valid_from")
+    line = asked.withColumn("_asked", F.lit(True)).unionByName(starts.withColumn("_asked", F.lit(False)))
+    order = W.partitionBy("segment_id").orderBy("_day", "_asked")
+    found = line.withColumn("valid_from", F.last("valid_from", True).over(order)).filter("_asked").drop("_asked")
+    held = found.join(versions.select("segment_id", "valid_from", "valid_to", "version"), ["segment_id", "valid_from"])
+    held = held.filter(F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to")))
+    joined = rows.withColumn("_day", F.col(day)).join(
+        held.select("segment_id", "_day", "version"), ["segment_id", "_day"], "left")
+    return joined.select(*rows.columns, "version")
+
+
 def soft_delete(segments: DataFrame, ids: Iterable[str], at: Column) -> DataFrame:
     """Archive segments; their rows stay until the retention policy takes them."""
     gone = F.col("segment_id").isin(list(ids))

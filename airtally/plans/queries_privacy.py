@@ -400,19 +400,51 @@ def hash_line_source(spark, sf):
     return files.read_hash_lines(spark, path)
 
 
-@query("manifest_source", """SELECT 'c-' || p_partkey AS content_id, p_name AS title, 'w' || p_partkey AS wav FROM part""")
-def manifest_source(spark, sf):
-    """Content manifests written as JSON documents and read again."""
+def manifests(spark, sf):
+    """Manifests of fifty items, titles with braces and quotes, every third document followed by one cut short."""
     path = scratch_path(spark, "manifest")
     p = d.table(spark, sf, "part")
     item = F.struct(
-        F.concat(F.lit("c-"), "p_partkey").alias("content_id"), F.col("p_name").alias("title"),
+        F.concat(F.lit("c-"), "p_partkey").alias("content_id"), F.concat(F.lit('{"Live"} {'), "p_name", F.lit("} {HD\\")).alias("title"),
         F.concat(F.lit("w"), "p_partkey").alias("wav"),
     )
     # Fifty items per document, however many there are in all.
     block = F.floor(F.col("p_partkey") / 50)
-    p.groupBy(block).agg(F.collect_list(item).alias("items")).select("items").write.json(path)
-    return files.read_manifest(spark, path).select("content_id", "title", "wav")
+    documents = p.groupBy(block.alias("block")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("value"))
+    cut = F.when(F.col("block") % 3 == 0, F.concat(F.lit('\n{"items": [{"content_id": "lost-'), "block", F.lit('", "title": "{a} {')))
+    documents.select(F.concat("value", F.lit(" "), F.lit('{"items": []}'), F.coalesce(cut, F.lit(""))).alias("value")).write.text(path)
+    return path
+
+
+@query("manifest_source", """SELECT 'c-' || p_partkey AS content_id, '{"Live"} {' || p_name || '} {HD\\' AS title, 'w' || p_partkey AS wav FROM part""")
+def manifest_source(spark, sf):
+    """Content manifests written as JSON documents and read again."""
+    return files.read_manifest(spark, manifests(spark, sf)).select("content_id", "title", "wav")
+
+
+@query("manifest_broken", """SELECT '{"items": [{"content_id": "lost-' || b || '", "title": "{a} {' AS value
+FROM (SELECT DISTINCT p_partkey // 50 AS b FROM part) WHERE b % 3 = 0""")
+def manifest_broken(spark, sf):
+    """What of the same manifests is no document."""
+    return files.read_broken_manifests(spark, manifests(spark, sf)).select(F.trim("value").alias("value"))
+
+
+@query("consent_state", d.views("consent_events") + """, c AS (SELECT device_id, consent_time,
+  event_id % 5 = 0 OR opted_in AS opted_in, coalesce(nullif(jurisdiction, 'US'), 'EU') AS jurisdiction FROM consent_events)
+SELECT device_id, consent_time, bool_and(opted_in) AS opted_in, min(jurisdiction) AS jurisdiction FROM c
+WHERE (device_id, consent_time) IN (SELECT (device_id, max(consent_time)) FROM c GROUP BY device_id) GROUP BY 1, 2""")
+def consent_state(spark, sf):
+    """Consent records with defaults for a choice and a jurisdiction that are not named, recorded in two batches
+    of which the second runs twice."""
+    events = d.consent_events(spark, sf).withColumns({
+        "opted_in": F.when(F.col("event_id") % 5 != 0, F.col("opted_in")),
+        "jurisdiction": F.when(F.col("jurisdiction") != "US", F.col("jurisdiction"))})
+    path = scratch_path(spark, "consent-state")
+    for batch_id, part in ((1, 0), (2, 1), (2, 1)):
+        privacy.record_consents(
+            privacy.consent_records(events.filter(F.col("event_id") % 2 == part)), path, batch_id, count=8)
+    return privacy.current_consents(spark, path, count=8).select(
+        "device_id", "consent_time", "opted_in", "jurisdiction")
 
 
 @query("audio_fingerprints")

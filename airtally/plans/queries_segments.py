@@ -10,6 +10,7 @@ from airtally.functions import codec, scoring
 from airtally.operators import segments as sg
 from airtally.plans import domain as d
 from airtally.plans.registry import query
+from airtally.session import saved
 
 AS_OF = "2024-01-31"
 
@@ -209,17 +210,54 @@ SELECT (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS union_s
        (SELECT count(*) FROM a WHERE device_id NOT IN (SELECT device_id FROM b)) AS only_first,
        (SELECT count(*) FROM b WHERE device_id NOT IN (SELECT device_id FROM a)) AS only_second""")
 def segment_set_operations(spark, sf):
-    m = members(spark, sf)
-    a = m.filter(F.col("segment_id") == "seg_or").select("device_id").distinct()
-    b = m.filter(F.col("segment_id") == "seg_income").select("device_id").distinct()
-    sizes = [
-        ("union_size", sg.add_members(a, b)),
-        ("common_size", sg.contains(a, b, ["device_id"])),
-        ("only_first", sg.only_in(a, b)),
-        ("only_second", sg.remove_members(b, a, ["device_id"])),
-    ]
-    columns = [f.agg(F.count(F.lit(1)).alias("n")).scalar().alias(n) for n, f in sizes]
-    return m.agg(F.count(F.lit(1)).alias("n")).select(*columns)
+    return sg.set_sizes(members(spark, sf), "seg_or", "seg_income")
+
+
+@query("segment_set_members", _M + """, a AS (SELECT DISTINCT device_id FROM members WHERE segment_id = 'seg_or'),
+b AS (SELECT DISTINCT device_id FROM members WHERE segment_id = 'seg_income')
+SELECT device_id, 'either' AS kind FROM (SELECT * FROM a UNION SELECT * FROM b)
+UNION ALL SELECT device_id, 'both' FROM a WHERE device_id IN (SELECT device_id FROM b)
+UNION ALL SELECT device_id, 'only_first' FROM a WHERE device_id NOT IN (SELECT device_id FROM b)
+UNION ALL SELECT device_id, 'only_second' FROM b WHERE device_id NOT IN (SELECT device_id FROM a)""")
+def segment_set_members(spark, sf):
+    """The same four sets as lists of members."""
+    both = saved(members(spark, sf).filter(F.col("segment_id").isin("seg_or", "seg_income")).select(
+        "segment_id", "device_id").distinct(), "sets")
+    a = both.filter(F.col("segment_id") == "seg_or").select("device_id")
+    b = both.filter(F.col("segment_id") == "seg_income").select("device_id")
+    sets = {
+        "either": sg.add_members(a, b), "both": sg.contains(a, b, ["device_id"]),
+        "only_first": sg.only_in(a, b), "only_second": sg.remove_members(b, a, ["device_id"]),
+    }
+    named = [f.select("device_id", F.lit(kind).alias("kind")) for kind, f in sets.items()]
+    return reduce(lambda x, y: x.unionByName(y), named)
+
+
+_NOW = "1998-09-01"
+
+
+@query("definitions_on_date", f"""WITH c AS (SELECT 'seg-' || (o_custkey % 60) AS segment_id, CAST(o_orderdate AS DATE) AS d, o_orderkey AS v,
+  o_orderkey % 1009 = 0 AS gone FROM orders),
+ends AS (SELECT segment_id, min(d) AS archived_on FROM c WHERE gone GROUP BY 1),
+ver AS (SELECT segment_id, d, max(v) AS v FROM c LEFT JOIN ends USING (segment_id)
+  WHERE archived_on IS NULL OR (d < archived_on AND archived_on + INTERVAL 90 DAY >= DATE '{_NOW}') GROUP BY 1, 2),
+asked AS (SELECT 'seg-' || (l_suppkey % 60) AS segment_id, CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM lineitem GROUP BY 1, 2),
+found AS (SELECT k.segment_id, k.d, k.n, ver.v FROM asked k ASOF LEFT JOIN ver ON k.segment_id = ver.segment_id AND k.d >= ver.d)
+SELECT f.segment_id, CASE WHEN e.archived_on <= f.d THEN NULL ELSE f.v END AS version, CAST(sum(f.n) AS BIGINT) AS views
+FROM found f LEFT JOIN ends e ON f.segment_id = e.segment_id GROUP BY 1, 2""")
+def definitions_on_date(spark, sf):
+    """Views by the version of the segment's definition that held on their day; some segments were
+    archived, some of these longer ago than history is kept."""
+    changes = d.table(spark, sf, "orders").select(
+        F.concat(F.lit("seg-"), F.col("o_custkey") % 60).alias("segment_id"),
+        F.col("o_orderdate").cast("date").alias("changed_on"), F.col("o_orderkey").alias("version"),
+        F.when(F.col("o_orderkey") % 1009 == 0, "archived").otherwise("active").alias("status"))
+    views = d.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("seg-"), F.col("l_suppkey") % 60).alias("segment_id"),
+        F.col("l_shipdate").cast("date").alias("day"))
+    versions = sg.definition_versions(changes, as_of(_NOW))
+    return sg.version_on(views, versions, "day").groupBy("segment_id", "version").agg(
+        F.count(F.lit(1)).alias("views"))
 
 
 @query("segment_transitions", d.views("viewership_enriched") + _members_cte("today") + _members_cte("earlier", "2024-01-04") + """,

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from airtally.operators import ingest
+from airtally.operators import ingest, privacy
 from airtally.operators import segments as sg
 from airtally.plans import domain as d
 from airtally.plans import queries_ingest as qi
@@ -54,8 +55,9 @@ def stream_enriched(spark, sf):
         F.floor(F.col("value") * 60).cast("bigint").alias("duration_sec"),
         "manufacturer", "model", "ip_address",
     )
-    out = drain(spark, jobs.enriched(matched), "enriched")
-    return out.select(
+    path = scratch_path(spark, "lake")
+    drain_batches(spark, jobs.enriched(matched), jobs.lake_sink(path), "enriched")
+    return lake.read_viewership(spark, path).select(
         "device_id", "household_id", "content_id", "watch_date", "watch_hour", "watch_start_utc"
     )
 
@@ -172,13 +174,19 @@ def consent_stream(spark, sf):
     )
 
 
+_STATE = "device_id string, opted_in boolean, consent_time bigint, event_id bigint"
+
+
+def consent_changes(path):
+    return jobs.consent_sink(path, _STATE, [F.col("consent_time"), F.col("event_id")], 8)
+
+
 @query("stream_consents", _CONSENTED + " SELECT device_id, opted_in, consent_time FROM latest")
 def stream_consents(spark, sf):
     """Consent changes as they come in, and the state they lead to."""
     path = scratch_path(spark, "consents")
-    drain_batches(spark, consent_stream(spark, sf), jobs.upsert_sink(path, ["device_id"]), "consents")
-    order = [F.col("consent_time"), F.col("event_id")]
-    state = lake.latest_rows(spark.read.parquet(path), ["device_id"], order)
+    drain_batches(spark, consent_stream(spark, sf), consent_changes(path), "consents")
+    state = privacy.current_consents(spark, path, _STATE, count=8)
     return state.select("device_id", "opted_in", "consent_time")
 
 
@@ -188,16 +196,57 @@ SELECT event_id FROM fp WHERE device_id NOT IN (SELECT device_id FROM latest WHE
 def stream_consent_enforcement(spark, sf):
     """Fingerprints of a stream without those of devices that opted out."""
     consents, kept = scratch_path(spark, "consents"), scratch_path(spark, "allowed")
-    drain_batches(spark, consent_stream(spark, sf), jobs.upsert_sink(consents, ["device_id"]), "c")
-    order = [F.col("consent_time"), F.col("event_id")]
+    drain_batches(spark, consent_stream(spark, sf), consent_changes(consents), "c")
+    drain_batches(spark, fingerprint_stream(spark, sf), jobs.enforcement_sink(consents, kept, _STATE, count=8), "enforce")
+    return spark.read.parquet(kept).select("event_id")
 
-    def run(batch, batch_id):
-        state = lake.latest_rows(spark.read.parquet(consents), ["device_id"], order)
-        allowed = ingest.consent_filter(batch, state, "opt_out")
-        jobs.write_batch(allowed.select("event_id"), kept, batch_id)
 
-    drain_batches(spark, fingerprint_stream(spark, sf), run, "enforce")
-    return spark.read.parquet(kept).select("event_id")
+@query("stream_restart", d.views("fingerprints") + qi._gap_sql(
+    "SELECT manufacturer, timestamp_utc AS t FROM fingerprints", "manufacturer", 300)
+    + f" AND max(t) + 300 <= {_WM}")
+def stream_restart(spark, sf):
+    """Sessions of a stream that stops and starts again: the first start fails after it has written a
+    batch, which the second one runs again; the third one finds the later half of the events."""
+    source, out = scratch_path(spark, "halves"), scratch_path(spark, "restarted")
+    checkpoint = scratch_path(spark, "restarted-checkpoint")
+    f = d.fingerprints(spark, sf).select("manufacturer", "timestamp_utc")
+    middle = f.agg(F.percentile_approx("timestamp_utc", 0.5)).first()[0]
+    with jobs.rocksdb_state(spark):
+        f.filter(F.col("timestamp_utc") <= middle).write.parquet(source)
+        stream = spark.readStream.schema(f.schema).parquet(source)
+        found = jobs.session_windows(stream, ["manufacturer"], "timestamp_utc")
+        failed = []
+
+        def sink(batch, batch_id):
+            jobs.write_batch(batch, out, batch_id)
+            if not failed and not batch.isEmpty():
+                failed.append(batch_id)
+                raise RuntimeError("stopped after the write")
+
+        def run():
+            jobs.start(found.writeStream.foreachBatch(sink), checkpoint, once=True).awaitTermination()
+
+        try:
+            run()
+        except StreamingQueryException:
+            if not failed:
+                raise
+        run()
+        f.filter(F.col("timestamp_utc") > middle).write.mode("append").parquet(source)
+        run()
+    return spark.read.parquet(out).select(*found.columns)
+
+
+@query("keyed_topic", d.views("fingerprints") + """
+SELECT device_id, count(*) AS events, 1::BIGINT AS files FROM fingerprints WHERE device_id IS NOT NULL GROUP BY 1""")
+def keyed_topic(spark, sf):
+    """Fingerprints as a topic of files: a device's messages lie in one file."""
+    path = scratch_path(spark, "topic")
+    messages = fingerprint_stream(spark, sf).select("device_id", "fingerprint_hash", "timestamp_utc")
+    drain_batches(spark, messages, jobs.keyed_sink(path), "topic")
+    back = spark.read.schema("device_id string").json(path)
+    return back.select("device_id", F.col("_metadata.file_path").alias("file")).groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("file").alias("files"))
 
 
 @query("stream_reference_upsert", """WITH w AS (SELECT o_orderkey AS version, sha256('ref-' || (o_custkey % 500)) AS fingerprint_hash, 'c-' || o_custkey AS content_id FROM orders)

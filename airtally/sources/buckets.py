@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from airtally.sources import folders
 
 BUCKETS = 256
+NEWEST = 2**63 - 1
 
 
 def bucket_of(key: Column | str, buckets: int = BUCKETS) -> Column:

@@ -8,17 +8,53 @@ from pyspark.sql import functions as F
 from airtally import schemas
 from airtally.functions import codec, times
 from airtally.session import scratch_path
-from airtally.sources import folders
+from airtally.sources import folders, streams
+
+
+def manifest_texts(whole: DataFrame) -> DataFrame:
+    """Texts of single documents (value) from texts with any number of them.
+
+    Documents end with a brace and the next one begins with one, with white space between; inside a document
+    a comma would stand there. Titles may hold the same, so what stands within quotes is left alone. Line
+    breaks are never within quotes: a line that leaves a quote open ends a document that was cut short.
+    """
+    # Control characters cannot stand in JSON as they are, so they can stand for escaped characters.
+    hidden = F.replace(F.replace("value", F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002"))
+
+    def marked_line(line: Column) -> Column:
+        parts = F.split(line, '"')
+        outside = F.transform(
+            parts, lambda part, at: F.when(at % 2 == 0, F.regexp_replace(part, r"\}\s+\{", "}\u0003{")).otherwise(part))
+        return F.concat(F.array_join(outside, '"'), F.when(F.size(parts) % 2 == 0, "\u0003").otherwise(""))
+
+    lines = F.array_join(F.transform(F.split(hidden, "\n"), marked_line), "\n")
+    marked = F.regexp_replace(lines, r"\}[ \t\r]*\n\s*\{", "}\u0003{")
+    cut = whole.select(F.explode(F.split(marked, "\u0003")).alias("hidden"))
+    shown = F.replace(F.replace("hidden", F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
+    return cut.select(shown.alias("value")).filter(F.col("value").rlike(r"\S"))
+
+
+def decode_manifests(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Content items of texts of manifests (value), and the pieces that are no document. A document that
+    was cut short takes no whole one along: of a text that does not decode, lines that are documents count."""
+    good, broken = streams.decode_lenient(manifest_texts(whole), schemas.MANIFEST)
+    pieces = broken.select(F.explode(F.split("value", r"\n\s*(?=\{)")).alias("value"))
+    rescued, left = streams.decode_lenient(pieces, f"{schemas.MANIFEST}, content_id string")
+    # A line that holds an item instead of a document belongs to a document that did not decode.
+    no_document = rescued.filter("items IS NULL").select(F.to_json(F.struct("*")).alias("value"))
+    documents = good.unionByName(rescued.filter("items IS NOT NULL").select("items"))
+    return documents.select(F.inline("items")), left.unionByName(no_document)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Content items of JSON manifests: any number of documents per file, each on one
-    line or spread over many."""
-    whole = spark.read.text(path, wholetext=True)
-    # Between documents there is white space only; between the parts of one, a comma.
-    texts = whole.select(F.explode(F.split("value", r"(?<=\})\s+(?=\{)")).alias("text"))
-    parsed = texts.select(F.from_json("text", schemas.MANIFEST).alias("document"))
-    return parsed.select(F.inline("document.items"))
+    line or spread over many. `read_broken_manifests` has what did not decode."""
+    return decode_manifests(spark.read.text(path, wholetext=True))[0]
+
+
+def read_broken_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Pieces (value) of manifests that are no document, such as documents cut short."""
+    return decode_manifests(spark.read.text(path, wholetext=True))[1]
 
 
 def parse_hash_lines(lines: DataFrame) -> DataFrame:

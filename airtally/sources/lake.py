@@ -35,13 +35,21 @@ def write_viewership(viewership: DataFrame, path: str, mode: str = "append",
     )
 
 
+def write_viewership_batch(viewership: DataFrame, path: str, batch_id: int,
+                           partitions: tuple[str, ...] = PARTITIONS) -> None:
+    """A batch of a stream, laid out and sized like any other write. The batch is the last level of
+    folders, so a batch that is run again replaces what it wrote and nothing else."""
+    rows = viewership.withColumn("batch_id", F.lit(batch_id))
+    write_viewership(rows, path, "overwrite", (*partitions, "batch_id"))
+
+
 def read_viewership(spark: SparkSession, path: str, since: str | None = None,
                     columns: list[str] | None = None) -> DataFrame:
     """Days from `since` on; older folders are not opened. The folder names are kept
     as text, as in the table's own layout."""
     table = spark.read.parquet(path).withColumn(
         "watch_date", F.col("watch_date").cast("string")
-    )
+    ).drop("batch_id")
     if since is not None:
         table = table.filter(F.col("watch_date") >= since)
     return table.select(*columns) if columns else table

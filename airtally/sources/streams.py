@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +130,11 @@ def write_topic(frame: DataFrame, topic: str, checkpoint: str, path: str | None
     )
 
 
-def write_keyed(frame: DataFrame, path: str, key: str = "device_id") -> None:
-    """Batch form: all messages of a key end up in the same file."""
-    frame.repartition(key).write.mode("append").json(path)
+def in_key_order(frame: DataFrame, key: str = "device_id", order: Sequence[str] = ()) -> DataFrame:
+    """All messages of a key in the same partition, side by side and in order."""
+    return frame.repartition(key).sortWithinPartitions(key, *order)
+
+
+def write_keyed(frame: DataFrame, path: str, key: str = "device_id", order: Sequence[str] = ()) -> None:
+    """Batch form: all messages of a key end up in the same file, in order."""
+    in_key_order(frame, key, order).write.mode("append").json(path)

@@ -4,25 +4,39 @@ stream itself; only what needs state across batches is written here."""
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from airtally import schemas
 from airtally.functions import hashes
-from airtally.operators import enrich, ingest, matching, sessions
+from airtally.operators import enrich, ingest, matching, privacy, sessions
 from airtally.session import ROCKSDB_STATE_STORE, temporary_tables
-from airtally.sources import folders, lake, streams
+from airtally.sources import buckets, folders, lake, streams
 
 CHECKPOINT_SECONDS = 60
 SESSION_WATERMARK = "10 minutes"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State on local disk with changes in the checkpoint folder, not in memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE_STORE)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state on local disk and a log of its changes in the checkpoint
+    folder, from which another executor or a later start goes on."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE_STORE,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def start(writer, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -211,6 +225,54 @@ def write_batch(frame: DataFrame, path: str, batch_id: int) -> None:
     lake.append_changes(frame, path, batch_id)
 
 
+def lake_sink(path: str, partitions: tuple[str, ...] = lake.PARTITIONS):
+    """Batch function that adds enriched views to the lake in the lake's own layout."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        lake.write_viewership_batch(batch, path, batch_id, partitions)
+
+    return run
+
+
+def keyed_sink(path: str, key: str = "device_id", order: Sequence[str] = ("timestamp_utc",)):
+    """Batch function for the file form of a topic: within a batch a key is in one file, in order."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        (
+            streams.in_key_order(batch, key, order).withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id").json(path)
+        )
+
+    return run
+
+
+def consent_sink(path: str, schema: str = privacy.CONSENT_STATE, order: Sequence[Column] | None = None,
+                 count: int = buckets.BUCKETS):
+    """Batch function that brings the state of consents up to date."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        privacy.record_consents(batch, path, batch_id, schema, order, count)
+
+    return run
+
+
+def enforcement_sink(consents: str, path: str, schema: str = privacy.CONSENT_STATE,
+                     mode: str = "opt_out", count: int = buckets.BUCKETS):
+    """Batch function that writes the events of devices that did not opt out. A batch reads the buckets
+    of its own devices, as they are when it runs."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            state = privacy.current_consents(batch.sparkSession, consents, schema, batch, count)
+            write_batch(ingest.consent_filter(batch, state, mode), path, batch_id)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def match_sink(references: Callable[[], DataFrame], matched_path: str, unmatched_path: str,
                consents: Callable[[], DataFrame] | None = None,
                tolerance: int = matching.DEFAULT_TOLERANCE, default_jurisdiction: str = "EU",

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +270,26 @@ def test_status_page_and_soft_delete(spark):
     named = frame.withColumn("segment_id", F.col("id").cast("string"))
     gone = sg.soft_delete(named, ["1"], F.lit(7)).filter("status = 'archived'").collect()
     assert [(r.id, r.updated_at) for r in gone] == [(1, 7)]
+
+
+def test_versions_of_definitions_on_a_date(spark):
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    edits = [("s", 0, 1, "active", "x"), ("s", 5, 2, "active", "y"), ("s", 5, 3, "active", "z"), ("s", 9, 4, "archived", None),
+             ("s", 12, 5, "active", "back"), ("t", 0, 6, "active", "t"), ("t", 1, 7, "archived", None), ("u", 3, 8, None, "u")]
+    changes = spark.createDataFrame(
+        [(i, day(n), v, st, r) for i, n, v, st, r in edits],
+        "segment_id string, changed_on date, version bigint, status string, rules string")
+    versions = sg.definition_versions(changes, F.lit(day(95)).cast("date"))
+    assert sorted((r.segment_id, r.valid_from, r.valid_to, r.version, r.rules) for r in versions.collect()) == [
+        ("s", day(0), day(5), 1, "x"), ("s", day(5), day(9), 3, "z"), ("u", day(3), None, 8, "u")]
+    views = [("s", -1), ("s", 0), ("s", 4), ("s", 5), ("s", 5), ("s", 8), ("s", 9), ("s", 13), ("t", 0), ("u", 2), ("u", 400), ("none", 1)]
+    rows_ = spark.createDataFrame([(i, day(n)) for i, n in views] + [("s", None)], "segment_id string, day date")
+    got = sorted(((r.segment_id, r.day, r.version) for r in sg.version_on(rows_, versions, "day").collect()), key=str)
+    held = {("s", 0): 1, ("s", 4): 1, ("s", 5): 3, ("s", 8): 3, ("u", 400): 8}
+    assert got == sorted([(i, day(n), held.get((i, n))) for i, n in views] + [("s", None, None)], key=str)
+
+
+def test_sizes_of_two_sets(spark):
+    m = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("b", "2"), ("b", "3"), ("c", "4")], "segment_id string, device_id string")
+    assert tuple(sg.set_sizes(m, "a", "b").first()) == (3, 1, 1, 1)
+    assert tuple(sg.set_sizes(m.limit(0), "a", "b").first()) == (0, 0, 0, 0)

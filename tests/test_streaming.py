@@ -270,3 +270,34 @@ def test_hopping_and_rates(spark, tmp_path):
     hops = jobs.hopping_counts(source(spark, other, data, EVENT), ["device_id"], "timestamp_utc")
     got = drain(spark, hops.select(F.unix_timestamp("window.start").alias("s"), "events"))
     assert {r.s: r.events for r in got.collect()}[0] == 30 and got.count() == 29
+
+
+def test_lake_and_topic_batches_replace_themselves(spark, tmp_path):
+    views = spark.createDataFrame(
+        [(f"d{i % 3}", f"2024-01-0{1 + i % 2}", "N", "g", i) for i in range(20)],
+        "device_id string, watch_date string, network string, genre string, timestamp_utc int")
+    path = str(tmp_path / "lake")
+    sink = jobs.lake_sink(path)
+    for batch_id in (0, 1, 1):
+        sink(views, batch_id)
+    back = lake.read_viewership(spark, path)
+    assert back.count() == 40 and "batch_id" not in back.columns
+    assert lake.read_viewership(spark, path, "2024-01-02").count() == 20
+    topic = tmp_path / "topic"
+    for batch_id in (0, 0):
+        jobs.keyed_sink(str(topic))(views.orderBy(F.rand(1)), batch_id)
+    seen = {}
+    for part in topic.rglob("part-*.json"):
+        read = [json.loads(line) for line in part.read_text().splitlines()]
+        for device in {r["device_id"] for r in read}:
+            assert device not in seen
+            seen[device] = [r["timestamp_utc"] for r in read if r["device_id"] == device]
+    assert seen == {f"d{k}": list(range(k, 20, 3)) for k in range(3)}
+
+
+def test_rocksdb_state_is_for_the_queries_inside(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    with jobs.rocksdb_state(spark):
+        assert "RocksDB" in spark.conf.get(key)
+    assert spark.conf.get(key, None) == before

@@ -196,8 +196,16 @@ def test_consent_records_and_state(spark, tmp_path):
     privacy.record_consents(privacy.consent_records(second), path, 2)
     record = privacy.consent_records(first).first()
     assert (record.opted_in, record.jurisdiction, record.ip_at_consent, record.purposes) == (True, "EU", "1.2.3.0", None)
+    privacy.record_consents(privacy.consent_records(second), path, 2)
     state = privacy.current_consents(spark, path).first()
     assert (state.opted_in, state.jurisdiction) == (False, "US")
+    # A record that comes late changes nothing, a refusal wins at the same time, and no device no record.
+    late = spark.createDataFrame([("d", True, 0, None, None, None), ("e", True, 5, None, None, None), ("e", False, 5, None, None, None), (None, True, 9, None, None, None)], schema)
+    privacy.record_consents(privacy.consent_records(late), path, 3)
+    everyone = privacy.current_consents(spark, path)
+    assert sorted((r.device_id, r.opted_in, r.consent_time) for r in everyone.collect()) == [("d", False, 2), ("e", False, 5)]
+    asked = privacy.current_consents(spark, path, devices=spark.createDataFrame([("e",)], "device_id string"))
+    assert [r.device_id for r in asked.collect() if r.device_id == "e"] == ["e"]
     assert privacy.valid_consents(privacy.consent_records(first)).count() == 0
 
 
@@ -222,6 +230,25 @@ def test_reports_exports_and_manifests(spark, tmp_path):
     assert (seeded.content_id, seeded.genre, seeded.episode) == ("c1:1500", "unknown", None)
 
 
+def test_manifests_with_braces_and_cut_documents(spark, tmp_path):
+    path = tmp_path / "odd.json"
+    path.write_text(
+        '{"items":[{"content_id":"a","title":"{Live} {HD}"},{"content_id":"b"}]}\n'
+        '{"items":[{"content_id":"c","title":"say \\"}\\" {x} {y\\\\"}]} {"items":[{"content_id":"d"}]}\n'
+        '{"items":[{"content_id":"lost","title":"{a} {\n'
+        '{"items":[\n{"content_id":"e"},\n{"content_id":"f","title":"} {"}\n]}\n'
+        '{"items":[{"content_id":"lost too"},\n'
+        '{"items":[{"content_id":"g"}]}\n'
+        'no json at all')
+    items = {r.content_id: r.title for r in files.read_manifest(spark, str(path)).collect()}
+    assert items == {"a": "{Live} {HD}", "b": None, "c": 'say "}" {x} {y\\', "d": None, "e": None, "f": "} {", "g": None}
+    broken = [r.value for r in files.read_broken_manifests(spark, str(path)).collect()]
+    assert sum("lost" in v for v in broken) == 2 and sum("no json" in v for v in broken) <= 1
+    empty = tmp_path / "empty.json"
+    empty.write_text("")
+    assert files.read_manifest(spark, str(empty)).count() == files.read_broken_manifests(spark, str(empty)).count() == 0
+
+
 def test_dimensions(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "dims/segments"))
     got = files.read_dimension(spark, str(tmp_path / "dims"), "segments", F.col("id") > 7)
