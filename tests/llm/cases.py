@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, and documents with every odd case in them."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -95,6 +96,11 @@ def phrase_places(text, phrases):
     return len(words), sorted(found)
 
 
+@functools.cache
+def _place(pattern):
+    return re.compile(f"(?<= )(?=({pattern}) )")
+
+
 def detections(text, rules):
     """Spans of all rules over the line of words, without those inside a span that comes before them."""
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -102,7 +108,9 @@ def detections(text, rules):
     line = " " + " ".join(words) + " "
     found = []
     for number, rule in enumerate(rules):
-        for m in re.finditer(f"(?<= )(?=({rule.pattern}) )", line):
+        if not set(rule.required) <= set(words):
+            continue
+        for m in _place(rule.pattern).finditer(line):
             start = line[:m.start()].count(" ") - 1
             found.append((start, start + m[1].count(" ") + 1, rule.priority, number, rule.label))
     return sorted(

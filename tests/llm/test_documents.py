@@ -140,7 +140,7 @@ def test_license_keywords_lose_nothing(spark):
     for rule in rules:
         for text in cases.all_matching_texts(rule.pattern):
             assert re.fullmatch(rule.pattern, text) and not set(text.split()).isdisjoint(rule.keywords), (rule, text)
-    texts = [text for rule in rules for text in cases.matching_texts(rule.pattern)]
+    texts = [" ".join([*rule.required, text]) for rule in rules for text in cases.matching_texts(rule.pattern)]
     texts += ["licensed under the Expat license", "MIT No Attribution License", "FreeBSD License",
               "distributed under this licence", "SPDX-License-Identifier: GPLv2",
               "SPDX-License-Identifier: LGPLv3", "SPDX-License-Identifier: AGPLv3"]
@@ -152,13 +152,59 @@ def test_license_gate_loses_nothing(spark):
     for rule in rules:
         assert rule.stems
         for text in cases.all_matching_texts(rule.pattern):
+            text = " ".join([*rule.required, text])
             assert all(any(stem in text for stem in group) for group in rule.stems), (rule, text)
-    texts = [cases.matching_texts(rule.pattern)[0] for rule in rules]
+    texts = [" ".join([*rule.required, cases.matching_texts(rule.pattern)[0]]) for rule in rules]
     texts += ["Released under MIT.", "Distributed under the BSD 3-Clause", "available under Apache 2.0",
               "published\nunder Mozilla Public 2.0", "All rights\nreserved", "ALL RIGHTS  RESERVED."]
     license_detections(spark, texts, rules)
 
 
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+BSD_BODY = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer."""
+BSD_3 = BSD_BODY + """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission."""
+GPL_HEADER = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
+later version."""
+WORDS_OF_LICENSES = [
+    (MIT_BODY, "mit"), (BSD_BODY, "bsd"), (BSD_3, "bsd,bsd-3-clause"), (GPL_HEADER, "gpl-2"),
+    (GPL_HEADER.replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1"), "lgpl-2.1"),
+    (GPL_HEADER.replace("GNU General", "GNU Affero General").replace("version 2", "version 3"), "agpl-3"),
+    ("to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\"", "mit-0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "zlib"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"),
+    ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-or-later", "bsd-3-clause,gpl-2,mit"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR ISC", "classpath-exception,gpl-2,isc"),
+    ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "apache-2,llvm-exception"),
+    ("SPDX tags help. Take version 2 or mit gloves with you.", "mit"),
+    ("Take 2 or mit gloves with you, and permission to use them is hereby granted by the author.", ""),
+    ("The city redistributed permits without any warranty of fairness.", ""),
+]
+
+
+def test_wordings_and_expressions(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WORDS_OF_LICENSES)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.summarize(licenses.scan(frame)).collect()}
+    assert [got[i].labels for i in range(len(got))] == [labels for _, labels in WORDS_OF_LICENSES]
+    assert all((got[i].score > 0) == bool(labels) for i, (_, labels) in enumerate(WORDS_OF_LICENSES))
+
+
+def test_every_wording_has_its_label(spark):
+    texts = [(label, text) for label, _, wording in licenses.WORDINGS for text in cases.matching_texts(wording)]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.summarize(licenses.scan(frame)).collect()}
+    assert not [(texts[i], labels) for i, labels in got.items() if texts[i][0] not in labels]
+
+
 def test_license_rules_of_a_caller(spark):
     own = [licenses.Rule(0, "x", (), "house rules apply", 0.5), licenses.Rule(1, "y", ("rules",), "rules", 0.5)]
     frame = spark.createDataFrame([(1, "House rules apply; other rules")], "doc_id long, text string")
