@@ -4,8 +4,9 @@ Eleven heuristics each call a text good, bad, or abstain. How often every patter
 counted over all rows (there are 2^7 * 3^4 patterns at most); from these counts expectation-maximisation
 estimates how often each heuristic is right when it votes, and so the probability that a text with a
 given pattern is good. These probabilities are the labels from which a linear
-scorer over hashed character shapes is trained, on a sample of `sample_rows` rows at most. The
-scorer decides on every row.
+scorer over hashed character shapes is trained, on a sample of the texts. The scorer decides on every row.
+
+A text is read once: `measure` finds its votes and its features, and what follows works on these.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airtally.llm.tables import saved
+
 BUCKETS = 1 << 12
 SAMPLE_ROWS = 8000
 KEEP_FROM = 0.5
@@ -110,15 +113,24 @@ class LabelModel:
                 break
 
     def _posterior(self, seen: np.ndarray) -> np.ndarray:
-        weight = np.log(self.accuracy / (1 - self.accuracy))
-        odds = np.log(self.share / (1 - self.share)) + ((seen == GOOD) * 1.0 - (seen == BAD)) @ weight
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        return _posterior(seen, self.share, self.accuracy)
 
     def posterior(self, patterns: list[str]) -> np.ndarray:
         """Probability that a text with these votes is good."""
-        if not patterns:
-            return np.zeros(0)
-        return self._posterior(np.array([[int(v) for v in p] for p in patterns]))
+        return posterior(patterns, self.share, self.accuracy)
+
+
+def _posterior(seen: np.ndarray, share: float, accuracy: np.ndarray) -> np.ndarray:
+    weight = np.log(accuracy / (1 - accuracy))
+    odds = np.log(share / (1 - share)) + ((seen == GOOD) * 1.0 - (seen == BAD)) @ weight
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def posterior(patterns: list[str], share: float, accuracy: np.ndarray) -> np.ndarray:
+    """Probability that a text with these votes is good, under a model's numbers."""
+    if not patterns:
+        return np.zeros(0)
+    return _posterior(np.array([[int(v) for v in p] for p in patterns]), share, accuracy)
 
 
 _SHAPE = np.zeros(256, dtype=np.uint32)
@@ -151,17 +163,36 @@ def features(text: str | None) -> np.ndarray:
     return np.sqrt(sums)
 
 
-def train(inputs: np.ndarray, good: np.ndarray, rounds: int = 300, penalty: float = 1e-5) -> np.ndarray:
+def sparse(text: str | None) -> bytes:
+    """The features that are not 0: their places as 16-bit, then their values as 32-bit numbers. Empty for
+    a text without words, 24 KB at most for any other."""
+    if not text or text.isspace():
+        return b""
+    full = features(text)
+    at = np.flatnonzero(full)
+    return at.astype("<u2").tobytes() + full[at].astype("<f4").tobytes()
+
+
+def _parts(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(vector) // 6
+    return np.frombuffer(vector, "<u2", n), np.frombuffer(vector, "<f4", n, 2 * n)
+
+
+def train(inputs: np.ndarray, good: np.ndarray, rounds: int = 300, penalty: float = 1e-5,
+          stands_for: np.ndarray | None = None) -> np.ndarray:
     """Weights of a logistic scorer on probable labels, by gradient steps with per-weight rates. The
-    classes are not balanced: a score of 0.5 is where the labels say that both are as probable."""
+    classes are not balanced: a score of 0.5 is where the labels say that both are as probable.
+    `stands_for` says how many texts each row stands for, one if not given."""
     weights = np.zeros(inputs.shape[1], dtype=np.float32)
     if not len(inputs):
         return weights
+    each = np.ones(len(inputs)) if stands_for is None else stands_for
+    each = each / each.sum()
     speed = np.zeros_like(weights)
     drift = np.zeros_like(weights)
     for step in range(1, rounds + 1):
         guess = 1 / (1 + np.exp(-np.clip(inputs @ weights, -30, 30)))
-        slope = inputs.T @ ((guess - good) / len(inputs)).astype(np.float32) + penalty * weights
+        slope = inputs.T @ ((guess - good) * each).astype(np.float32) + penalty * weights
         drift = 0.9 * drift + 0.1 * slope
         speed = 0.99 * speed + 0.01 * slope * slope
         weights = weights - 0.3 * (drift / (1 - 0.9 ** step)) / (
@@ -169,85 +200,126 @@ def train(inputs: np.ndarray, good: np.ndarray, rounds: int = 300, penalty: floa
     return weights.astype(np.float32)
 
 
-def scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
-    """Probability that a text is good; 0 for a text without words."""
-    out = np.zeros(len(texts))
-    for i, text in enumerate(texts):
-        if text and not text.isspace():
-            out[i] = features(text) @ weights
-            out[i] = 1 / (1 + np.exp(-min(30.0, max(-30.0, out[i]))))
+def _score(vectors: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Probability that a text with these features is good; 0 for a text without words."""
+    out = np.zeros(len(vectors))
+    for i, vector in enumerate(vectors):
+        if vector:
+            at, values = _parts(vector)
+            odds = float(values.astype(np.float64) @ weights[at])
+            out[i] = 1 / (1 + np.exp(-min(30.0, max(-30.0, odds))))
     return out
 
 
-def _sampled(docs: DataFrame, text: Column, wanted: int, seed: int) -> DataFrame:
-    """About `wanted` of the distinct texts, and no more than 1.5 times as many, the same ones at each run."""
-    hashed = docs.select(text.alias("text")).withColumn("hash", F.xxhash64(F.lit(seed), "text"))
-    # The sketch of the number does not depend on the order of rows either.
-    distinct = hashed.agg(F.approx_count_distinct("hash", 0.02)).first()[0]
-    bound = int(min(1.0, wanted / max(1, distinct)) * (1 << 30))
-    drawn = hashed.filter(F.pmod("hash", F.lit(1 << 30)) < bound)
-    return drawn.groupBy("hash").agg(F.min("text").alias("text")).orderBy("hash").limit(
-        wanted + wanted // 2).select("text")
-
+def scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """Probability that a text is good; 0 for a text without words."""
+    return _score([sparse(text) for text in texts], weights)
 
-def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
-        seed: int = 11) -> tuple[LabelModel, np.ndarray]:
-    """The label model over all rows, and the scorer's weights.
 
-    The scorer is trained in one task on a sample of at most 1.5 * `sample_rows` of the distinct texts,
-    drawn by a hash of the text.
-    """
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
+    """doc_id, hash of the text, its votes and its features, one row per row of `docs`. Save it before
+    it is used more than once."""
     text = F.col(text_col).cast("string")
+    source = docs.select(
+        F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(seed), text).alias("hash"))
+    kind = source.schema["doc_id"].dataType.simpleString()
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pd.Series([votes(t) for t in batch["text"]], dtype=object)
-            counts = found.value_counts()
-            yield pd.DataFrame({"pattern": counts.index, "n": counts.values})
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([votes(t) for t in texts], pa.string()),
+                 pa.array([sparse(t) for t in texts], pa.binary())],
+                ["doc_id", "hash", "votes", "vector"])
 
-    counted = docs.select(text.alias("text")).mapInPandas(vote, "pattern string, n long")
-    patterns = {r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
-    model = LabelModel({p: n for p, n in patterns.items() if p.strip("0")})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return source.mapInArrow(run, f"doc_id {kind}, hash long, votes string, vector binary")
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(t for t in set(group["text"]) if isinstance(t, str) and t.split())
-        good = shared.value.posterior([votes(t) for t in texts])
-        inputs = np.stack([features(t) for t in texts]) if texts else np.zeros((0, BUCKETS), np.float32)
-        return pd.DataFrame({"weights": [train(inputs, good).tobytes()]})
 
-    sample = _sampled(docs, text, sample_rows, seed)
+def _sampled(measured: DataFrame, texts: dict[str, int], wanted: int) -> DataFrame:
+    """About `wanted` distinct texts, and no more than 1.5 times as many, the same ones at each run: hash,
+    votes, vector, stands_for.
+
+    `texts` has the number of distinct texts of each pattern of votes. A pattern gives its part of the
+    sample, but at least an even part of a quarter of it, so that rare patterns teach too; a text
+    stands for as many as its pattern has for each one drawn.
+    """
+    total = sum(texts.values())
+    parts = {p: min(1.0, max(wanted / total, wanted / (4 * len(texts) * n))) for p, n in texts.items() if n}
+    draws = measured.sparkSession.createDataFrame(
+        [(p, int(part * (1 << 30)), 1 / part) for p, part in sorted(parts.items())],
+        "votes string, bound long, stands_for double")
+    # There are 10,368 patterns at most.
+    drawn = measured.filter(F.length("vector") > 0).join(F.broadcast(draws), "votes").filter(
+        F.pmod("hash", F.lit(1 << 30)) < F.col("bound"))
+    return drawn.groupBy("hash").agg(
+        *(F.min(c).alias(c) for c in ("votes", "vector", "stands_for"))).orderBy("hash").limit(
+            wanted + wanted // 2)
+
+
+def fit_measured(measured: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel, np.ndarray]:
+    """The label model over all rows of `measure`, and the scorer's weights.
+
+    The scorer is trained in one task on the features of at most 1.5 * `sample_rows` of the distinct
+    texts, drawn by a hash of the text: 300 MB at most, however long the texts are.
+    """
+    # The sketch of the number of texts does not depend on the order of rows.
+    found = measured.groupBy("votes").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct(F.when(F.length("vector") > 0, F.col("hash")), 0.02).alias("texts")).collect()
+    model = LabelModel({r["votes"]: r["n"] for r in found if r["votes"].strip("0")})
+    share, accuracy = model.share, model.accuracy
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("hash")
+        inputs = np.zeros((len(group), BUCKETS), np.float32)
+        for i, vector in enumerate(group["vector"]):
+            at, values = _parts(vector)
+            inputs[i, at] = values
+        good = posterior(group["votes"].tolist(), share, accuracy)
+        return pd.DataFrame({
+            "weights": [train(inputs, good, stands_for=group["stands_for"].to_numpy()).tobytes()]})
+
+    sample = _sampled(measured, {r["votes"]: r["texts"] for r in found if r["texts"]}, sample_rows)
     row = sample.groupBy(F.lit(0).alias("one")).applyInPandas(learn, "weights binary").first()
     weights = np.frombuffer(row["weights"], dtype=np.float32) if row else np.zeros(BUCKETS, np.float32)
     return model, weights
 
 
-def assess(docs: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str = "doc_id",
-           text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """doc_id, votes, posterior, score, kept, one row per row of `docs`.
+def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
+        seed: int = 11) -> tuple[LabelModel, np.ndarray]:
+    """The label model over all rows, and the scorer's weights; see `fit_measured`."""
+    measured = measure(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), seed=seed)
+    return fit_measured(saved(measured, "quality"), sample_rows)
 
-    Missing, empty and blank texts have only abstentions, score 0, and are not kept. Repeated rows get
-    equal results, an empty table gives none; only the id and the text are looked at.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
+
+def judge(measured: DataFrame, model: LabelModel, weights: np.ndarray, keep_from: float = KEEP_FROM) -> DataFrame:
+    """doc_id, votes, posterior, score, kept, one row per row of `measure`."""
+    shared = measured.sparkSession.sparkContext.broadcast((model.share, model.accuracy, weights))
+    kind = measured.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, scorer = shared.value
+        share, accuracy, scorer = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            patterns = [votes(t) for t in texts]
-            found = scores(texts, scorer)
+            good = posterior(batch.column(1).to_pylist(), share, accuracy)
+            found = _score(batch.column(2).to_pylist(), scorer)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(patterns, pa.string()), pa.array(labels.posterior(patterns)),
-                 pa.array(found), pa.array(found >= keep_from)],
+                [batch.column(0), batch.column(1), pa.array(good), pa.array(found), pa.array(found >= keep_from)],
                 ["doc_id", "votes", "posterior", "score", "kept"])
 
-    return source.mapInArrow(
+    return measured.select("doc_id", "votes", "vector").mapInArrow(
         run, f"doc_id {kind}, votes string, posterior double, score double, kept boolean")
 
 
+def assess(docs: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str = "doc_id",
+           text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
+    """doc_id, votes, posterior, score, kept, one row per row of `docs`.
+
+    Missing, empty and blank texts have only abstentions, score 0, and are not kept. Repeated rows get
+    equal results, an empty table gives none; only the id and the text are looked at.
+    """
+    return judge(measure(docs, id_col, text_col), model, weights, keep_from)
+
+
 def accepted(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
              keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of `docs` that the scorer keeps, with their own columns."""

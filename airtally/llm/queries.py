@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from airtally.llm import (
     bpe, exact_dedup, jaccard, language, licenses, mixing, packing, quality, search, substrings, topk, trie, warc,
 )
-from airtally.llm.tables import table
+from airtally.llm.tables import saved, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -32,9 +32,9 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_quality")
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, weights = quality.fit(docs)
-    return quality.assess(docs, model, weights)
+    measured = saved(quality.measure(table(spark, sf_dir, "documents")), "quality")
+    model, weights = quality.fit_measured(measured)
+    return quality.judge(measured, model, weights)
 
 
 @query("op2_topk", """

@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -164,3 +165,101 @@ def matching_texts(pattern):
 
 def all_matching_texts(pattern):
     return _choices(pattern, True)
+
+
+def chance_of_good(pattern, share, accuracy):
+    good, bad = share, 1 - share
+    for vote, right in zip(pattern, accuracy):
+        if vote != "0":
+            good *= right if vote == "2" else 1 - right
+            bad *= right if vote == "1" else 1 - right
+    return good / (good + bad)
+
+
+def label_model(patterns, rounds=100):
+    """Share of good texts and accuracy of each heuristic, by expectation and maximisation text by text."""
+    patterns = [p for p in patterns if p.strip("0")]
+    share, accuracy = 0.8, [0.8] * len(patterns[0])
+    for _ in range(rounds):
+        good = [chance_of_good(p, share, accuracy) for p in patterns]
+        before, share = share, (sum(good) + 8) / (len(patterns) + 10)
+        for k in range(len(accuracy)):
+            right = sum(g if p[k] == "2" else 1 - g for p, g in zip(patterns, good) if p[k] != "0")
+            voted = sum(p[k] != "0" for p in patterns)
+            accuracy[k] = min(0.99, max(0.55, (right + 8) / (voted + 10)))
+        if abs(before - share) < 1e-9:
+            break
+    return share, accuracy
+
+
+def shape_features(text):
+    """{bucket: value} of the shapes of a text's bytes."""
+    others = [b for b in range(33, 127) if not chr(b).isalnum()]
+
+    def shape(b):
+        kind = 2 if chr(b).islower() or b > 127 else 3 if chr(b).isupper() else 4 if chr(b).isdigit() else 0
+        return 1 if b in b" \t\n\r\x0b\x0c" else kind or (5 + others.index(b) if b in others else 0)
+
+    raw = text.encode()
+    line = [shape(b) for b in b" " + raw + b" "]
+    sums = Counter()
+    for a, b, c in zip(line, line[1:], line[2:]):
+        sums[((a << 12 | b << 6 | c) * 2654435761 & 0xFFFFFFFF) >> 20] += 1 / len(raw)
+    words = raw.split()
+    pairs = list(zip(words, words[1:]))
+    sums[40503 % 4096] += sum(a == b for a, b in pairs) / len(words)
+    sums[2 * 40503 % 4096] += 1 - len(set(pairs)) / max(1, len(pairs)) if len(words) >= 20 else 0
+    sums[3 * 40503 % 4096] += 1
+    return {k: math.sqrt(v) for k, v in sums.items() if v}
+
+
+def scorer(texts, votes, share, accuracy, rounds):
+    """{text: score} after so many gradient steps, weight by weight."""
+    inputs = [shape_features(t) for t in texts]
+    good = [chance_of_good(votes(t), share, accuracy) for t in texts]
+    weights, drift, speed = Counter(), Counter(), Counter()
+
+    def guess(x):
+        return 1 / (1 + math.exp(-sum(v * weights[k] for k, v in x.items())))
+
+    for step in range(1, rounds + 1):
+        slope = Counter({k: 1e-5 * w for k, w in weights.items()})
+        for x, g in zip(inputs, good):
+            off = (guess(x) - g) / len(texts)
+            for k, v in x.items():
+                slope[k] += v * off
+        for k, s in slope.items():
+            drift[k] = 0.9 * drift[k] + 0.1 * s
+            speed[k] = 0.99 * speed[k] + 0.01 * s * s
+            weights[k] -= 0.3 * drift[k] / (1 - 0.9 ** step) / (math.sqrt(speed[k] / (1 - 0.99 ** step)) + 1e-7)
+    return {t: guess(x) for t, x in zip(texts, inputs)}
+
+
+def naive_bayes(taught, texts, buckets):
+    """[(language, posterior)]: grams of two and three bytes, each with the two blanks before a text."""
+    def grams(text):
+        line = [32, 32] + [b if b > 127 or chr(b).islower() else b + 32 if chr(b).isupper() else 32
+                           for b in text.encode()] + [32, 32]
+        for i in range(len(line) - 2):
+            two = line[i] << 8 | line[i + 1]
+            for code in (two, two << 8 | line[i + 2] | 1 << 24):
+                yield (code * 2654435761 & 0xFFFFFFFF) >> 17
+
+    counts, seen = {}, Counter(lang for _, lang in taught)
+    for text, lang in taught:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    names = sorted(counts)
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        own = Counter(grams(text))
+        logs = {}
+        for lang in names:
+            total = sum(counts[lang].values()) + 0.5 * buckets
+            logs[lang] = math.log((seen[lang] + 1) / (len(taught) + len(names))) + sum(
+                n * math.log((counts[lang][g] + 0.5) / total) for g, n in own.items())
+        best = max(names, key=lambda lang: logs[lang])
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out

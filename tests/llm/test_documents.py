@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from airtally.llm import bpe, exact_dedup, jaccard, language, licenses, mixing, packing, quality, substrings
 from airtally.llm.mixing import apportion, targets
+from airtally.llm.tables import saved
 from tests.llm import cases
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -353,6 +354,16 @@ def test_language_odd_documents(docs, rows, none):
     assert {r.lang_pred for r in language.predict(docs, empty).collect()} == {"und"}
 
 
+def test_language_like_plain_python(docs, rows):
+    taught = [(t, lang) for _, t, lang, *_ in rows if t is not None and lang is not None]
+    model = language.learn(docs)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score) for r in language.predict(docs, model).collect())
+    found = cases.naive_bayes(taught, [r[1] for r in rows], language.BUCKETS)
+    wanted = sorted((r[0] is None, r[0] or 0, *each) for r, each in zip(rows, found))
+    assert [x[:3] for x in got] == [x[:3] for x in wanted]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in wanted], abs=1e-6)
+
+
 # Packing
 
 
@@ -479,8 +490,12 @@ def test_quality_sample_is_of_distinct_texts(spark):
     few = [f"text number {i} of the sample" for i in range(600)]
     often = [t for t in few[:20] for _ in range(200)]
     copies = spark.createDataFrame([(t,) for t in few + often + [None, None]], "text string")
-    samples = [[r.text for r in quality._sampled(frame, F.col("text"), 150, 11).collect()]
-               for frame in (copies, copies.repartition(7), copies.distinct())]
+    samples = []
+    for frame in (copies, copies.repartition(7), copies.distinct()):
+        measured = quality.measure(frame.select(F.lit(1).alias("doc_id"), "text"))
+        texts = Counter(r.votes for r in measured.filter("length(vector) > 0").dropDuplicates(["hash"]).collect())
+        samples.append([tuple(r) for r in quality._sampled(measured, texts, 150).collect()])
+        assert sum(r[3] for r in samples[-1]) == pytest.approx(600, rel=0.2)
     assert samples[0] == samples[1] == samples[2] and 100 < len(samples[0]) == len(set(samples[0])) <= 225
     weights = [quality.fit(frame, sample_rows=150)[1] for frame in (copies, copies.repartition(7))]
     assert (weights[0] == weights[1]).all()
@@ -497,6 +512,47 @@ def test_quality_odd_documents(docs, rows):
     assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
+def test_quality_like_plain_python(docs, rows):
+    """Every number of the model and of the scorer, on a table that the sample takes as a whole."""
+    model, weights = quality.fit(docs)
+    texts = [r[1] for r in rows]
+    share, accuracy = cases.label_model([quality.votes(t) for t in texts if t and t.split()])
+    assert model.share == pytest.approx(share, abs=1e-6)
+    assert model.accuracy.tolist() == pytest.approx(accuracy, abs=1e-6)
+    plain = cases.scorer(sorted({t for t in texts if t and t.split()}), quality.votes, share, accuracy, 12)
+    got = quality.assess(docs, model, weights).collect()
+    wanted = {t: cases.chance_of_good(quality.votes(t), share, accuracy) for t in texts}
+    by_id = {r[0]: r[1] for r in rows}
+    assert all(r.posterior == pytest.approx(wanted[by_id[r.doc_id]], abs=1e-6)
+               for r in got if r.doc_id is not None)
+    measured = quality.measure(docs).filter("length(vector) > 0").dropDuplicates(["hash"]).orderBy("hash").collect()
+    inputs = np.zeros((len(measured), quality.BUCKETS), np.float32)
+    for i, r in enumerate(measured):
+        at, values = quality._parts(r.vector)
+        inputs[i, at] = values
+    few = quality.train(inputs, model.posterior([r.votes for r in measured]), rounds=12)
+    found = quality.scores(list(plain), few)
+    assert found.tolist() == pytest.approx(list(plain.values()), abs=2e-3)
+
+
+def test_quality_rare_patterns_are_in_the_sample(spark):
+    """Six programs among thousands of documents: the scorer learns of them what their votes say."""
+    code = [(-1 - i, "\n".join(f"x{i}[{k}] += {{a{k}: (b_{k} << {k}) | ~c{k}}};" for k in range(9)))
+            for i in range(6)]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    measured = saved(quality.measure(docs.union(spark.createDataFrame(code, docs.schema))), "test-quality")
+    kinds = {r.votes: r.n for r in measured.filter("length(vector) > 0").groupBy("votes").agg(
+        F.count_distinct("hash").alias("n")).collect()}
+    drawn = quality._sampled(measured, kinds, 1500).collect()
+    assert 1400 < len(drawn) <= 2250
+    rare = quality.votes(code[0][1])
+    assert sum(r.votes == rare for r in drawn) == kinds[rare] == 6
+    assert sum(r.stands_for for r in drawn) == pytest.approx(sum(kinds.values()), rel=0.15)
+    model, weights = quality.fit_measured(measured, 1500)
+    assert (model.posterior([rare]) < 0.01).all()
+    assert (quality.scores([t for _, t in code], weights) < quality.KEEP_FROM).all()
+
+
 # Empty tables
 
 
