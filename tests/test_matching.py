@@ -126,3 +126,31 @@ def test_small_references_are_broadcast_and_queries_stay(spark, data):
     q, r = hash_frame(spark, data[0]), hash_frame(spark, data[1])
     plan = m.match_pairs(q, r)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (7, 5), (10**6, 10**6)])
+def test_many_references_meet_queries_in_blocks_without_broadcast(spark, data, sizes):
+    q, r = hash_frame(spark, data[0]), hash_frame(spark, data[1])
+    met = m.match_pairs(q, r, 65, broadcast_references=0, rows_per_slice=sizes[0], references_per_list=sizes[1])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    # A broadcast or a join on pieces holds every hash once per piece.
+    assert "Broadcast" not in plan and "Join" not in plan
+    assert rows(met) == brute(*data, 65)
+
+
+@pytest.mark.parametrize("shared", [2, 10])
+def test_min_shared_bands_in_blocks(spark, data, shared):
+    q, r = hash_frame(spark, data[0]), hash_frame(spark, data[1])
+    got = m.match_pairs(q, r, 65, min_shared_bands=shared, broadcast_references=0)
+    assert rows(got) == brute(*data, 65, shared)
+
+
+def test_blocks_with_a_hot_piece_and_no_rows(spark):
+    rng = random.Random(3)
+    refs = ["ab" + "%062x" % rng.getrandbits(248) for _ in range(300)]
+    queries = [flip(r, rng.sample(range(240), n % 70)) for n, r in enumerate(refs)]
+    q, r = hash_frame(spark, queries), hash_frame(spark, refs)
+    options = {"broadcast_references": 0, "rows_per_slice": 50, "references_per_list": 100}
+    assert rows(m.match_pairs(q, r, 65, **options)) == brute(queries, refs, 65)
+    assert m.match_pairs(q.limit(0), r, 65, **options).count() == 0
+    assert m.nearest(q, r.limit(0), 65, **{**options, "broadcast_references": -1}).count() == 0
