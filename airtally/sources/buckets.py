@@ -50,7 +50,8 @@ def read(spark: SparkSession, path: str, schema: str, wanted: Iterable[int], bef
 
 def write(frame: DataFrame, path: str, rewritten: list[int], batch_id: int, key: str,
           buckets: int = BUCKETS) -> None:
-    """New versions of all the rewritten buckets; those older than the last one before are dropped."""
+    """New versions of all the rewritten buckets; those older than the last one before are dropped. A large
+    bucket is written by several tasks."""
     spark = frame.sparkSession
     if not rewritten:
         return
@@ -60,7 +61,7 @@ def write(frame: DataFrame, path: str, rewritten: list[int], batch_id: int, key:
     rows = frame.withColumn("bucket", bucket_of(key, buckets)).unionByName(marks)
     (
         rows.withColumn("batch_id", F.lit(batch_id))
-        .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket", "batch_id").parquet(path)
     )
     known = versions(spark, path)
