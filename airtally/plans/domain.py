@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airtally.functions import identity, times
+from airtally.plans.skew import is_small
 from airtally.session import use_utc
 
 # Set makers in the order of the payout report.
 MANUFACTURERS = ("Samsung", "LG", "Sony", "Vizio", "TCL", "Philips", "Panasonic", "Others")
 JURISDICTION_ORDER = ("US", "EU", "CA")
+# Some 250 MB of the widest table that is joined to events.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_size(frame: DataFrame, rows: int | None = None) -> DataFrame:
+    """The frame for the side of a join that Spark would broadcast by the size of its files, which says little
+    of the size of its rows: above a number of rows, by counting them, both sides are shuffled."""
+    return frame if is_small(frame, BROADCAST_ROWS if rows is None else rows) else frame.hint("merge")
+
+
 def _pick(names, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
@@ -108,8 +117,8 @@ def viewership(spark, sf_dir) -> DataFrame:
     seconds = F.col("timestamp_utc")
     duration = F.floor(F.col("value") * 60).cast("bigint")
     return (
-        f.join(content(spark, sf_dir), "k")
-        .join(people, "user_id", "left")
+        f.join(by_size(content(spark, sf_dir)), "k")
+        .join(by_size(people), "user_id", "left")
         .select(
             "event_id", "user_id", "device_id",
             identity.household_id_device("device_id", "ip_address").alias("household_id"),
