@@ -154,3 +154,35 @@ def test_blocks_with_a_hot_piece_and_no_rows(spark):
     assert rows(m.match_pairs(q, r, 65, **options)) == brute(queries, refs, 65)
     assert m.match_pairs(q.limit(0), r, 65, **options).count() == 0
     assert m.nearest(q, r.limit(0), 65, **{**options, "broadcast_references": -1}).count() == 0
+
+
+def sha_frame(spark, rows, tag="ref-"):
+    """Hashes whose size Spark knows, and takes for small."""
+    return spark.range(rows).select(F.sha2(F.concat(F.lit(tag), "id"), 256).alias("fingerprint_hash"), "id")
+
+
+def test_a_few_thousand_references_are_not_gathered_in_pieces(spark):
+    """Their pieces, 32 times as many, would pass through the driver."""
+    refs = sha_frame(spark, 3_000)
+    queries = sha_frame(spark, 40).unionByName(sha_frame(spark, 10, "noise-")).select("fingerprint_hash")
+    for met in (m.match_pairs(queries, refs), m.nearest(queries, refs)):
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        assert met.filter("distance = 0").count() == met.count() == 40
+
+
+def test_many_references_are_not_broadcast_to_their_matches(spark):
+    refs = sha_frame(spark, 3_000)
+    found = m.lookup(sha_frame(spark, 40).select("fingerprint_hash"), refs, 8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert sorted(r.id for r in found.collect()) == list(range(40))
+
+
+def test_matches_are_not_broadcast_to_what_is_known_of_them(spark):
+    hashes = sha_frame(spark, 100).select(F.col("fingerprint_hash").alias("query_hash"), "id")
+    known = hashes.select("query_hash", F.col("query_hash").alias("expected_hash"))
+    met = hashes.filter("id < 60").select("query_hash", F.col("query_hash").alias("fingerprint_hash"))
+    out = m.recall(known, met)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert (out.first().queries, out.first().found) == (100, 60)
