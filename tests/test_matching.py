@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,20 @@ def test_many_references_are_not_broadcast_to_their_matches(spark):
     assert sorted(r.id for r in found.collect()) == list(range(40))
 
 
+def test_matches_are_not_broadcast_to_their_events(spark):
+    """There is a match per distinct hash of the events, so it grows with them; only hot keys are broadcast."""
+    refs = sha_frame(spark, 3_000).withColumnRenamed("id", "content_id")
+    heard = sha_frame(spark, 40).unionByName(sha_frame(spark, 10, "noise-"))
+    events = heard.withColumnRenamed("id", "timestamp_utc").withColumn("device_id", F.lit("d"))
+    out = m.match_events(events, refs, 8)
+    met = out.select("device_id", "timestamp_utc", "reference_hash")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Broadcast\w+Join \[query_hash#\d+, _slice#", plan)
+    assert re.search(r"SortMergeJoin(\(skew=true\))? \[query_hash#\d+, _slice#", plan)
+    assert out.count() == 50
+    assert sorted(r.content_id for r in out.filter("reference_hash IS NOT NULL").collect()) == list(range(40))
+
+
 def test_matches_are_not_broadcast_to_what_is_known_of_them(spark):
     hashes = sha_frame(spark, 100).select(F.col("fingerprint_hash").alias("query_hash"), "id")
     known = hashes.select("query_hash", F.col("query_hash").alias("expected_hash"))
