@@ -1,6 +1,7 @@
 """Steps that grow with the tables: what is broadcast, what one task reads, what runs twice."""
 
 import glob
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,16 @@ def test_restart_does_not_run_a_batch_a_second_time(spark, sf, monkeypatch):
 def test_matches_that_are_read_twice_are_a_table(spark, sf, name):
     found = all_queries()[name](spark, sf)
     assert any("/sold-" in f for f in found.inputFiles())
+
+
+def met_by_shuffle(frame):
+    """How events meet the matches of their hashes; the text of a plan names the keys of each join."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return set(re.findall(r"(\w+Join)(?:\(skew=true\))? \[query_hash#\d+, _slice#", plan)) == {"SortMergeJoin"}
+
+
+@pytest.mark.parametrize("name", [
+    "matched_viewership",
+])
+def test_matches_meet_their_events_in_a_shuffle(spark, sf, name):
+    assert met_by_shuffle(all_queries()[name](spark, sf))
