@@ -63,6 +63,7 @@ def met_by_shuffle(frame):
 
 @pytest.mark.parametrize("name", [
     "match_confidence_tiers",
+    "match_rate_by_manufacturer",
     "matched_viewership",
 ])
 def test_matches_meet_their_events_in_a_shuffle(spark, sf, name):
