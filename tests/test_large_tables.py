@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from airtally.plans import all_queries, domain
 from airtally.plans import queries_streaming as qst
 from airtally.sources import buckets
+from airtally.streaming import jobs
 from tests.conftest import rows
 
 
@@ -68,3 +69,15 @@ def met_by_shuffle(frame):
 ])
 def test_matches_meet_their_events_in_a_shuffle(spark, sf, name):
     assert met_by_shuffle(all_queries()[name](spark, sf))
+
+
+def test_matches_of_a_batch_meet_its_events_in_a_shuffle(spark, sf, monkeypatch):
+    met, write = [], jobs.write_batch
+
+    def watched(frame, *rest):
+        met.append(met_by_shuffle(frame))
+        write(frame, *rest)
+
+    monkeypatch.setattr(jobs, "write_batch", watched)
+    assert all_queries()["stream_match"](spark, sf).count() > 0
+    assert met and all(met)
