@@ -50,6 +50,18 @@ def test_restart_does_not_run_a_batch_a_second_time(spark, sf, monkeypatch):
     assert all_queries()["stream_restart"](spark, sf).count() > 0
 
 
+def test_restart_of_events_without_a_pause_sends_no_session(spark, tmp_path):
+    """At sizes where each manufacturer sends all the time, no session ends and nothing is written."""
+    events = spark.range(400).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ts"),
+        F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"),
+        F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = all_queries()["stream_restart"](spark, str(tmp_path))
+    assert found.columns == ["manufacturer", "session_start", "session_end", "events", "duration_sec"]
+    assert found.count() == 0
+
+
 @pytest.mark.parametrize("name", ["content_price"])
 def test_matches_that_are_read_twice_are_a_table(spark, sf, name):
     found = all_queries()[name](spark, sf)
