@@ -156,7 +156,8 @@ def nearest(queries: DataFrame, references: DataFrame, tolerance: int = DEFAULT_
 
     The tolerance rises in steps, each over the hashes that are left. A step that loses
     nothing finds the nearest reference if there is one within its tolerance, so only
-    hashes without any near reference reach the wide rule. Hashes stay 64-bit lanes until the end. What a
+    hashes without any near reference reach the wide rule; among very many pairs also few of those do that follow
+    a reference farther off. Hashes stay 64-bit lanes until the end. What a
     step finds and leaves is one table; the minimum is taken in the join's own aggregate.
     """
     small = skew.is_small(references, broadcast_references)
@@ -169,6 +170,15 @@ def nearest(queries: DataFrame, references: DataFrame, tolerance: int = DEFAULT_
         hashes.lane_distance(q, r).cast("int").alias("distance"), smaller.alias("order"), F.struct(*r).alias("hash"))
     found: list[DataFrame] = []
     for step in _steps(references, tolerance, bits, few_references):
+        if not small and step == blocks.PROBE_BITS - 1 and blocks.anchors_pay(
+                left, left.count() * refs.count(), piece_width(tolerance, 1, 1, bits), tolerance):
+            # One probe settles this step and names a nearby reference for the last one.
+            probed = blocks.probe(left, refs, tolerance, rows_per_slice, references_per_list)
+            found.append(probed.filter(F.col("off") <= step).select(*q, pair.alias("best")))
+            left = probed.filter(F.coalesce(F.col("off") > step, F.lit(True)))
+            met = blocks.near_after(left, refs, tolerance, 1, rows_per_slice, references_per_list, True)
+            found.append(met.select(*q, pair.alias("pair")).groupBy(*q).agg(F.min("pair").alias("best")))
+            break
         near = _near_lanes(left, refs, step, 1, 1, bits, small, rows_per_slice, references_per_list)
         met = near.select(*q, pair.alias("pair"))
         if step == tolerance:

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from airtally.operators import blocks
 from airtally.operators import matching as m
 from tests.conftest import rows
 
@@ -201,3 +203,82 @@ def test_matches_are_not_broadcast_to_what_is_known_of_them(spark):
     out = m.recall(known, met)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert (out.first().queries, out.first().found) == (100, 60)
+
+
+def random_lanes(seed, rows, lanes=4):
+    return np.random.default_rng(seed).integers(0, 2**64, (lanes, rows), dtype=np.uint64)
+
+
+@pytest.mark.parametrize("tolerance, lanes, size", [(65, 3, 22), (100, 3, 22), (104, 4, 32), (15, 3, 17), (130, 4, 32)])
+def test_distances_by_a_product_of_matrices(tolerance, lanes, size):
+    q, r = random_lanes(1, 500, lanes), random_lanes(2, 7_003, lanes)
+    r[:, :200] = q[:, :200]
+    r[0, 50:150] ^= np.uint64(2**40 - 1)
+    r[:, 200] = ~q[:, 0]
+    text = [np.ascontiguousarray(x.T).view(np.uint8)[:, :size] for x in (q, r)]
+    apart = np.bitwise_count(text[0][:, None, :] ^ text[1][None, :, :]).sum(axis=2, dtype=np.int64)
+    want = set(zip(*(x.tolist() for x in np.nonzero(apart <= tolerance))))
+    got = [p for i, j in blocks._product(q, r, tolerance, size, blocks._room()) for p in zip(i.tolist(), j.tolist())]
+    assert len(want) >= 100 and len(got) == len(want) and set(got) == want
+
+
+def test_large_rectangles_are_a_product_of_matrices(monkeypatch):
+    """The same pairs as pair by pair; the time of many queries and references lies in these."""
+    asked, product = [], blocks._product
+    monkeypatch.setattr(blocks, "_product", lambda a, b, *rest: asked.append(a.shape[1]) or product(a, b, *rest))
+    r = random_lanes(3, 4_000)
+    r[0] = r[0] >> np.uint64(8)
+    q = r[:, :300] ^ np.uint64(2**12 - 1)
+    met = [p for i, j in blocks.near_rows(q, r, 8, 65) for p in zip(i.tolist(), j.tolist())]
+    assert asked == [300] and sorted(met) == [(n, n) for n in range(300)]
+
+
+@pytest.fixture(scope="module")
+def followed():
+    """References, some near others, and queries at many distances from those that several of them follow."""
+    rng = random.Random(7)
+    refs = ["%064x" % rng.getrandbits(256) for _ in range(80)]
+    refs += [flip(r, rng.sample(range(256), n)) for r in refs[:20] for n in (3, 30, 60, 90)] + [flip(refs[0], [1])]
+    queries = [flip(r, rng.sample(range(256), n)) for r in refs[:40] for n in (0, 1, 15, 16, 30, 39, 40, 52, 53, 65, 66)]
+    queries += [flip(refs[0], [1, 2]), flip(refs[0], [8 * i for i in range(32)])]
+    return queries + ["%064x" % rng.getrandbits(256) for _ in range(30)], refs
+
+
+@pytest.mark.parametrize("followers, sizes", [(1, (10**6, 10**6)), (4, (200, 90)), (10**6, (10**6, 10**6))])
+def test_queries_that_follow_a_reference_meet_what_is_around_it(spark, followed, monkeypatch, followers, sizes):
+    monkeypatch.setattr(blocks, "ANCHORED_PAIRS", 0)
+    monkeypatch.setattr(blocks, "FOLLOWERS", followers)
+    q, r = hash_frame(spark, followed[0]), hash_frame(spark, followed[1])
+    options = {"broadcast_references": 0, "rows_per_slice": sizes[0], "references_per_list": sizes[1]}
+    near = brute(*followed, 65)
+    assert rows(m.match_pairs(q, r, 65, **options)) == near
+    assert rows(m.match_pairs(q, r, 65, min_shared_bands=10, **options)) == brute(*followed, 65, 10)
+    best = {}
+    for query, ref, distance in near:
+        best[query] = min(best.get(query, (257, "")), (distance, ref))
+    assert rows(m.nearest(q, r, 65, **options)) == sorted(((k, *v) for k, v in best.items()), key=repr)
+
+
+def test_followers_are_not_compared_with_all_that_share_a_byte(spark, followed, monkeypatch):
+    """Among very many pairs only queries without a reference nearby meet all references by bytes."""
+    seen, by_pieces = [], blocks._by_pieces
+
+    def watched(queries, references, cut, width, *rest):
+        seen.append((width, queries.count()))
+        return by_pieces(queries, references, cut, width, *rest)
+
+    monkeypatch.setattr(blocks, "ANCHORED_PAIRS", 0)
+    monkeypatch.setattr(blocks, "FOLLOWERS", 2)
+    monkeypatch.setattr(blocks, "_by_pieces", watched)
+    q, r = hash_frame(spark, followed[0]), hash_frame(spark, followed[1])
+    m.match_pairs(q, r, 65, broadcast_references=0).count()
+    assert [w for w, _ in seen] == [16, 8] and seen[1][1] < seen[0][1] * 3 / 4
+
+
+def test_a_block_is_one_task(spark):
+    """By a hash of the block's number some tasks would have several blocks to do and others none."""
+    refs = sha_frame(spark, 3_000)
+    met = m.match_pairs(sha_frame(spark, 2_000).select("fingerprint_hash"), refs, rows_per_slice=250)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "direct_shuffle_partition_id" in plan.lower() and "hashpartitioning(block" not in plan
+    assert met.filter("distance = 0").count() == met.count() == 2_000
